@@ -1,0 +1,109 @@
+"""Matching queries bound to the given tables."""
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..constants import CANDIDATES_PER_SPEC, MATCH_STOP_WORDS, TOP_MATCHES
+from ..operators import match as m
+from . import views as v
+from .oracle_base import OFFERS, WANTS, cast_list, with_
+
+SQL_WORDS = ("list_filter(list_distinct(regexp_extract_all(lower({c}), '[a-zа-яё]{{4,}}')), "
+             "lambda x: NOT list_contains(" + cast_list(MATCH_STOP_WORDS) + ", x))")
+
+POOL = f"""pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY slot_id, country
+    ORDER BY posted_at DESC NULLS LAST, offer_id DESC) age_rank FROM offers
+    WHERE status = 'active' AND slot_id IS NOT NULL AND country IS NOT NULL) WHERE age_rank <= {CANDIDATES_PER_SPEC})"""
+
+SCORED = f"""pairs AS (SELECT w.want_id spec_id, o.offer_id, o.slot_id, o.country,
+    CASE WHEN w.budget IS NULL OR o.price IS NULL THEN 'unknown' WHEN o.price <= w.budget THEN 'ok'
+         WHEN o.price <= w.budget * 1.15::DOUBLE THEN 'near' ELSE 'gap' END r_budget,
+    CASE WHEN w.cond IS NULL THEN 'any' WHEN o.cond = w.cond THEN 'ok' WHEN o.cond = 'unknown' THEN 'unknown' ELSE 'gap' END r_cond,
+    CASE WHEN o.length_cm IS NULL THEN 'unknown' WHEN o.length_cm BETWEEN w.lo AND w.hi THEN 'ok' ELSE 'gap' END r_size,
+    len({SQL_WORDS.format(c='w.title')}) n_words,
+    len(list_intersect({SQL_WORDS.format(c='w.title')}, {SQL_WORDS.format(c='o.title')})) n_hits
+  FROM wants w JOIN pool o ON o.slot_id = w.slot_id AND o.country = w.country),
+scored AS (SELECT *, round_even((800 + CASE r_budget WHEN 'ok' THEN 500 WHEN 'near' THEN 250 ELSE 0 END + 300
+    + CASE r_cond WHEN 'ok' THEN 160 WHEN 'any' THEN 80 ELSE 0 END + CASE r_size WHEN 'ok' THEN 140 ELSE 0 END
+    + CASE WHEN n_words > 0 THEN 100.0::DOUBLE * n_hits / n_words ELSE 0 END) / 2000.0::DOUBLE, 3) score
+  FROM pairs WHERE r_budget <> 'gap'),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY spec_id ORDER BY score DESC, offer_id DESC) rank
+  FROM scored WHERE score >= 0.5) WHERE rank <= {TOP_MATCHES})"""
+
+
+def top_matches(spark, d):
+    return m.match_wants(v.wants(spark, d), v.offers(spark, d)).select(
+        F.col("spec_id").alias("want_id"), "offer_id", "score", "rank", F.col("reasons.budget").alias("r_budget"),
+        F.col("reasons.country").alias("r_country"), F.col("reasons.condition").alias("r_cond"),
+        F.col("reasons.size").alias("r_size"), F.col("reasons.words").alias("r_words"))
+
+
+def want_specs(spark, d):
+    return m.specs_from_wants(v.wants(spark, d)).select(
+        "spec_id", F.col("want_slot").alias("slot_id"), F.col("want_country").alias("country"), "max_price",
+        F.col("want_cond").alias("cond"), F.col("length_cm_lo").alias("lo"), F.col("length_cm_hi").alias("hi"),
+        F.array_join(F.array_sort("words"), " ").alias("words"))
+
+
+def candidates(spark, d):
+    """Size and edges of the candidate set of each want, read from the pool statistics of its key."""
+    pool = m.candidate_pool(v.offers(spark, d)).groupBy("k_slot", "k_country").agg(
+        F.count(F.lit(1)).alias("n_candidates"), F.max("offer_id").alias("last_offer"), F.max("posted_at").alias("newest"))
+    return v.wants(spark, d).select(F.col("want_id").alias("spec_id"), F.col("slot_id").alias("k_slot"), F.col("country").alias("k_country")).join(
+        pool, ["k_slot", "k_country"]).select("spec_id", "n_candidates", "last_offer", "newest")
+
+
+def score_reasons(spark, d):
+    return m.score_distribution(m.specs_from_wants(v.wants(spark, d)), m.offer_pool(v.offers(spark, d), ["length_cm"]), ["length_cm"])
+
+
+def match_upsert(spark, d):
+    """Two runs of the matcher: known matches come from the offers posted before a date."""
+    cut = F.lit("1998-01-01").cast("timestamp")
+    wants, offers = v.wants(spark, d), v.offers(spark, d)
+    known = m.match_wants(wants, offers.where(F.col("posted_at") < cut))
+    return m.upsert_matches(known, m.match_wants(wants, offers)).groupBy("change").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("spec_id").alias("n_wants"), F.sum(F.col("score").cast("decimal(10,3)")).cast("double").alias("score_sum"))
+
+
+def match_counts(spark, d):
+    best = m.match_wants(v.wants(spark, d), v.offers(spark, d))
+    counts = best.groupBy("spec_id").agg(F.count(F.lit(1)).alias("match_count"))
+    wants = v.wants(spark, d).select("want_id", "slot_id")
+    return wants.join(counts, F.col("want_id") == F.col("spec_id"), "left").select("want_id", "slot_id", "match_count")
+
+
+UPSERT_SQL = (
+    "WITH " + OFFERS + ",\n" + WANTS + ",\n"
+    + POOL.replace("pool AS", "pool AS") + ",\n" + SCORED + ",\n"
+    + POOL.replace("pool AS", "pool0 AS").replace("WHERE status", "WHERE posted_at < TIMESTAMP '1998-01-01' AND status") + ",\n"
+    + SCORED.replace("pairs AS", "pairs0 AS").replace("FROM pairs WHERE", "FROM pairs0 WHERE").replace("JOIN pool o", "JOIN pool0 o")
+    .replace("scored AS", "scored0 AS").replace("FROM scored WHERE", "FROM scored0 WHERE").replace("best AS", "best0 AS")
+    + """, merged AS (SELECT coalesce(n.spec_id, o.spec_id) spec_id, coalesce(n.score, o.score) score,
+      CASE WHEN o.spec_id IS NULL THEN 'new' WHEN n.spec_id IS NOT NULL THEN 'refreshed' ELSE 'kept' END change
+    FROM best0 o FULL JOIN best n ON o.spec_id = n.spec_id AND o.offer_id = n.offer_id)
+    SELECT change, count(*) n, count(DISTINCT spec_id) n_wants, sum(score::DECIMAL(10,3))::DOUBLE score_sum FROM merged GROUP BY change"""
+)
+
+QUERIES = {
+    "mj1_want_specs": want_specs,
+    "mj3_candidates": candidates,
+    "mj4_score_reasons": score_reasons,
+    "mj5_top_matches": top_matches,
+    "mj6_match_upsert": match_upsert,
+    "ag10_match_count": match_counts,
+}
+ORACLE = {
+    "mj1_want_specs": with_(WANTS) + f"""SELECT want_id spec_id, slot_id, country, budget max_price, cond, lo, hi,
+        array_to_string(list_sort({SQL_WORDS.format(c='title')}), ' ') words FROM wants""",
+    "mj3_candidates": with_(OFFERS, WANTS, POOL) + """SELECT want_id spec_id, count(*) n_candidates, max(offer_id) last_offer,
+        max(o.posted_at) newest FROM wants w JOIN pool o USING (slot_id, country) GROUP BY want_id""",
+    "mj4_score_reasons": with_(OFFERS, WANTS, POOL, SCORED) + """SELECT score, r_budget budget, r_cond "condition", r_size size,
+        CASE WHEN n_words = 0 THEN NULL WHEN n_hits = 0 THEN '0' ELSE n_hits || '/' || n_words END words,
+        count(*) n_pairs, count(DISTINCT spec_id) n_wants FROM scored GROUP BY ALL""",
+    "mj5_top_matches": with_(OFFERS, WANTS, POOL, SCORED) + """SELECT spec_id want_id, offer_id, score, rank, r_budget, 'ok' r_country,
+        r_cond, r_size, CASE WHEN n_words = 0 THEN NULL WHEN n_hits = 0 THEN '0' ELSE n_hits || '/' || n_words END r_words FROM best""",
+    "mj6_match_upsert": UPSERT_SQL,
+    "ag10_match_count": with_(OFFERS, WANTS, POOL, SCORED) + """SELECT want_id, slot_id, match_count FROM wants
+        LEFT JOIN (SELECT spec_id, count(*) match_count FROM best GROUP BY 1) ON spec_id = want_id""",
+}
