@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["matching"]
+MODULES = ["matching", "registry"]
 
 
 def collect(attr: str) -> dict:
