@@ -54,12 +54,15 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return host, path
 
 
+def _without_keys_of(a: Column, b: Column) -> Column:
+    return F.map_filter(a, lambda k, v: ~F.map_contains_key(b, k))
+
+
 def merge_without_nulls(*maps: Column) -> Column:
     """Later maps win on equal keys; entries without a value disappear."""
     merged = maps[0]
     for m in maps[1:]:
-        kept = F.map_filter(merged, lambda k, v, m=m: ~F.map_contains_key(m, k))
-        merged = F.map_concat(kept, m)
+        merged = F.map_concat(_without_keys_of(merged, m), m)
     return F.map_filter(merged, lambda k, v: v.isNotNull())
 
 

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["matching", "registry"]
+MODULES = ["matching", "registry", "normalise"]
 
 
 def collect(attr: str) -> dict:

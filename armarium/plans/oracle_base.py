@@ -62,3 +62,38 @@ HEAD, TAIL = f"(?:^|[^{W}])", f"(?:$|[^{W}])"
 
 def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
+
+
+def re2(pattern: str) -> str:
+    """The pattern for the reference engine: spelled-out Unicode word boundaries and classes. Only for
+    existence tests and leading groups, because a boundary consumes its neighbour there."""
+    out, i, depth = [], 0, 0
+    while i < len(pattern):
+        two = pattern[i:i + 2]
+        if two == r"\b":
+            before = pattern[:i]
+            at_start = before == "" or before[-1] in "|(" or before.endswith("(?:")
+            out.append(HEAD if at_start else TAIL)
+            i += 2
+        elif two == r"\s":
+            out.append(r"\s\p{Z}" if depth else r"[\s\p{Z}]")
+            i += 2
+        elif two == r"\w":
+            out.append(W if depth else f"[{W}]")
+            i += 2
+        elif two[0] == "\\":
+            out.append(two)
+            i += 2
+        else:
+            depth += {"[": 1, "]": -1}.get(pattern[i], 0)
+            out.append(pattern[i])
+            i += 1
+    return "(?i)" + "".join(out)
+
+
+def found(col: str, pattern: str) -> str:
+    return f"regexp_matches({col}, {lit(re2(pattern))})"
+
+
+def first_found(col: str, table, otherwise: str = "NULL") -> str:
+    return "CASE " + " ".join(f"WHEN {found(col, p)} THEN {lit(n)}" for n, p in table) + f" ELSE {otherwise} END"
