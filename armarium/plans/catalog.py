@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["matching", "registry", "normalise"]
+MODULES = ["matching", "registry", "normalise", "classification"]
 
 
 def collect(attr: str) -> dict:
