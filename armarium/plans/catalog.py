@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["matching", "registry", "normalise", "classification"]
+MODULES = ["matching", "registry", "normalise", "classification", "duplicates"]
 
 
 def collect(attr: str) -> dict:
