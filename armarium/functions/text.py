@@ -4,7 +4,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -23,6 +23,12 @@ def has(c: Column, pattern: str) -> Column:
     return c.rlike(rx(pattern))
 
 
+def settled(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column that is computed once per row. Filters and projections above would otherwise be
+    merged into it and repeat it for each mention; nothing moves below a generator of its own output."""
+    return df.select("*", F.inline(F.array(F.struct(value.alias(name)))))
+
+
 def words_array(words: list[str]) -> Column:
     return F.array(*[F.lit(w) for w in words])
 
@@ -123,8 +129,7 @@ def dedup_text(c: Column) -> Column:
 
 
 def dedup_tokens(normalised: Column) -> Column:
-    stops = words_array(DEDUP_STOP_WORDS)
-    return F.filter(F.split(normalised, " "), lambda w: (F.length(w) > 1) & ~F.array_contains(stops, w))
+    return F.filter(F.split(normalised, " "), lambda w: (F.length(w) > 1) & ~w.isin(DEDUP_STOP_WORDS))
 
 
 def word_pairs(tokens: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from ..constants import HAMMING_THRESHOLD, RETENTION_DAYS, SIMHASH_MIN_TOKENS
-from ..functions.text import dedup_text, dedup_tokens, nfkc, word_pairs
+from ..functions.text import dedup_text, dedup_tokens, nfkc, settled, word_pairs
 from ..session import cut_lineage
 from .topk import keep_first
 
@@ -25,8 +25,8 @@ def _signed(bits: int) -> int:
 
 def shingles(docs: DataFrame, text: str = "text") -> DataFrame:
     """Word pairs of the normalised text; texts with fewer than eight tokens have none."""
-    tokens = docs.withColumn("_norm", dedup_text(nfkc(F.col(text)))).withColumn("_tokens", dedup_tokens(F.col("_norm")))
-    return tokens.withColumn("shingles", F.when(F.size("_tokens") >= SIMHASH_MIN_TOKENS, word_pairs(F.col("_tokens")))).drop("_norm", "_tokens")
+    tokens = settled(docs, "_tokens", dedup_tokens(dedup_text(nfkc(F.col(text)))))
+    return settled(tokens, "shingles", F.when(F.size("_tokens") >= SIMHASH_MIN_TOKENS, word_pairs(F.col("_tokens")))).drop("_tokens")
 
 
 def fingerprints(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
