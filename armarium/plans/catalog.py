@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["matching", "registry", "normalise", "classification", "duplicates", "landing"]
+MODULES = ["matching", "registry", "normalise", "classification", "duplicates", "landing", "streams"]
 
 
 def collect(attr: str) -> dict:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..constants import CANDIDATES_PER_SPEC, MATCH_STOP_WORDS, TOP_MATCHES
 from ..operators import match as m
 from . import views as v
-from .oracle_base import OFFERS, WANTS, cast_list, with_
+from .oracle_base import OFFERS, WANTS, cast_list, values, with_
 
 SQL_WORDS = ("list_filter(list_distinct(regexp_extract_all(lower({c}), '[a-zа-яё]{{4,}}')), "
              "lambda x: NOT list_contains(" + cast_list(MATCH_STOP_WORDS) + ", x))")
@@ -85,7 +85,24 @@ UPSERT_SQL = (
     SELECT change, count(*) n, count(DISTINCT spec_id) n_wants, sum(score::DECIMAL(10,3))::DOUBLE score_sum FROM merged GROUP BY change"""
 )
 
+FILTERS = [  # id, slot, country, condition, price cap, words, wanted length
+    ("f1", "PROMO", "NATION_3", "used", 40000.0, "red widget", 20.0), ("f2", "LARGE", None, None, 30000.0, "", None), ("f3", None, "NATION_7", "new", None, "small ring", 30.0),
+    ("f4", None, None, None, 20000.0, "blue", None), ("f5", "ABSENT", None, None, None, None, None), ("f6", "SMALL", "NATION_1", "any", 50000.0, "larp neu", 10.0),
+]
+
+
+def filter_matches(spark, d):
+    """Best matches of saved filters; open slots or countries read the newest offers of the wider key."""
+    filters = spark.createDataFrame(FILTERS, "spec_id string, slot string, country string, cond string, price_max double, q string, l double")
+    filters = filters.withColumn("need", F.when(F.col("l").isNotNull(), F.create_map(F.lit("length_cm"), F.col("l")))).drop("l")
+    specs = m.specs_from_filters(filters, ["length_cm"])
+    best = m.best_matches(specs, m.offer_pool(v.offers(spark, d), ["length_cm"], open_ended=True), ["length_cm"])
+    return best.select("spec_id", "offer_id", "score", "rank", F.col("reasons.budget").alias("r_budget"), F.col("reasons.country").alias("r_country"),
+                       F.col("reasons.condition").alias("r_cond"), F.col("reasons.size").alias("r_size"), F.col("reasons.words").alias("r_words"))
+
+
 QUERIES = {
+    "mj2_filter_matches": filter_matches,
     "mj1_want_specs": want_specs,
     "mj3_candidates": candidates,
     "mj4_score_reasons": score_reasons,
@@ -93,7 +110,20 @@ QUERIES = {
     "mj6_match_upsert": match_upsert,
     "ag10_match_count": match_counts,
 }
+FILTERS_SQL = "fs AS (SELECT * FROM " + values(FILTERS, ["spec_id", "slot", "w_country", "w_cond", "cap", "q", "len_cm"]) + ")"
 ORACLE = {
+    "mj2_filter_matches": with_(OFFERS, FILTERS_SQL) + f"""SELECT spec_id, offer_id, score, rank, r_budget, r_country, r_cond, r_size,
+        CASE WHEN n_words = 0 THEN NULL WHEN n_hits = 0 THEN '0' ELSE n_hits || '/' || n_words END r_words FROM (
+        SELECT *, row_number() OVER (PARTITION BY spec_id ORDER BY score DESC, offer_id DESC) rank FROM (SELECT *, round_even((800 + CASE r_budget WHEN 'ok' THEN 500 WHEN 'near' THEN 250 ELSE 0 END
+          + CASE r_country WHEN 'ok' THEN 300 ELSE 150 END + CASE r_cond WHEN 'ok' THEN 160 WHEN 'any' THEN 80 ELSE 0 END + CASE r_size WHEN 'ok' THEN 140 ELSE 0 END
+          + CASE WHEN n_words > 0 THEN 100.0::DOUBLE * n_hits / n_words ELSE 0 END) / 2000.0::DOUBLE, 3) score FROM (
+          SELECT *, CASE WHEN cap IS NULL THEN 'unknown' WHEN price <= cap THEN 'ok' WHEN price <= cap * 1.15::DOUBLE THEN 'near' ELSE 'gap' END r_budget,
+            CASE WHEN w_country IS NULL THEN 'any' ELSE 'ok' END r_country, CASE WHEN w_cond IS NULL OR w_cond = 'any' THEN 'any' WHEN cond = w_cond THEN 'ok' WHEN cond = 'unknown' THEN 'unknown' ELSE 'gap' END r_cond,
+            CASE WHEN len_cm IS NULL THEN 'n/a' WHEN length_cm BETWEEN len_cm - 4 AND len_cm + 4 THEN 'ok' ELSE 'gap' END r_size,
+            len({SQL_WORDS.format(c="coalesce(q, '')")}) n_words, len(list_intersect({SQL_WORDS.format(c="coalesce(q, '')")}, {SQL_WORDS.format(c='title')})) n_hits
+          FROM (SELECT *, row_number() OVER (PARTITION BY spec_id ORDER BY posted_at DESC NULLS LAST, offer_id DESC) age_rank
+            FROM fs JOIN offers ON status = 'active' AND (slot IS NULL OR slot = slot_id) AND (w_country IS NULL OR w_country = country)) WHERE age_rank <= {CANDIDATES_PER_SPEC})
+        WHERE r_budget <> 'gap') WHERE score >= 0.5) WHERE rank <= {TOP_MATCHES}""",
     "mj1_want_specs": with_(WANTS) + f"""SELECT want_id spec_id, slot_id, country, budget max_price, cond, lo, hi,
         array_to_string(list_sort({SQL_WORDS.format(c='title')}), ' ') words FROM wants""",
     "mj3_candidates": with_(OFFERS, WANTS, POOL) + """SELECT want_id spec_id, count(*) n_candidates, max(offer_id) last_offer,
