@@ -54,8 +54,9 @@ def phrases(spark, d):
 
 
 def price_ranges(spark, d):
-    return price.parse_price(phrases(spark, d), "text").groupBy("text").agg(F.first("price").alias("p"), F.count(F.lit(1)).alias("n")).select(
-        "text", "n", "p.low", "p.high", "p.currency", "p.period", "p.basis")
+    """Each distinct phrase is parsed once; equal phrases combine before the shuffle."""
+    distinct = phrases(spark, d).groupBy("text").agg(F.count(F.lit(1)).alias("n"))
+    return price.parse_price(distinct, "text").select("text", "n", "price.low", "price.high", "price.currency", "price.period", "price.basis")
 
 
 def free_text_prices(spark, d):

@@ -1,0 +1,69 @@
+"""Matching on small registries: golden reasons, ranking, idempotent upsert, exactness of pruning."""
+from pyspark.sql import functions as F
+
+from armarium.operators import match as m
+from armarium.plans import views as v
+
+SPEC = "spec_id int, want_slot string, want_country string, max_price double, want_cond string, head_cm_lo double, head_cm_hi double, words array<string>"
+OFFER = "offer_id int, slot_id string, title string, price double, country string, cond string, status string, posted_at timestamp, head_cm double"
+LOTS = [
+    (1, "helmet", "Бацинет стальной", 9000.0, "RU", "used", "active", None, 59.0), (2, "helmet", "Салад", 30000.0, "RU", "new", "active", None, None),
+    (3, "helmet", "Helm", 10000.0, "DE", "unknown", "active", None, None), (4, "sword_1h", "Меч", 1000.0, "RU", None, "active", None, None),
+    (5, "helmet", "Шлем протухший", 100.0, "RU", None, "stale", None, None)]
+
+
+def run(spark, filters, lots=LOTS):
+    f = spark.createDataFrame(filters, "spec_id int, slot string, country string, cond string, price_max double, q string, need map<string,double>")
+    pool = m.offer_pool(spark.createDataFrame(lots, OFFER), ["head_cm"], open_ended=True)
+    return m.best_matches(m.specs_from_filters(f, ["head_cm"]), pool, ["head_cm"]).orderBy("spec_id", "rank").collect()
+
+
+def test_filters_and_ranking(spark):
+    rows = run(spark, [(1, "helmet", "RU", None, 10000.0, None, None), (2, "helmet", None, None, 12000.0, None, None), (3, None, None, None, None, None, None)])
+    ids = {s: [r["offer_id"] for r in rows if r["spec_id"] == s] for s in (1, 2, 3)}
+    assert ids[1] == [1] and set(ids[2]) == {1, 3} and set(ids[3]) == {1, 2, 3, 4}
+
+
+def test_all_conditions_ok(spark):
+    r = run(spark, [(1, "helmet", "RU", "used", 10000.0, None, {"head_cm": 59.0})])[0]
+    assert r["score"] >= 0.95
+    assert r["reasons"].asDict() == {"slot": "ok", "budget": "ok", "country": "ok", "condition": "ok", "size": "ok", "words": None}
+
+
+def test_near_budget_and_unknowns(spark):
+    r = run(spark, [(1, "helmet", None, "used", 9000.0, None, {"head_cm": 59.0})])
+    near = next(x for x in r if x["offer_id"] == 3)["reasons"] if any(x["offer_id"] == 3 for x in r) else None
+    best = next(x for x in r if x["offer_id"] == 1)
+    assert near is None or near["budget"] == "near"
+    assert best["reasons"]["country"] == "any" and best["reasons"]["size"] == "ok"
+
+
+def test_words_share(spark):
+    r = run(spark, [(1, "helmet", "RU", None, 10000.0, "ищу бацинет кожаный", None)])[0]
+    assert r["reasons"]["words"] == "1/2" and r["score"] == 0.865
+
+
+def test_pool_cap_keeps_newest(spark):
+    lots = spark.range(300).select(
+        F.col("id").cast("int").alias("offer_id"), F.lit("s").alias("slot_id"), F.lit("t").alias("title"), F.lit(1.0).alias("price"), F.lit("C").alias("country"), F.lit("new").alias("cond"),
+        F.lit("active").alias("status"), F.timestamp_seconds(F.col("id") % 50).alias("posted_at"))
+    kept = {r[0] for r in m.candidate_pool(lots, per_spec=20).select("offer_id").collect()}
+    want = sorted(range(300), key=lambda i: (-(i % 50), -i))[:20]
+    assert kept == set(want)
+
+
+def test_pruning_equals_full_ranking(spark, sf):
+    """Scoring everything and ranking gives the same matches as the two-pass form."""
+    wants, offers = v.wants(spark, sf), v.offers(spark, sf)
+    pruned = m.match_wants(wants, offers, 5)
+    full = m.scored_pairs(m.specs_from_wants(wants), m.offer_pool(offers, ["length_cm"]), ["length_cm"]).where("score >= 0.5")
+    full = m.top_k(full.select("spec_id", "offer_id", "score"), ["spec_id"], [F.col("score").desc(), F.col("offer_id").desc()], 5, rank="rank")
+    a = {tuple(r) for r in pruned.select("spec_id", "offer_id", "rank", "score").collect()}
+    b = {tuple(r) for r in full.select("spec_id", "offer_id", "rank", "score").collect()}
+    assert a == b and a
+
+
+def test_upsert_is_idempotent(spark, sf):
+    best = m.match_wants(v.wants(spark, sf), v.offers(spark, sf))
+    again = m.upsert_matches(best, best).groupBy("change").count().collect()
+    assert [r["change"] for r in again] == ["refreshed"]
