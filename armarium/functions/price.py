@@ -8,7 +8,7 @@ from ..constants import (
     PAY_WINDOW, PAY_WORD_PATTERN, PRICE_CURRENCY_PATTERNS, PRICE_GROSS_PATTERN, PRICE_NET_PATTERN,
     PRICE_PERIOD_PATTERNS,
 )
-from .text import has, rx
+from .text import has, rx, settled
 
 # --- fixed values: number forms --------------------------------------------------------------
 NUMBER = r"\d[\d\s.,]*"
@@ -39,38 +39,44 @@ def parse_price(df: DataFrame, text: str, free_text: bool = False) -> DataFrame:
     """
     t = F.col(text)
 
-    def group(pattern: str, i: int) -> Column:
-        return F.regexp_extract(t, rx(pattern), i)
+    # whole match of each form once per text; its parts are then read from the short match
+    def match(pattern: str) -> Column:
+        return F.regexp_extract(t, rx(pattern), 0)
 
-    # matched once per form, then reused by name
-    found = df.withColumn("_p", F.struct(
-        F.struct(*[group(RANGE, i).alias(n) for i, n in enumerate(["lo", "lo_mult", "hi", "hi_mult"], 1)]).alias("range"),
-        *[F.struct(group(p, 1).alias("v"), group(p, 2).alias("mult")).alias(n) for n, p in (("upto", UP_TO), ("from", FROM), ("bare", BARE))],
-        first_of(t, PRICE_CURRENCY_PATTERNS).alias("currency"), first_of(t, PRICE_PERIOD_PATTERNS).alias("period"),
-        F.when(has(t, PRICE_NET_PATTERN), "net").when(has(t, PRICE_GROSS_PATTERN), "gross").alias("basis"),
-    ))
-    shared = F.when(F.col("_p.range.lo_mult") != "", F.col("_p.range.lo_mult")).otherwise(F.col("_p.range.hi_mult"))
-    is_range, is_upto, is_from = F.col("_p.range.lo") != "", F.col("_p.upto.v") != "", F.col("_p.from.v") != ""
-    bare = _amount(F.col("_p.bare.v"), F.col("_p.bare.mult"))
+    found = settled(df, {
+        "_range": match(RANGE), "_upto": match(UP_TO), "_from": match(FROM), "_bare": match(BARE),
+        "_currency": first_of(t, PRICE_CURRENCY_PATTERNS), "_period": first_of(t, PRICE_PERIOD_PATTERNS),
+        "_basis": F.when(has(t, PRICE_NET_PATTERN), "net").when(has(t, PRICE_GROSS_PATTERN), "gross"),
+        "_at": (F.regexp_instr(t, F.lit(rx(FREE_NUMBER))) - 1) if free_text else F.lit(0)})
+
+    def group(form: str, pattern: str, i: int) -> Column:
+        return F.regexp_extract(F.col(form), rx(pattern), i)
+
+    found = settled(found, {
+        **{n: group("_range", RANGE, i) for i, n in enumerate(["_lo", "_lo_mult", "_hi", "_hi_mult"], 1)},
+        **{f"{form}_{n}": group(form, p, i) for form, p in (("_upto", UP_TO), ("_from", FROM), ("_bare", BARE)) for i, n in ((1, "v"), (2, "mult"))}})
+    shared = F.when(F.col("_lo_mult") != "", F.col("_lo_mult")).otherwise(F.col("_hi_mult"))
+    is_range, is_upto, is_from = F.col("_lo") != "", F.col("_upto_v") != "", F.col("_from_v") != ""
+    bare = _amount(F.col("_bare_v"), F.col("_bare_mult"))
     if free_text:
-        at = F.regexp_instr(t, F.lit(rx(FREE_NUMBER))) - 1
+        at = F.col("_at")
         start = F.greatest(at - PAY_WINDOW, F.lit(0))
-        around = F.substring(t, start + 1, at - start + F.length(F.col("_p.bare.v")) + PAY_WINDOW)
+        around = F.substring(t, start + 1, at - start + F.length(F.col("_bare_v")) + PAY_WINDOW)
         near_pay = has(around, PAY_WORD_PATTERN)
         for _, pattern in PRICE_CURRENCY_PATTERNS + PRICE_PERIOD_PATTERNS:
             near_pay = near_pay | has(around, pattern)
-        bare = F.when((F.col("_p.bare.mult") != "") | near_pay, bare)
-    low = F.when(is_range, _amount(F.col("_p.range.lo"), shared)).when(is_upto, F.lit(None)).when(is_from, _amount(F.col("_p.from.v"), F.col("_p.from.mult"))).otherwise(bare)
-    high = F.when(is_range, _amount(F.col("_p.range.hi"), shared)).when(is_upto, _amount(F.col("_p.upto.v"), F.col("_p.upto.mult")))
-    bounded = found.withColumn("_b", F.struct(low.alias("low"), high.alias("high")))
-    lo, hi = F.col("_b.low"), F.col("_b.high")
+        bare = F.when((F.col("_bare_mult") != "") | near_pay, bare)
+    low = F.when(is_range, _amount(F.col("_lo"), shared)).when(is_upto, F.lit(None)).when(is_from, _amount(F.col("_from_v"), F.col("_from_mult"))).otherwise(bare)
+    high = F.when(is_range, _amount(F.col("_hi"), shared)).when(is_upto, _amount(F.col("_upto_v"), F.col("_upto_mult")))
+    bounded = settled(found, {"_low": low, "_high": high})
+    lo, hi = F.col("_low"), F.col("_high")
     top, bottom = F.greatest(lo, hi), F.least(lo, hi)  # both skip NULL
-    too_small = (top < 1000) & F.coalesce(F.col("_p.period") != "hour", F.lit(True))
+    too_small = (top < 1000) & F.coalesce(F.col("_period") != "hour", F.lit(True))
     year_like = (bottom >= 1990) & (top <= 2100)
     if not free_text:
-        year_like = year_like & F.col("_p.currency").isNull() & F.col("_p.period").isNull()
+        year_like = year_like & F.col("_currency").isNull() & F.col("_period").isNull()
     keep = ~F.coalesce(too_small | (top >= 1000000000) | year_like, F.lit(False))
     blank = t.isNull() | ~t.rlike(r"(?U)\S")
-    return bounded.withColumn("price", F.when(~blank, F.struct(
-        F.when(keep, lo).alias("low"), F.when(keep, hi).alias("high"), F.col("_p.currency").alias("currency"),
-        F.col("_p.period").alias("period"), F.col("_p.basis").alias("basis")))).drop("_p", "_b")
+    return bounded.select(*df.columns, F.when(~blank, F.struct(
+        F.when(keep, lo).alias("low"), F.when(keep, hi).alias("high"), F.col("_currency").alias("currency"),
+        F.col("_period").alias("period"), F.col("_basis").alias("basis"))).alias("price"))

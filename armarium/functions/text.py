@@ -23,10 +23,10 @@ def has(c: Column, pattern: str) -> Column:
     return c.rlike(rx(pattern))
 
 
-def settled(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """Add a costly column that is computed once per row. Filters and projections above would otherwise be
-    merged into it and repeat it for each mention; nothing moves below a generator of its own output."""
-    return df.select("*", F.inline(F.array(F.struct(value.alias(name)))))
+def settled(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add costly columns that are computed once per row. Filters and projections above would otherwise be
+    merged into them and repeat them for each mention; nothing moves below a generator of its own output."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
 def words_array(words: list[str]) -> Column:

@@ -25,8 +25,8 @@ def _signed(bits: int) -> int:
 
 def shingles(docs: DataFrame, text: str = "text") -> DataFrame:
     """Word pairs of the normalised text; texts with fewer than eight tokens have none."""
-    tokens = settled(docs, "_tokens", dedup_tokens(dedup_text(nfkc(F.col(text)))))
-    return settled(tokens, "shingles", F.when(F.size("_tokens") >= SIMHASH_MIN_TOKENS, word_pairs(F.col("_tokens")))).drop("_tokens")
+    tokens = settled(docs, {"_tokens": dedup_tokens(dedup_text(nfkc(F.col(text))))})
+    return settled(tokens, {"shingles": F.when(F.size("_tokens") >= SIMHASH_MIN_TOKENS, word_pairs(F.col("_tokens")))}).drop("_tokens")
 
 
 def fingerprints(docs: DataFrame, key: str, text: str = "text") -> DataFrame:

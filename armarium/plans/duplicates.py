@@ -11,7 +11,7 @@ TODAY = "2024-02-15"
 
 
 def docs(spark, d):
-    return v.table(spark, d, "documents")
+    return v.texts(spark, d)
 
 
 def fps(spark, d):

@@ -47,7 +47,7 @@ def fill(template, **parts):
 
 
 def phrases(spark, d):
-    line = v.table(spark, d, "lineitem")
+    line = v.balanced(v.table(spark, d, "lineitem"))
     key = F.col("l_orderkey") * 7 + F.col("l_linenumber")
     return line.select(
         "l_orderkey", "l_linenumber", "l_partkey", fill(pick(PHRASES, key), p=F.floor("l_extendedprice"), q=F.floor("l_quantity")).alias("text"))
@@ -172,7 +172,7 @@ def alias_stems(spark, d):
 
 
 def keyword_sets(spark, d):
-    docs = v.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("t"))
+    docs = v.texts(spark, d).select(F.col("doc_id").alias("id"), F.col("text").alias("t"))
     names = v.table(spark, d, "part").select((F.col("p_partkey") + 1000000000).alias("id"), F.col("p_name").alias("t"))
     k = docs.unionByName(names).select("id", F.array_sort(text.keyword_set(F.col("t"))).alias("w"))
     return k.select("id", F.size("w").alias("n_words"), F.md5(F.array_join("w", " ")).alias("words_md5"))
@@ -180,7 +180,7 @@ def keyword_sets(spark, d):
 
 def dedup_texts(spark, d):
     n = text.dedup_text(text.nfkc(F.col("text")))
-    docs = v.table(spark, d, "documents").select("doc_id", n.alias("norm"))
+    docs = v.texts(spark, d).select("doc_id", n.alias("norm"))
     docs = docs.select("doc_id", "norm", text.dedup_tokens(F.col("norm")).alias("tokens"))
     return docs.select("doc_id", F.size("tokens").alias("n_tokens"), F.md5(F.array_join("tokens", " ")).alias("tokens_md5"))
 

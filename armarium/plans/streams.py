@@ -47,7 +47,7 @@ def replay_dedup(spark, d):
 
 def near_duplicates(spark, d):
     """Documents in two arrivals; the second meets the kept fingerprints of the first."""
-    fps = dd.cut_lineage(dd.fingerprints(v.table(spark, d, "documents"), "doc_id")).select(
+    fps = dd.cut_lineage(dd.fingerprints(v.texts(spark, d), "doc_id")).select(
         F.col("doc_id").alias("item"), "fp", F.lit("2024-01-20").cast("timestamp").alias("created_at"))
     middle = v.table(spark, d, "documents").agg((F.max("doc_id") / 2).alias("m")).scalar()
     fps = fps.withColumn("first", F.col("item") < middle)

@@ -40,6 +40,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def balanced(df: DataFrame) -> DataFrame:
+    """Spread the rows of a scan that has fewer splits than the cluster has task slots, as a small file with
+    one row group does. A large table already has more splits and is read as it is."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balanced(table(spark, sf_dir, "documents"))
+
+
 def currency_of(nation_key):
     """Trading currency of a nation: a fixed rotation of six codes."""
     return F.element_at(F.array(*[F.lit(c) for c in CURRENCIES]), (F.pmod(nation_key, F.lit(len(CURRENCIES))) + 1).cast("int"))
@@ -97,7 +108,7 @@ def listing_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     tpl = F.array(*[F.lit(t) for t in LISTING_TEMPLATES])
     pick = (F.col("o_orderkey") % len(LISTING_TEMPLATES) + 1).cast("int")
     amount = F.floor("o_totalprice").cast("string")
-    return table(spark, sf_dir, "orders").select(
+    return balanced(table(spark, sf_dir, "orders")).select(
         (F.col("o_orderkey") + 1000000000).alias("item_id"),
         F.concat(F.lit("board"), (F.col("o_orderkey") % 7).cast("string")).alias("source_id"),
         F.replace(F.element_at(tpl, pick), F.lit("{n}"), amount).alias("text"),
@@ -107,7 +118,7 @@ def listing_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents and listing lines in one landed schema."""
-    docs = table(spark, sf_dir, "documents").select(
+    docs = texts(spark, sf_dir).select(
         F.col("doc_id").alias("item_id"), F.col("source").alias("source_id"), "text", "lang",
         F.lit(None).cast("timestamp").alias("posted_at"),
     )
