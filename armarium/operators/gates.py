@@ -67,7 +67,7 @@ def availability(available: Column) -> Column:
 def gate_flags(items: DataFrame, sources: DataFrame) -> DataFrame:
     """Every fact the cascade reads, once per row: source gates, deal verb and slot in the head, slot, digest."""
     gated = sources.select("source_id", F.col("kind").isin(GATED_SOURCE_KINDS).alias("feed_gated"), (F.coalesce("gate", F.lit("")) == "slot").alias("slot_gated"))
-    d = items.join(F.broadcast(gated), "source_id", "left").withColumns({
+    d = items.join(gated, "source_id", "left").withColumns({
         "feed_gated": F.coalesce("feed_gated", F.lit(False)), "slot_gated": F.coalesce("slot_gated", F.lit(False)),
         "_gate_head": F.concat_ws(" ", F.coalesce("title", F.lit("")), F.substring("text", 1, FEED_GATE_HEAD))})
     d = match_slots(best_slot(d, "title", None, "text"), "_gate_head", "_head_slots")
