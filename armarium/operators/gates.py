@@ -69,7 +69,7 @@ def gate_flags(items: DataFrame, sources: DataFrame) -> DataFrame:
     gated = sources.select("source_id", F.col("kind").isin(GATED_SOURCE_KINDS).alias("feed_gated"), (F.coalesce("gate", F.lit("")) == "slot").alias("slot_gated"))
     d = items.join(gated, "source_id", "left").withColumns({
         "feed_gated": F.coalesce("feed_gated", F.lit(False)), "slot_gated": F.coalesce("slot_gated", F.lit(False)),
-        "_gate_head": F.concat_ws(" ", F.coalesce("title", F.lit("")), F.substring("text", 1, FEED_GATE_HEAD))})
+        "_gate_head": F.when(F.col("feed_gated"), F.concat_ws(" ", F.coalesce("title", F.lit("")), F.substring("text", 1, FEED_GATE_HEAD)))})
     d = match_slots(best_slot(d, "title", None, "text"), "_gate_head", "_head_slots")
     return d.withColumns({
         "is_empty": is_empty(F.col("text")), "deal_in_head": has(F.substring("text", 1, FEED_GATE_HEAD), SALE_PATTERN) & (F.size("_head_slots") > 0),
