@@ -33,11 +33,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def rows_per_task(df: DataFrame, rows: int) -> int:
-    """How many tasks ``df`` needs at ``rows`` rows each; one at least."""
-    return df.count() // rows + 1
-
-
 def of_worker(name: str, make: Callable[[], Any]) -> Any:
     """An object that one Python worker makes once and keeps for its later tasks (a loaded tokenizer, a
     bounded cache). Functions here travel by value, so their module's globals do not outlive a task."""
@@ -45,3 +40,16 @@ def of_worker(name: str, make: Callable[[], Any]) -> Any:
     if not hasattr(kept, name):
         setattr(kept, name, make())
     return getattr(kept, name)
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, on: str, size: str, total: int) -> DataFrame:
+    """``rows`` left joined with a stored table that has one row and the row count of each group of ``on``.
+
+    A group of more than a thousand rows and a ten-thousandth of all is large; there are at most ten thousand
+    of those, so they are broadcast and their rows stay where they are. The other groups are joined by key,
+    and none of them is hot."""
+    large = max(1000, total // 10_000)
+    columns = [c for c in groups.columns if c != on]
+    first = rows.join(F.broadcast(groups.where(F.col(size) > large)), on, "left")
+    rest = first.where(F.col(size).isNull()).drop(*columns).join(groups.where(F.col(size) <= large), on, "left")
+    return first.where(F.col(size).isNotNull()).unionByName(rest)

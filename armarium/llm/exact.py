@@ -10,14 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text, written
+from .common import join_groups, whole_text, written
 
 BITS_PER_ROW = 16
 SLICE_BITS = 8 * 4096  # of one bitmap row; fixed by bitmap_bucket_number
 #: Largest filter that is sent to every executor; beyond it rows meet their filter slice by a join.
 BROADCAST_BYTES = 64 << 20
-#: A group of copies with more rows than this, and more than a ten-thousandth of all rows, is joined apart.
-LARGE_GROUP = 1000
 
 
 def digest(text: str = "text") -> Column:
@@ -66,11 +64,7 @@ def copies(docs: DataFrame, key: str = "doc_id", text: str = "text", broadcast_b
     possible = flagged.where("possible").drop("possible")
     me = F.struct("key", "rid")
     groups = written(possible.groupBy("sha").agg(F.count(F.lit(1)).alias("n"), F.max(me).alias("top")).where("n > 1"), "groups")
-    # At most ten thousand groups can be this large, so they are broadcast; no other key is hot.
-    large = max(LARGE_GROUP, rows // 10_000)
-    near = possible.join(F.broadcast(groups.where(F.col("n") > large)), "sha", "left")
-    rest = near.where("n is null").drop("n", "top").join(groups.where(F.col("n") <= large), "sha", "left")
-    many = near.where("n is not null").unionByName(rest).withColumn("top", F.coalesce("top", me))
+    many = join_groups(possible, groups, "sha", "n", rows).withColumn("top", F.coalesce("top", me))
     alone = flagged.where("not possible").select("rid", "key", "sha", F.lit(1).cast("bigint").alias("n"), me.alias("top"))
     return alone.unionByName(many).select(
         F.col("key").alias(key), F.col("top.key").alias("keep_id"), F.coalesce("n", F.lit(1)).cast("bigint").alias("group_size"),

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import exact, packing, rules, tokens
+from . import exact, packing, quality, rules, simhash, tokens
 from .common import table
 
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -14,6 +14,11 @@ def op1_packing(spark, d):
     return packing.pack_documents(table(spark, d, "documents"), public_tokenizers.path(WORD_VOCABULARY))
 
 
+def op2_quality_classifier(spark, d):
+    docs = table(spark, d, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, d, "labels")))
+
+
 def op3_quality_rules(spark, d):
     return rules.judge(table(spark, d, "documents"))
 
@@ -26,8 +31,13 @@ def op5_exact_dedup(spark, d):
     return exact.copies(table(spark, d, "documents"))
 
 
+def op7_simhash(spark, d):
+    return simhash.near_copies(table(spark, d, "documents"))
+
+
 QUERIES = {
-    "op1_packing": op1_packing, "op3_quality_rules": op3_quality_rules, "op4_token_counts": op4_token_counts, "op5_exact_dedup": op5_exact_dedup,
+    "op1_packing": op1_packing, "op2_quality_classifier": op2_quality_classifier, "op3_quality_rules": op3_quality_rules, "op4_token_counts": op4_token_counts, "op5_exact_dedup": op5_exact_dedup,
+    "op7_simhash": op7_simhash,
 }
 
 ORACLE = {
