@@ -2,12 +2,16 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from . import exact, packing, quality, rules, simhash, tokens
+from . import exact, packing, pages, quality, rules, shards, simhash, tokens, unigram, urls
 from .common import table
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 BYTE_VOCABULARY = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
+# --- fixed values: host and path rules ---------------------------------------------------------
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
 
 def op1_packing(spark, d):
@@ -35,13 +39,36 @@ def op7_simhash(spark, d):
     return simhash.near_copies(table(spark, d, "documents"))
 
 
+def op6_sharding(spark, d):
+    return shards.with_sizes(shards.assign(table(spark, d, "documents"))).select(F.col("key").alias("doc_id"), "n_bytes", "depth", "shard_id", "shard_bytes")
+
+
+def op8_url_filters(spark, d):
+    """Labels reach a page through the document that the number in its path names."""
+    pages_ = table(spark, d, "pages")
+    return urls.judge(pages_, urls.labelled_by_document(pages_, table(spark, d, "labels")), URL_RULES)
+
+
+def op9_html_extraction(spark, d):
+    return pages.extract(table(spark, d, "pages"))
+
+
+def op10_sentencepiece(spark, d):
+    return unigram.round_trips(table(spark, d, "documents"), public_tokenizers.path(PIECES))
+
+
 QUERIES = {
     "op1_packing": op1_packing, "op2_quality_classifier": op2_quality_classifier, "op3_quality_rules": op3_quality_rules, "op4_token_counts": op4_token_counts, "op5_exact_dedup": op5_exact_dedup,
-    "op7_simhash": op7_simhash,
+    "op6_sharding": op6_sharding, "op7_simhash": op7_simhash, "op8_url_filters": op8_url_filters, "op9_html_extraction": op9_html_extraction,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 
 ORACLE = {
     "op5_exact_dedup": """WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
         g AS (SELECT x, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY 1)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(x) AS text_sha256 FROM t JOIN g USING (x)""",
+    "op6_sharding": f"""WITH t AS (SELECT doc_id, strlen(coalesce(text, '')) AS n_bytes, ('0x' || substr(md5(doc_id::VARCHAR || ':' || coalesce(text, '')), 1, 10))::BIGINT AS h FROM documents),
+        lv AS (SELECT d, h >> (40 - d) AS p, sum(n_bytes) AS b FROM t, range(0, 25) r(d) WHERE n_bytes <= {shards.SHARD_BYTES} GROUP BY 1, 2),
+        lf AS (SELECT a.* FROM lv a LEFT JOIN lv u ON u.d = a.d - 1 AND u.p = a.p >> 1 WHERE a.b <= {shards.SHARD_BYTES} AND (u.b IS NULL OR u.b > {shards.SHARD_BYTES}))
+        SELECT doc_id, n_bytes, d::INT AS depth, CASE WHEN d = 0 THEN '' ELSE lpad(bin(p), d::INT, '0') END AS shard_id, b::BIGINT AS shard_bytes FROM t JOIN lf ON h >> (40 - d) = p""",
 }
