@@ -21,8 +21,8 @@ from .wordpieces import word_ids
 WINDOW = 2048
 END_ID = 1
 PIECES = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
-#: Pieces that one task numbers at a time.
-NUMBERED = 100_000
+#: Pieces of one length that are numbered together.
+NUMBERED = 2000
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
@@ -154,9 +154,9 @@ def pack(pieces: DataFrame, window: int = WINDOW, key: str = "doc_id") -> DataFr
     """
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     runs = runs_of(best_fit_decreasing(counts, window), window)
-    buckets = sum(counts.values()) // NUMBERED + 1
+    buckets = F.array(*[F.lit(counts.get(n, 0) // NUMBERED + 1) for n in range(window + 1)])
     order = [c for c in (key, "start", "ids_crc32", "doc_tokens")]
-    dealt = pieces.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
+    dealt = pieces.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.get(buckets, F.col("length"))))
     per = dealt.groupBy("length", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = per.withColumn("_before", F.sum("_n").over(Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))).drop("_n")
     place = F.row_number().over(Window.partitionBy("length", "_bucket").orderBy(*order)) - 1
