@@ -17,18 +17,14 @@ CATEGORIES = ["Услуги Консультаций и Проведения М
               "Клей и расходники", "Аксессуары", None, "Verleih"]
 TITLES = ["Лучный Тир", "Кольчуга в аренду", "Меч на заказ по эскизу", "Меч по эскизу", "Каролинг тип X", "Ремонт кольчуги",
           "Repair Glue - Sword & Shield 10 g", "Kontaktlinsen-Event-Kit", "Armour for rent", "Мастер-класс по ковке", "Оценка доспеха"]
-TRAP_TEXTS = ["Ищем разработчика с solid experience", "Знание принципов SOLID и чистого кода", "Опыт работы с HTTP requests и REST API",
-              "Python, requests, BeautifulSoup — парсинг", "Аналитик: SQL, R, Python", "Отдел R&D ищет аналитика",
-              "Знание C/C++ на продвинутом уровне", "Node.js and NodeJS", "Backend developer C# / .NET Core", "Подробнее на site.net"]
+TRAP_TEXTS = ["Send me a mail if you want the riveted hauberk", "Hauberk of riveted mail, size L", "E-mail us about mail armour made of rings", "Silk bow tie for the ball",
+              "Yew bow with two strings and arrows", "Rapier and buckler, C-ring included", "c-ring binder", "DrShield foam buckler", "Dr.Shield leather kit", "Tent poles only", "Tent with tent poles",
+              "Forge work on request"]
 TRAP_RULES = [
-    vb.Rule("SOLID", "st_solid", require=r"принцип|principle|ООП|OOP|\bDRY\b|\bKISS\b|паттерн|чист\w+\s+код|clean\s+code",
-            forbid=r"solid\s+(experience|background|knowledge|understanding|grasp|track)"),
-    vb.Rule("requests", "t_requests", require=r"import\s+requests|\bpython\b|pip\s+install", forbid=r"(http|pull|merge|api|feature|change|user)\s+requests"),
-    vb.Rule("R", "t_r", pattern=r"\bR\b", require=r"\bR\s*Studio|язык\w*\s+R\b|\bR\b\s*[,;]\s*(python|sql|matlab|stata|sas)", forbid=r"R\s*&\s*D"),
-    vb.Rule("C", "t_c", pattern=r"(?-i:\bC\b)(?!\+\+|#)", require=r"C\s*/\s*C\+\+|язык\w*\s+C\b|embedded|\bLinux\b", forbid=r"C\s*&\s*B|C-level"),
-    vb.Rule("C++", "t_cpp", pattern=r"C\+\+"), vb.Rule("Python", "t_python"), vb.Rule("SQL", "t_sql"), vb.Rule("Node.js", "t_node"),
-    vb.Rule(".NET", "t_dotnet", pattern=r"\.NET", require=r"c#|\.net\s*(core|framework|\d)|developer|backend", forbid=r"https?://\S*\.net"),
-    vb.Rule("enterprise", "oc_enterprise", never=True),
+    vb.Rule("mail", "armour_mail", require=r"armou?r|hauberk|\brings\b", forbid=r"e-?mail|\ba\s+mail\b"),
+    vb.Rule("bow", "weapon_bow", pattern=r"\bbow\b", require=r"arrow|string|draw\s+weight", forbid=r"bow\s+ties?"),
+    vb.Rule("C-ring", "part_ring", pattern=r"(?-i:\bC-ring\b)"), vb.Rule("rapier", "weapon_rapier"), vb.Rule("buckler", "shield_buckler"),
+    vb.Rule("Dr.Shield", "maker_shield"), vb.Rule("tent", "camp_tent", forbid=r"tent\s+poles?"), vb.Rule("forge", "service_forge", never=True),
 ]
 
 

@@ -121,13 +121,16 @@ def test_metadata_merge(spark):
 
 
 def test_guarded_matches(spark):
-    rows = [("Ищем разработчика с solid experience", []), ("Знание принципов SOLID и чистого кода", ["st_solid"]), ("solid experience; ниже: принципы SOLID обязательны", ["st_solid"]),
-            ("Опыт работы с HTTP requests и REST API", []), ("Python, requests, BeautifulSoup — парсинг", ["t_python", "t_requests"]), ("Отдел R&D ищет аналитика", []),
-            ("Аналитик: SQL, R, Python", ["t_python", "t_r", "t_sql"]), ("Разработка enterprise-решений", []), ("c 9am до 6pm", []), ("Знание C/C++ на продвинутом уровне", ["t_c", "t_cpp"]),
-            ("Node.js", ["t_node"]), ("NodeJS", ["t_node"]), ("Backend developer C# / .NET Core", ["t_dotnet"]), ("Подробнее на site.net", []), ("Pythonic", [])]
+    rows = [("Send me a mail if you want the riveted hauberk", []), ("Hauberk of riveted mail, size L", ["armour_mail"]), ("E-mail us about mail armour made of rings", ["armour_mail"]),
+            ("Silk bow tie for the ball", []), ("Yew bow with two strings and arrows", ["weapon_bow"]), ("Bow tie, and a bow with arrows", ["weapon_bow"]),
+            ("Rapier and buckler, C-ring included", ["part_ring", "shield_buckler", "weapon_rapier"]), ("c-ring binder", []), ("DrShield foam buckler", ["maker_shield", "shield_buckler"]),
+            ("Dr.Shield leather kit", ["maker_shield"]), ("Tent poles only", []), ("Tent with tent poles", ["camp_tent"]), ("Forge work on request", []), ("Bucklers", []), (None, []),
+            ("mail " + "x" * 100 + " hauberk", []), ("hauberk " + "mail " * 3, ["armour_mail"])]
     df = vocab.guarded_matches(table(spark, [(t,) for t, _ in rows], "t string"), "t", TRAP_RULES)
-    got = [sorted(m["entity"] for m in r) for r in column(df, "matches")]
-    assert got == [sorted(e) for _, e in rows]
+    found = column(df, "matches")
+    assert [sorted(m["entity"] for m in r) for r in found] == [sorted(e) for _, e in rows]
+    assert all(t[m["start"]:m["start"] + len(m["alias"])] == m["alias"] for (t, _), r in zip(rows, found) for m in r)
+    assert [m["start"] for m in found[2]] == [16]
 
 
 def test_both_matcher_forms_agree(spark, sf):
