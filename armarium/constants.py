@@ -12,7 +12,6 @@ BUDGET_TOLERANCE = 1.15
 SIZE_TOLERANCE_CM = 4
 MIN_SCORE = 0.5
 TOP_MATCHES = 20
-CANDIDATES_PER_SPEC = 2000
 KEYWORD_PATTERN = "[a-zа-яё]{4,}"
 MATCH_STOP_WORDS = [
     "продам", "куплю", "ищу", "нужен", "нужна", "suche", "gezocht", "larp", "ларп",

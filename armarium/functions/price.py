@@ -25,10 +25,11 @@ def first_of(text: Column, table: list[tuple[str, str]]) -> Column:
 
 
 def _amount(number: Column, multiplier: Column) -> Column:
-    """Digits without blanks and commas; a value that is no number (two dots) is absent."""
+    """Digits without blanks and commas; a value that is no number (two dots) is absent. One too large for a
+    price is held at a bound far above the largest, so that its form still decides and then has no bounds."""
     clean = F.rtrim(F.regexp_replace(number, r"(?U)[\s,]", ""), F.lit("."))
     value = clean.try_cast("double")
-    return F.rint(F.when(multiplier != "", value * 1000).otherwise(value)).cast("bigint")
+    return F.rint(F.least(F.when(multiplier != "", value * 1000).otherwise(value), F.lit(1e15))).cast("bigint")
 
 
 def parse_price(df: DataFrame, text: str, free_text: bool = False) -> DataFrame:

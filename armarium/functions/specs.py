@@ -22,7 +22,6 @@ RU_TOTAL_LENGTH = r"общая\s+длина[:\s]*(\d{2,3})\s*см"
 RU_BLADE = r"клинок[:\s]*(\d{2,3})\s*см"
 RU_PRODUCT_WEIGHT = r"вес[:\s]*(\d(?:[.,]\d{1,2})?)\s*кг"
 RU_HARDNESS = r"(?:плотность|жёсткость|жесткость)[:\s]*(\d{2})\s*шор|(\d{2})\s*шор"
-MATERIALS_MAX = 6
 
 
 def _get(text: Column, pattern: str, i: int = 1) -> Column:
@@ -47,7 +46,7 @@ def english_specs(html: Column) -> Column:
     around = F.lower(F.substring(t, start + 1, at - start + F.length(whole) + 12))
     said = around.rlike("long|length|is |measures|approx") & ~around.rlike("wide|diameter")
     found = F.regexp_extract_all(t, F.lit(rx(EN_MATERIAL)), F.lit(1))
-    materials = F.slice(F.array_sort(F.array_distinct(F.transform(found, lambda m: F.lower(m)))), 1, MATERIALS_MAX)
+    materials = F.array_sort(F.array_distinct(F.transform(found, lambda m: F.lower(m))))
     return F.struct(
         F.when((whole != "") & said, _number(_get(t, EN_LENGTH))).alias("length_cm"), _number(_get(t, EN_WEIGHT)).alias("weight_g"),
         F.replace(F.lower(_get(t, EN_CORE)), F.lit(" "), F.lit("")).alias("core"), F.lower(_get(t, EN_COATING)).alias("coating"),

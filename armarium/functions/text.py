@@ -39,8 +39,8 @@ def keyword_set(c: Column) -> Column:
     return F.array_except(F.coalesce(found, F.array().cast("array<string>")), words_array(MATCH_STOP_WORDS))
 
 
-def first_line(c: Column, limit: int = 200) -> Column:
-    return F.substring(F.split_part(c, F.lit("\n"), F.lit(1)), 1, limit)
+def first_line(c: Column) -> Column:
+    return F.split_part(c, F.lit("\n"), F.lit(1))
 
 
 def canonical_handle(c: Column) -> Column:

@@ -38,12 +38,15 @@ def price_histogram(lots: DataFrame, price: str = "price", bins: int = HISTOGRAM
         "bin", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def price_position(offers: DataFrame, width: float = 256.0) -> DataFrame:
-    """Per offer: upper median of its slot and the rounded share of cheaper offers in the slot."""
-    counts = value_counts_below(offers, "slot_id", "price", width)
+def price_position(offers: DataFrame, price: str, width: float = 16384.0) -> DataFrame:
+    """Per offer: upper median of its slot and the rounded share of cheaper offers in the slot. ``price`` is in
+    the base currency. Offers without a price or for nothing are no peers, but have a position."""
+    counts = value_counts_below(offers.where(F.col(price) > 0), "slot_id", price, width)
     pct = half_up(F.col("n_below") * 100.0 / F.col("n_key")).cast("int")
-    per_price = counts.join(upper_median(counts, "slot_id", "price"), "slot_id").select("slot_id", "price", "median", pct.alias("pct"))
-    return offers.join(per_price, ["slot_id", "price"]).select("offer_id", "slot_id", "price", "median", "pct")
+    per_price = counts.select("slot_id", price, pct.alias("pct"))
+    medians = upper_median(counts, "slot_id", price)
+    out = offers.join(per_price, ["slot_id", price], "left").join(medians, "slot_id", "left")
+    return out.select("offer_id", "slot_id", price, "median", F.coalesce("pct", F.when(F.col("median").isNotNull(), 0)).alias("pct"))
 
 
 def scarcity(registry: DataFrame, k: int = SCARCITY_TOP) -> DataFrame:

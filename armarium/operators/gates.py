@@ -107,11 +107,11 @@ def build_lots(outcomes: DataFrame) -> DataFrame:
     has_meta = F.coalesce(F.col("meta_price") != "", F.lit(False))
     parsed = F.coalesce(F.nullif("price.low", F.lit(0)), "price.high")
     d = d.withColumns({
-        "amount": F.when(has_meta, F.col("meta_price").try_cast("double").cast("bigint")).otherwise(parsed),
+        "amount": F.when(has_meta, F.col("meta_price").try_cast("double").try_cast("bigint")).otherwise(parsed),
         "currency": F.coalesce("currency_raw", F.when(~has_meta, F.col("price.currency")))})
     d = to_rub_usd(d, rates_frame(d.sparkSession), "amount", "currency")
     return d.select(
         "source_id", "item_id", F.when(F.col("meta_service").isNotNull(), "service").otherwise(F.col("direction")).alias("direction"),
-        F.substring(F.coalesce(F.nullif("title", F.lit("")), F.substring("text", 1, 120)), 1, 500).alias("title"), "slot_id", "slot_confidence",
+        F.coalesce(F.nullif("title", F.lit("")), "text").alias("title"), "slot_id", "slot_confidence",
         F.col("amount").alias("price"), "currency", "price_rub", "price_usd",
         F.coalesce("meta_condition", condition_of(F.col("text"))).alias("condition"), "posted_at", F.lit("active").alias("lot_status"))

@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import (
-    BUDGET_TOLERANCE, CANDIDATES_PER_SPEC, FEED_MEASURES, MIN_SCORE, SCORE_UNIT, SIZE_TOLERANCE_CM, TOP_MATCHES,
+    BUDGET_TOLERANCE, FEED_MEASURES, MIN_SCORE, SCORE_UNIT, SIZE_TOLERANCE_CM, TOP_MATCHES,
     W_BUDGET, W_CONDITION, W_COUNTRY, W_SIZE, W_SLOT, W_WORDS,
 )
 from ..functions.text import keyword_set
@@ -33,12 +33,10 @@ def specs_from_filters(filters: DataFrame, measures: list[str] = FEED_MEASURES)
         keyword_set(F.coalesce("q", F.lit(""))).alias("words"))
 
 
-def candidate_pool(offers: DataFrame, per_spec: int = CANDIDATES_PER_SPEC, open_ended: bool = False) -> DataFrame:
-    """Newest active slotted offers per (slot, country).
+def candidate_pool(offers: DataFrame, open_ended: bool = False) -> DataFrame:
+    """All active slotted offers, keyed by (slot, country).
 
-    Every spec with the same slot and country sees the same newest offers, so the pool is cut once per
-    key instead of once per spec, and a spec meets at most ``per_spec`` offers. ``open_ended`` adds the
-    pools of specs that leave slot or country open (key ``*``).
+    ``open_ended`` adds the keys of specs that leave slot or country open (``*``).
     """
     active = offers.where("status = 'active' and slot_id is not null")
     if open_ended:
@@ -49,11 +47,8 @@ def candidate_pool(offers: DataFrame, per_spec: int = CANDIDATES_PER_SPEC, open_
             F.struct(F.lit(ANY).alias("k_slot"), F.lit(ANY).alias("k_country")),
         ))
         active = active.select("*", keys.alias("k")).select("*", "k.k_slot", "k.k_country").drop("k")
-        active = active.where("k_country is not null")
-    else:
-        active = active.where("country is not null").withColumns({"k_slot": F.col("slot_id"), "k_country": F.col("country")})
-    order = [F.col("posted_at").desc_nulls_last(), F.col("offer_id").desc()]
-    return top_k(active, ["k_slot", "k_country"], order, per_spec, rank="age_rank", salt_by=F.col("offer_id"))
+        return active.where("k_country is not null")
+    return active.where("country is not null").withColumns({"k_slot": F.col("slot_id"), "k_country": F.col("country")})
 
 
 def spread(specs: DataFrame, key: str) -> DataFrame:
@@ -175,8 +170,9 @@ def offer_pool(offers: DataFrame, measures: list[str], open_ended: bool = False)
 
 
 def match_wants(wants: DataFrame, offers: DataFrame, k: int = TOP_MATCHES) -> DataFrame:
-    """Open wants against active offers, best ``k`` each."""
-    return best_matches(specs_from_wants(wants), offer_pool(offers, ["length_cm"]), ["length_cm"], k)
+    """Open wants against active offers, best ``k`` each; a want may leave its slot or country open."""
+    open_ended = not wants.where("slot_id is null or country is null").isEmpty()
+    return best_matches(specs_from_wants(wants), offer_pool(offers, ["length_cm"], open_ended), ["length_cm"], k)
 
 
 def upsert_matches(known: DataFrame, fresh: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import HOME_SHARE, REFIT_TOLERANCE, SERVICES_TOP, SIMILAR_TOP, UNDATED_YEAR
+from ..session import work_path
 from .topk import top_k
 
 
@@ -37,9 +38,12 @@ def century_overlaps(year_from: Column, year_to: Column, century: Column) -> Col
     return F.coalesce((year_to > (century - 1) * 100) & (year_from < century * 100), F.lit(False))
 
 
-def period_conflict(year_from: Column, year_to: Column, arch_from: Column, arch_to: Column) -> tuple[Column, Column]:
-    """Kind (early, late, NULL) and distance in years between a lot's window and an archetype's."""
+def period_conflict(year_from: Column, year_to: Column, arch_from: Column, arch_to: Column, service: Column | None = None) -> tuple[Column, Column]:
+    """Kind (early, late, NULL) and distance in years between a lot's window and an archetype's. Services
+    belong to no period."""
     early, late = year_to < arch_from, year_from > arch_to
+    if service is not None:
+        early, late = early & ~service, late & ~service
     return (F.when(early, "early").when(late, "late"),
             F.when(early, arch_from - year_to).when(late, year_from - arch_to))
 
@@ -72,36 +76,45 @@ def similar_lots(lots: DataFrame, k: int = SIMILAR_TOP) -> DataFrame:
 
 
 def services_for(lots: DataFrame, services: DataFrame, k: int = SERVICES_TOP) -> DataFrame:
-    """Best services per lot: a refit first for a near fit, an exact scope before ``*``.
+    """Best services per lot: a refit first for a near fit, an exact scope before ``*``. A lot without slot
+    takes services for anything; an unknown fit is not near.
 
     The ranking depends only on (slot, near fit), so it is computed for those pairs and joined back.
     """
-    groups = lots.where("slot_id is not null").select("slot_id", (F.col("fit") == "refit").alias("near")).distinct()
+    near = F.coalesce(F.col("fit") == "refit", F.lit(False))
+    keyed = lots.withColumn("near", near)
     scoped = services.select("service_id", "kind", F.explode("scope").alias("scope"))
-    exact = groups.join(scoped, F.col("slot_id") == F.col("scope")).withColumn("exact", F.lit(0))
-    wide = groups.join(scoped.where("scope = '*'").withColumn("_one", F.lit(1)), F.lit(1) == F.col("_one")).drop("_one").withColumn("exact", F.lit(1))
-    both = exact.unionByName(wide).groupBy("slot_id", "near", "service_id", "kind").agg(F.min("exact").alias("exact"))
-    rank = F.when(F.col("near") & (F.col("kind") == "refit"), -2).otherwise(0) + F.col("exact")
-    ranked = top_k(both, ["slot_id", "near"], [rank, F.col("service_id")], k, rank="pos").select("slot_id", "near", "service_id", "pos")
-    return lots.withColumn("near", F.col("fit") == "refit").join(ranked, ["slot_id", "near"]).select("lot_id", "service_id", "pos")
+    rank = F.when(F.col("near") & (F.col("kind") == "refit"), -2).otherwise(0)
+    # The first ``k`` services for anything are all that a lot can take of them: twice ``k`` rows.
+    wide = scoped.where("scope = '*'").distinct().select("service_id", F.explode(F.array(F.lit(False), F.lit(True))).alias("near"), "kind").withColumn("rank", rank + 1)
+    wide = top_k(wide, ["near"], [F.col("rank"), F.col("service_id")], k, rank="pos")
+    groups = keyed.where("slot_id is not null").select("slot_id", "near").distinct()
+    exact = groups.join(scoped, F.col("slot_id") == F.col("scope")).select("slot_id", "near", "service_id", rank.alias("rank"))
+    both = exact.unionByName(groups.join(F.broadcast(wide), "near").select("slot_id", "near", "service_id", "rank"))
+    both = both.groupBy("slot_id", "near", "service_id").agg(F.min("rank").alias("rank"))
+    ranked = top_k(both, ["slot_id", "near"], [F.col("rank"), F.col("service_id")], k, rank="pos").select("slot_id", "near", "service_id", "pos")
+    open_slot = keyed.where("slot_id is null").join(F.broadcast(wide), "near").select("lot_id", "service_id", "pos")
+    return keyed.join(ranked, ["slot_id", "near"]).select("lot_id", "service_id", "pos").unionByName(open_slot)
 
 
 def archetype_coverage(required: DataFrame, offers: DataFrame) -> DataFrame:
     """Required slots with at least one active, period-compatible, fitting offer.
 
     ``required``: archetype_id, slot_id, arch_from, arch_to; one row per required slot. Offers meet only
-    the archetypes that ask for their slot and are combined to one row per (archetype, slot).
+    the archetypes that ask for their slot and are combined to one row per (archetype, slot). Conflicts are
+    counted over all active offers, asked for or not.
     """
-    met = offers.where("status = 'active'").join(required, "slot_id")
+    active = offers.where("status = 'active'")
     kind, _ = period_conflict(F.col("year_from"), F.col("year_to"), F.col("arch_from"), F.col("arch_to"))
-    met = met.withColumn("conflict", kind)
-    per_slot = met.groupBy("archetype_id", "slot_id").agg(
-        F.max((F.col("conflict").isNull() & F.col("fit").isin("fits", "refit")).cast("int")).alias("ok"),
-        F.count_if(F.col("conflict").isNotNull()).alias("n_conflicts"))
-    joined = required.select("archetype_id", "slot_id").join(per_slot, ["archetype_id", "slot_id"], "left")
-    return joined.groupBy("archetype_id").agg(
-        F.count(F.lit(1)).alias("n_required"), F.coalesce(F.sum("ok"), F.lit(0)).alias("n_covered"),
-        F.coalesce(F.sum("n_conflicts"), F.lit(0)).alias("n_conflicts"))
+    met = active.join(required, "slot_id")
+    per_slot = met.groupBy("archetype_id", "slot_id").agg(F.max((kind.isNull() & F.col("fit").isin("fits", "refit")).cast("int")).alias("ok"))
+    # Conflicts count over all active offers: once per window of years, then over the few archetypes.
+    windows = active.groupBy("year_from", "year_to").agg(F.count(F.lit(1)).alias("n"))
+    archetypes = required.select(F.struct("archetype_id", "arch_from", "arch_to").alias("a")).distinct().agg(F.collect_list("a")).scalar()
+    conflicts = windows.select("*", F.inline(archetypes)).groupBy("archetype_id").agg(F.coalesce(F.sum(F.when(kind.isNotNull(), F.col("n"))), F.lit(0)).alias("n_conflicts"))
+    covered = required.select("archetype_id", "slot_id").join(per_slot, ["archetype_id", "slot_id"], "left").groupBy("archetype_id").agg(
+        F.count(F.lit(1)).alias("n_required"), F.coalesce(F.sum("ok"), F.lit(0)).alias("n_covered"))
+    return covered.join(conflicts, "archetype_id", "left").select("archetype_id", "n_required", "n_covered", F.coalesce("n_conflicts", F.lit(0)).alias("n_conflicts"))
 
 
 def slot_outcomes(required: DataFrame, owned: DataFrame) -> DataFrame:
@@ -169,6 +182,20 @@ def newest_first(lots: DataFrame) -> DataFrame:
     return lots.orderBy(F.col("posted_at").desc_nulls_last(), F.col("lot_id").desc())
 
 
+def newest_places(lots: DataFrame) -> DataFrame:
+    """Adds the ``place`` of every lot in ``newest_first`` order. Ranges of the order are numbered apart, each
+    from the count of the ranges before; they are stored first, as their edges come from a sample."""
+    spark = lots.sparkSession
+    order = [F.col("posted_at").desc_nulls_last(), F.col("lot_id").desc()]
+    path = work_path(spark, "places")
+    lots.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    ranged = spark.read.parquet(path)
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))  # one row a range
+    before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranged.withColumn("_in", inside).join(F.broadcast(before), "_range").withColumn("place", F.col("_before") + F.col("_in")).drop("_range", "_in", "_before")
+
+
 def registry_sort(lots: DataFrame, key: str, ascending: bool = True) -> DataFrame:
     """Sort by any column; undated periods count as year 9999, missing values as empty; ties by id."""
     c = F.coalesce(F.col("year_from"), F.lit(UNDATED_YEAR)) if key == "period" else F.col(key)

@@ -222,7 +222,7 @@ LOT_SQL = f"""WITH {RATES_SQL}, {FLAGS}, it AS (SELECT * EXCLUDE (text), text AS
     CASE WHEN item_id % 3 = 0 THEN item_id % 997 END mp, CASE WHEN item_id % 11 = 0 THEN 'used' END mc, CASE WHEN item_id % 13 = 0 THEN 'rent' END ms FROM out WHERE status = 'extracted'),
   pr AS ({{parse}}), am AS (SELECT it.*, CASE WHEN mp IS NOT NULL THEN mp ELSE coalesce(pr.low, pr.high) END amount,
     coalesce(currency_raw, CASE WHEN mp IS NULL THEN pr.currency END) cur FROM it JOIN pr ON pr.item_id = it.item_id)
-  SELECT item_id, CASE WHEN ms IS NOT NULL THEN 'service' ELSE direction END direction, substr(CASE WHEN title <> '' THEN title ELSE substr(body, 1, 120) END, 1, 500) title, slot_id, slot_confidence, amount price, cur currency,
+  SELECT item_id, CASE WHEN ms IS NOT NULL THEN 'service' ELSE direction END direction, CASE WHEN title <> '' THEN title ELSE body END title, slot_id, slot_confidence, amount price, cur currency,
   round_even(nullif(amount, 0) * usd_per / {_RUB}, 0)::BIGINT price_rub, round_even(nullif(amount, 0) * usd_per, 0)::BIGINT price_usd,
   coalesce(mc, {COND_SQL.replace('(text', '(body')}) AS "condition" FROM am LEFT JOIN rates ON currency = cur"""
 

@@ -187,7 +187,7 @@ ORACLE = {
     "sr4_change_cursor": "SELECT CASE event_type WHEN 'error' THEN 'delete' WHEN 'signup' THEN 'placeholder' ELSE 'upsert' END kind, max(ts) AS \"cursor\", count(*) n FROM events GROUP BY 1",
     "sr5_link_discovery": rf"""WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '{NAV}', 1)) link, trim(regexp_replace(unnest(regexp_extract_all(html, '{NAV}', 2)), '[\s\p{{Z}}]+', ' ', 'g')) AS label,
           generate_subscripts(regexp_extract_all(html, '{NAV}', 1), 1) - 1 pos FROM pages)
-        SELECT page_id, link, min(pos)::INT pos, arg_min(label, pos) AS label FROM a WHERE label <> '' AND length(label) <= 8 AND link NOT IN ('/the', '/of', '/de') GROUP BY 1, 2""",
+        SELECT page_id, link, min(pos)::INT pos, arg_min(label, pos) AS label, length(arg_min(label, pos)) > 8 AS over_long FROM a WHERE label <> '' AND link NOT IN ('/the', '/of', '/de') GROUP BY 1, 2""",
     "sr6_page_text": f"""WITH p AS (SELECT page_id, trim({_plain("regexp_extract(html, '(?s)<article>(.*?)</article>', 1)")}) t, regexp_extract_all(html, 'href="/([^"]*)"', 1) l FROM pages),
         x AS (SELECT page_id, t, list_filter(l, lambda u: u <> '' AND NOT contains(t, u)) e FROM p),
         y AS (SELECT page_id, t, e, list_filter(list_transform(e, lambda u, i: CASE WHEN list_position(e, u) = i THEN u END), lambda u: u IS NOT NULL) z FROM x),
@@ -196,7 +196,7 @@ ORACLE = {
     "sr7_page_kind": r"""SELECT regexp_extract(url, '://[^/?#]*?([a-z]+\.[a-z]+)(?:[/?#]|$)', 1) "domain", count(*) n, count(*) FILTER (contains(html, '<article>')) n_preview,
         count(*) FILTER (contains(html, 'tgme_widget_message')) n_channel FROM pages GROUP BY 1""",
     "sr8_post_landing": r"""WITH c AS (SELECT *, regexp_replace(coalesce(text, ''), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') t FROM conversations)
-        SELECT 'tg:' || lower(role) source_id, (conv_id*1000 + turn)::VARCHAR external_id, substr(split_part(t, chr(10), 1), 1, 200) title, CASE WHEN turn % 4 = 1 THEN 'RU' END country,
+        SELECT 'tg:' || lower(role) source_id, (conv_id*1000 + turn)::VARCHAR external_id, split_part(t, chr(10), 1) title, CASE WHEN turn % 4 = 1 THEN 'RU' END country,
         CASE WHEN turn % 4 = 1 THEN 'larp' END discipline, CASE WHEN turn % 2 = 0 THEN 2 ELSE 1 END photos_count, length(t)::INT n_chars FROM c WHERE length(t) >= 8 AND conv_id % 9 <> 0 AND turn % 4 <> 0""",
     "sr9_raw_archive": "SELECT event_type source_id, ts::DATE fetched_day, count(*) n, max(event_id) last_id FROM events GROUP BY 1, 2",
     "sr10_feed_snapshot": with_(OFFERS) + f"""SELECT 'o-' || country || '-' || offer_id id, slot_id slot, slot_id AS scope, round_even(price * r / ({1 / 90!r})::DOUBLE, 0) price, price "priceNative", 'RUB' currency, currency "currencyNative",

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..constants import CANDIDATES_PER_SPEC, MATCH_STOP_WORDS, TOP_MATCHES
+from ..constants import MATCH_STOP_WORDS, TOP_MATCHES
 from ..operators import match as m
 from . import views as v
 from .oracle_base import OFFERS, WANTS, cast_list, values, with_
@@ -11,9 +11,7 @@ from .oracle_base import OFFERS, WANTS, cast_list, values, with_
 SQL_WORDS = ("list_filter(list_distinct(regexp_extract_all(lower({c}), '[a-zа-яё]{{4,}}')), "
              "lambda x: NOT list_contains(" + cast_list(MATCH_STOP_WORDS) + ", x))")
 
-POOL = f"""pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY slot_id, country
-    ORDER BY posted_at DESC NULLS LAST, offer_id DESC) age_rank FROM offers
-    WHERE status = 'active' AND slot_id IS NOT NULL AND country IS NOT NULL) WHERE age_rank <= {CANDIDATES_PER_SPEC})"""
+POOL = "pool AS (SELECT * FROM offers WHERE status = 'active' AND slot_id IS NOT NULL AND country IS NOT NULL)"
 
 SCORED = f"""pairs AS (SELECT w.want_id spec_id, o.offer_id, o.slot_id, o.country,
     CASE WHEN w.budget IS NULL OR o.price IS NULL THEN 'unknown' WHEN o.price <= w.budget THEN 'ok'
@@ -92,7 +90,7 @@ FILTERS = [  # id, slot, country, condition, price cap, words, wanted length
 
 
 def filter_matches(spark, d):
-    """Best matches of saved filters; open slots or countries read the newest offers of the wider key."""
+    """Best matches of saved filters; open slots or countries read all offers of the wider key."""
     filters = spark.createDataFrame(FILTERS, "spec_id string, slot string, country string, cond string, price_max double, q string, l double")
     filters = filters.withColumn("need", F.when(F.col("l").isNotNull(), F.create_map(F.lit("length_cm"), F.col("l")))).drop("l")
     specs = m.specs_from_filters(filters, ["length_cm"])
@@ -121,8 +119,7 @@ ORACLE = {
             CASE WHEN w_country IS NULL THEN 'any' ELSE 'ok' END r_country, CASE WHEN w_cond IS NULL OR w_cond = 'any' THEN 'any' WHEN cond = w_cond THEN 'ok' WHEN cond = 'unknown' THEN 'unknown' ELSE 'gap' END r_cond,
             CASE WHEN len_cm IS NULL THEN 'n/a' WHEN length_cm BETWEEN len_cm - 4 AND len_cm + 4 THEN 'ok' ELSE 'gap' END r_size,
             len({SQL_WORDS.format(c="coalesce(q, '')")}) n_words, len(list_intersect({SQL_WORDS.format(c="coalesce(q, '')")}, {SQL_WORDS.format(c='title')})) n_hits
-          FROM (SELECT *, row_number() OVER (PARTITION BY spec_id ORDER BY posted_at DESC NULLS LAST, offer_id DESC) age_rank
-            FROM fs JOIN offers ON status = 'active' AND (slot IS NULL OR slot = slot_id) AND (w_country IS NULL OR w_country = country)) WHERE age_rank <= {CANDIDATES_PER_SPEC})
+          FROM fs JOIN offers ON status = 'active' AND (slot IS NULL OR slot = slot_id) AND (w_country IS NULL OR w_country = country))
         WHERE r_budget <> 'gap') WHERE score >= 0.5) WHERE rank <= {TOP_MATCHES}""",
     "mj1_want_specs": with_(WANTS) + f"""SELECT want_id spec_id, slot_id, country, budget max_price, cond, lo, hi,
         array_to_string(list_sort({SQL_WORDS.format(c='title')}), ' ') words FROM wants""",

@@ -47,7 +47,7 @@ def fill(template, **parts):
 
 
 def phrases(spark, d):
-    line = v.balanced(v.table(spark, d, "lineitem"))
+    line = v.table(spark, d, "lineitem")
     key = F.col("l_orderkey") * 7 + F.col("l_linenumber")
     return line.select(
         "l_orderkey", "l_linenumber", "l_partkey", fill(pick(PHRASES, key), p=F.floor("l_extendedprice"), q=F.floor("l_quantity")).alias("text"))
@@ -301,7 +301,7 @@ ORACLE = {
         v AS (SELECT *, CASE WHEN whole <> '' THEN instr(t, whole) - 1 END pos0 FROM w), z AS (SELECT *, lower(substr(t, greatest(pos0 - 12, 0) + 1, pos0 - greatest(pos0 - 12, 0) + length(whole) + 12)) sp FROM v)
         SELECT p_partkey, CASE WHEN regexp_matches(sp, 'long|length|is |measures|approx') AND NOT regexp_matches(sp, 'wide|diameter') THEN {_g('t', specs.EN_LENGTH)}::DOUBLE END en_length,
         {_g('t', specs.EN_WEIGHT)}::DOUBLE en_weight, replace(lower({_g('t', specs.EN_CORE)}), ' ', '') core, lower({_g('t', specs.EN_COATING)}) coating,
-        nullif(array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(t, {lit('(?i)' + specs.EN_MATERIAL)}, 1), lambda m: lower(m))))[:6], ','), '') materials,
+        nullif(array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(t, {lit('(?i)' + specs.EN_MATERIAL)}, 1), lambda m: lower(m)))), ','), '') materials,
         trim({_g('text', specs.RU_SIZE, 0)}) size_raw, {_g('text', specs.RU_LENGTH)}::INT ru_length, trunc(replace({_g('text', specs.RU_WEIGHT)}, ',', '.')::DOUBLE * 1000)::INT ru_weight,
         {_g('text', specs.RU_TOTAL_LENGTH)}::INT total_length, {_g('text', specs.RU_BLADE)}::INT blade_cm, trunc(replace({_g('text', specs.RU_PRODUCT_WEIGHT)}, ',', '.')::DOUBLE * 1000)::INT weight_g,
         coalesce({_g('text', specs.RU_HARDNESS, 1)}, {_g('text', specs.RU_HARDNESS, 2)})::INT hardness FROM z""",

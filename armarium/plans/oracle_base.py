@@ -43,7 +43,7 @@ WANTS = """wants AS (SELECT o_orderkey want_id, p_type slot_id, p_name title, n_
     JOIN part ON p_partkey = o_orderkey % (SELECT count(*) FROM part)
   WHERE o_orderstatus = 'O')"""
 
-CORPUS = f"""corpus AS (SELECT *, substr(split_part(text, chr(10), 1), 1, 200) title FROM (
+CORPUS = f"""corpus AS (SELECT *, split_part(text, chr(10), 1) title FROM (
     SELECT doc_id item_id, source source_id, text, lang, NULL::TIMESTAMP posted_at FROM documents
     UNION ALL
     SELECT o_orderkey + 1000000000, 'board' || (o_orderkey % 7)::VARCHAR,

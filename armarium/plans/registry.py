@@ -88,8 +88,9 @@ def century_overlap(spark, d):
 
 def period_conflicts(spark, d):
     slots_once = required(spark).select("archetype_id", "slot_id", "arch_from", "arch_to")
-    kind, years = r.period_conflict(F.col("year_from"), F.col("year_to"), F.col("arch_from"), F.col("arch_to"))
-    return lots(spark, d).join(slots_once, "slot_id").groupBy("archetype_id", kind.alias("conflict"), years.alias("years")).agg(
+    kind, years = r.period_conflict(F.col("year_from"), F.col("year_to"), F.col("arch_from"), F.col("arch_to"), service=F.col("direction") == "service")
+    some = lots(spark, d).withColumn("direction", F.when(F.col("quantity") % 10 == 0, "service").otherwise(F.col("direction")))
+    return some.join(slots_once, "slot_id").groupBy("archetype_id", kind.alias("conflict"), years.alias("years")).agg(
         F.count(F.lit(1)).alias("n"))
 
 
@@ -105,9 +106,14 @@ def subscription_counts(spark, d):
     return r.subscription_counts(subs, base, seen)
 
 
+def partly_known(lots):
+    """Some lots have no slot, some no verdict on their fit."""
+    return lots.withColumns({"slot_id": F.when(F.col("length_cm") % 11 != 0, F.col("slot_id")), "fit": F.when(F.col("length_cm") % 13 != 0, F.col("fit"))})
+
+
 def services_for_lots(spark, d):
     svc = spark.createDataFrame(SERVICES, "service_id string, kind string, scope array<string>")
-    return r.services_for(lots(spark, d).select("lot_id", "slot_id", "fit"), svc)
+    return r.services_for(partly_known(lots(spark, d)).select("lot_id", "slot_id", "fit"), svc)
 
 
 def similar_lots(spark, d):
@@ -123,7 +129,7 @@ def slot_outcomes(spark, d):
     kind, _ = r.period_conflict(F.col("year_from"), F.col("year_to"), F.col("arch_from"), F.col("arch_to"))
     windows = required(spark).select("archetype_id", "arch_from", "arch_to").distinct()
     names = F.array(*[F.lit(x[0]) for x in ARCHETYPES])
-    owned = lots(spark, d).where("status = 'active' and kind = 'ad'").withColumn(
+    owned = lots(spark, d).where("status = 'active'").withColumn(
         "archetype_id", F.element_at(names, (F.length("country") % len(ARCHETYPES) + 1))).join(windows, "archetype_id")
     owned = owned.groupBy("archetype_id", "slot_id").agg(
         F.count_if(kind.isNull()).alias("n_ok"), F.count_if(kind.isNotNull()).alias("n_bad"))
@@ -146,10 +152,8 @@ def feed_selection(spark, d):
 
 
 def newest(spark, d):
-    """Newest 100 active offers, with their place."""
-    top = r.newest_first(lots(spark, d).where("status = 'active'")).limit(100)
-    from pyspark.sql import Window
-    return top.select("lot_id", "posted_at", F.row_number().over(Window.orderBy(F.col("posted_at").desc_nulls_last(), F.col("lot_id").desc())).alias("place"))
+    """Place of every active offer, newest first."""
+    return r.newest_places(lots(spark, d).where("status = 'active'").select("lot_id", "posted_at"))
 
 
 def sorted_registry(spark, d):
@@ -158,7 +162,7 @@ def sorted_registry(spark, d):
 
 def grouped_display(spark, d):
     order = spark.createDataFrame([(i, s) for i, s in enumerate(["LARGE", "PROMO", "ABSENT", "ECONOMY"])], "slot_pos int, slot_id string")
-    return r.grouped_display(lots(spark, d).where("kind = 'ad'"), order)
+    return r.grouped_display(lots(spark, d), order)
 
 
 def unified(spark, d):
@@ -213,12 +217,20 @@ def demand_gap(spark, d):
     return a.demand_gap(registry(spark, d))
 
 
+def base_priced(spark, d):
+    """Offers with their price in the base currency; some have none, some are given away."""
+    from ..functions.fx import rates_frame, to_rub_usd
+    some = v.offers(spark, d).withColumn("price", F.when(F.col("offer_id") % 19 == 0, None).when(F.col("offer_id") % 17 == 0, 0.0).otherwise(F.col("price")))
+    return to_rub_usd(some, rates_frame(spark), "price", "currency")
+
+
 def histogram(spark, d):
-    return a.price_histogram(v.table(spark, d, "lineitem"), "l_extendedprice")
+    """Goods only; some offers stand for services."""
+    return a.price_histogram(base_priced(spark, d).where("quantity % 10 <> 0"), "price_rub")
 
 
 def price_position(spark, d):
-    return a.price_position(v.offers(spark, d))
+    return a.price_position(base_priced(spark, d), "price_rub").withColumnRenamed("price_rub", "price")
 
 
 def completeness(spark, d):
@@ -320,6 +332,9 @@ def _price(i):
 RATES_SQL = "rates AS (SELECT currency, usd_per::DOUBLE usd_per FROM " + values(
     [(c, f"{x!r}") for c, x in FALLBACK_USD_PER.items()], ["currency", "usd_per"]) + ")"
 
+BASED = with_(OFFERS, RATES_SQL) + f""", part_priced AS (SELECT * REPLACE (CASE WHEN offer_id % 19 = 0 THEN NULL WHEN offer_id % 17 = 0 THEN 0 ELSE price END AS price) FROM offers),
+  based AS (SELECT *, CASE WHEN price <> 0 THEN round_even(price * usd_per / ({FALLBACK_USD_PER['RUB']!r})::DOUBLE, 0)::BIGINT END rub FROM part_priced JOIN rates USING (currency))"""
+
 ORACLE = {
     "mj12_enrichment": with_(OFFERS, RATES_SQL) + f"""SELECT offer_id, round_even(price * usd_per / ({FALLBACK_USD_PER['RUB']!r})::DOUBLE, 0)::BIGINT price_rub,
         upper(slot_id[1]) || lower(slot_id[2:]) slot_label, 'Workshop ' || maker maker_title, lower(title || ' ' || region || ' Workshop ' || maker) haystack
@@ -329,29 +344,31 @@ ORACLE = {
         AND NOT (year_to < 1100) AND NOT (year_from > 1300)""",
     "gt11_century_overlap": L + """SELECT c::INT AS century, count(*) n, min(year_from) first_year, max(year_to) last_year FROM lots, range(9, 17) t(c)
         WHERE year_to > (c-1)*100 AND year_from < c*100 GROUP BY 1""",
-    "gt12_period_conflict": with_(LOTS, REQ_SQL) + f"""SELECT archetype_id, {CONFLICT_SQL} conflict,
-        CASE WHEN year_to < arch_from THEN arch_from - year_to WHEN year_from > arch_to THEN year_from - arch_to END AS years, count(*) n
+    "gt12_period_conflict": with_(LOTS, REQ_SQL) + f"""SELECT archetype_id, CASE WHEN quantity % 10 <> 0 THEN {CONFLICT_SQL} END conflict,
+        CASE WHEN quantity % 10 = 0 THEN NULL WHEN year_to < arch_from THEN arch_from - year_to WHEN year_from > arch_to THEN year_from - arch_to END AS years, count(*) n
         FROM lots JOIN req USING (slot_id) GROUP BY ALL""",
     "gt13_fit_verdict": L + "SELECT lot_id, length_cm, fit FROM lots",
     "mj7_subscription_counts": with_(LOTS, SUBS_SQL) + """SELECT sub_id, count(lot_id) total,
         count(*) FILTER (WHERE posted_at > created_at AND lot_id NOT IN (SELECT event_id*10 + 1 FROM events WHERE event_type = 'view')) fresh
         FROM subs LEFT JOIN lots ON status = 'active' AND (slot IS NULL OR slot = slot_id) AND (subs.country IS NULL OR subs.country = lots.country)
         AND (sub_cond IS NULL OR sub_cond = cond) AND (price_max IS NULL OR price <= price_max) AND (q IS NULL OR contains(haystack, q)) GROUP BY 1""",
-    "mj8_services_for_lot": with_(LOTS, SVC_SQL) + """SELECT lot_id, service_id, pos FROM (SELECT *, row_number() OVER (PARTITION BY lot_id ORDER BY rank, service_id) pos
+    "mj8_services_for_lot": with_(LOTS, SVC_SQL) + """, pk AS (SELECT lot_id, CASE WHEN length_cm % 11 <> 0 THEN slot_id END slot_id, CASE WHEN length_cm % 13 <> 0 THEN fit END fit FROM lots)
+        SELECT lot_id, service_id, pos FROM (SELECT *, row_number() OVER (PARTITION BY lot_id ORDER BY rank, service_id) pos
         FROM (SELECT lot_id, service_id, CASE WHEN fit = 'refit' AND svc.kind = 'refit' THEN -2 ELSE 0 END + min(CASE WHEN scope = '*' THEN 1 ELSE 0 END) rank
-          FROM lots JOIN svc ON scope = '*' OR scope = slot_id GROUP BY lot_id, service_id, fit, svc.kind)) WHERE pos <= 4""",
+          FROM pk JOIN svc ON scope = '*' OR scope = slot_id GROUP BY lot_id, service_id, fit, svc.kind)) WHERE pos <= 4""",
     "mj9_similar_lots": L + """, act AS (SELECT lot_id, slot_id, row_number() OVER (PARTITION BY slot_id ORDER BY lot_id) hr FROM lots WHERE status = 'active'),
         head AS (SELECT * FROM act WHERE hr <= 6)
         SELECT lot_id, similar_id, pos FROM (SELECT l.lot_id, h.lot_id similar_id, row_number() OVER (PARTITION BY l.lot_id ORDER BY h.lot_id) pos
           FROM lots l JOIN head h ON h.slot_id = l.slot_id AND h.lot_id <> l.lot_id) WHERE pos <= 5""",
     "mj10_archetype_coverage": with_(LOTS, REQ_SQL) + f""", met AS (SELECT archetype_id, slot_id,
-          max(CASE WHEN ({CONFLICT_SQL}) IS NULL AND fit IN ('fits', 'refit') THEN 1 ELSE 0 END) ok, count({CONFLICT_SQL}) nc
-        FROM lots JOIN req USING (slot_id) WHERE status = 'active' GROUP BY 1, 2)
-        SELECT archetype_id, count(*) n_required, coalesce(sum(ok), 0)::BIGINT n_covered, coalesce(sum(nc), 0)::BIGINT n_conflicts
-        FROM req LEFT JOIN met USING (archetype_id, slot_id) GROUP BY 1""",
+          max(CASE WHEN ({CONFLICT_SQL}) IS NULL AND fit IN ('fits', 'refit') THEN 1 ELSE 0 END) ok
+        FROM lots JOIN req USING (slot_id) WHERE status = 'active' GROUP BY 1, 2),
+        cf AS (SELECT archetype_id, count({CONFLICT_SQL}) nc FROM lots, (SELECT DISTINCT archetype_id, arch_from, arch_to FROM req) WHERE status = 'active' GROUP BY 1)
+        SELECT archetype_id, count(*) n_required, coalesce(sum(ok), 0)::BIGINT n_covered, any_value(nc) n_conflicts
+        FROM req LEFT JOIN met USING (archetype_id, slot_id) JOIN cf USING (archetype_id) GROUP BY 1""",
     "mj11_slot_outcomes": with_(LOTS, REQ_SQL) + f""", win AS (SELECT DISTINCT archetype_id, arch_from, arch_to FROM req),
         own AS (SELECT archetype_id, slot_id, count(*) FILTER (WHERE ({CONFLICT_SQL}) IS NULL) n_ok FROM lots JOIN win
-          ON archetype_id = (['ck14', 'de15', 'st13', 'vk10'])[1 + length(country) % 4] WHERE status = 'active' AND kind = 'ad' GROUP BY 1, 2)
+          ON archetype_id = (['ck14', 'de15', 'st13', 'vk10'])[1 + length(country) % 4] WHERE status = 'active' GROUP BY 1, 2)
         SELECT coalesce(q.archetype_id, o.archetype_id) archetype_id, coalesce(q.slot_id, o.slot_id) slot_id,
           CASE WHEN n_ok IS NULL THEN 'gap' WHEN q.slot_id IS NULL THEN 'extra' WHEN n_ok > 0 THEN 'matched' ELSE 'conflict' END outcome
         FROM req q FULL JOIN own o ON q.archetype_id = o.archetype_id AND q.slot_id = o.slot_id""",
@@ -366,10 +383,10 @@ ORACLE = {
         SELECT lot_id, 'ad' part, NULL::BIGINT seq FROM act WHERE kind = 'ad'
         UNION ALL SELECT lot_id, CASE WHEN is_home THEN 'home' ELSE 'other' END, seq FROM seqs, q WHERE seq <= CASE WHEN is_home THEN hq ELSE oq END""",
     "wn3_newest_first": L + """SELECT lot_id, posted_at, row_number() OVER (ORDER BY posted_at DESC NULLS LAST, lot_id DESC) place
-        FROM lots WHERE status = 'active' QUALIFY place <= 100""",
+        FROM lots WHERE status = 'active'""",
     "wn4_registry_sort": L + "SELECT lot_id, year_from, price FROM lots ORDER BY coalesce(year_from, 9999), lot_id",
     "wn5_grouped_display": L + """SELECT slot_pos, slot_id, lot_id FROM lots JOIN (VALUES (0, 'LARGE'), (1, 'PROMO'), (2, 'ABSENT'), (3, 'ECONOMY')) t(slot_pos, slot_id)
-        USING (slot_id) WHERE kind = 'ad'""",
+        USING (slot_id)""",
     "st1_unified_registry": R + "SELECT direction, slot_id, cond, count(*) n, max(posted_at) newest FROM reg GROUP BY 1, 2, 3",
     "st2_vocabularies": L + """SELECT 'slot_id' field, slot_id value FROM lots UNION SELECT 'region', region FROM lots UNION SELECT 'country', country FROM lots""",
     "st3_reference_diff": """WITH o AS (SELECT DISTINCT p_brand FROM part WHERE p_size < 25 AND p_brand NOT LIKE '%9'), n AS (SELECT DISTINCT p_brand FROM part WHERE p_size > 26 AND p_brand NOT LIKE '%3')
@@ -390,12 +407,13 @@ ORACLE = {
         ORDER BY ratio DESC, slot_id LIMIT 7""",
     "ag6_demand_gap": R + """SELECT slot_id, count(*) FILTER (direction = 'offer') n_offers, count(*) FILTER (direction = 'want') n_wants, n_wants - n_offers gap
         FROM reg GROUP BY 1 ORDER BY gap DESC, slot_id LIMIT 6""",
-    "ag7_price_histogram": """WITH m AS (SELECT max(l_extendedprice) m FROM lineitem), c AS (SELECT least(21, floor(l_extendedprice / m * 21))::INT bin, count(*) n
-        FROM lineitem, m WHERE l_extendedprice > 0 GROUP BY 1) SELECT b::INT bin, coalesce(n, 0) n FROM range(22) t(b) LEFT JOIN c ON c.bin = b""",
-    "ag8_price_position": O + """, r AS (SELECT offer_id, slot_id, price, rank() OVER (PARTITION BY slot_id ORDER BY price) - 1 below, count(*) OVER (PARTITION BY slot_id) n,
-          row_number() OVER (PARTITION BY slot_id ORDER BY price) rn FROM offers),
-        md AS (SELECT slot_id, price median FROM r WHERE rn = n // 2 + 1)
-        SELECT offer_id, slot_id, price, median, floor(below * 100.0::DOUBLE / n + 0.5)::INT pct FROM r JOIN md USING (slot_id)""",
+    "ag7_price_histogram": BASED + """, goods AS (SELECT * FROM based WHERE quantity % 10 <> 0), m AS (SELECT max(rub) m FROM goods), c AS (SELECT least(21, floor(rub / m * 21))::INT bin, count(*) n
+        FROM goods, m WHERE rub > 0 GROUP BY 1) SELECT b::INT bin, coalesce(n, 0) n FROM range(22) t(b) LEFT JOIN c ON c.bin = b""",
+    "ag8_price_position": BASED + """, r AS (SELECT offer_id, slot_id, rub, rank() OVER (PARTITION BY slot_id ORDER BY rub) - 1 below, count(*) OVER (PARTITION BY slot_id) n,
+          row_number() OVER (PARTITION BY slot_id ORDER BY rub) rn FROM based WHERE rub > 0),
+        md AS (SELECT slot_id, rub median FROM r WHERE rn = n // 2 + 1)
+        SELECT b.offer_id, b.slot_id, b.rub price, median, CASE WHEN median IS NULL THEN NULL WHEN r.n IS NULL THEN 0 ELSE floor(below * 100.0::DOUBLE / n + 0.5)::INT END pct
+        FROM based b LEFT JOIN r USING (offer_id) LEFT JOIN md ON md.slot_id = b.slot_id""",
     "ag9_completeness": """SELECT lang, count(*) n, floor(count(quality)*100.0::DOUBLE/count(*) + 0.5)::INT pct_labelled,
         floor(count(*) FILTER (toxic = 1)*100.0::DOUBLE/count(*) + 0.5)::INT pct_toxic FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1""",
     "ag9_visible_completeness": L + """SELECT count(*) n, floor(count(*) FILTER (has_measures)*100.0::DOUBLE/count(*) + 0.5)::INT pct_measures,

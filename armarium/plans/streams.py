@@ -68,7 +68,7 @@ def match_alerts(spark, d):
 
 
 def weekly_flow(spark, d):
-    stream = j.windowed_flow(j.file_stream(spark, events_path(d), schema_of(spark, d, "events")), "ts", "7 days", "1 day", "event_type")
+    stream = j.windowed_flow(j.file_stream(spark, events_path(d), schema_of(spark, d, "events")), "ts", "7 days", "1 day", "event_type", start="4 days")
     log = j.BatchLog(spark, "flow", spark.createDataFrame([], "window_start timestamp, event_type string, n bigint"))
     out = j.upsert_windows(stream, log, work_path(spark, "ckpt"), ["window_start", "event_type"])
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
@@ -95,6 +95,6 @@ ORACLE = {
         SELECT f.doc_id item, min(k.id) original FROM fp f JOIN kept k ON k.id < f.doc_id AND bit_count(xor(f.fp, k.fp)) <= 8 GROUP BY 1""",
     "ts4_match_alerts": with_(OFFERS, WANTS, POOL.replace("PARTITION BY slot_id, country", f"PARTITION BY {_B}, slot_id, country").replace("SELECT *, row_number", f"SELECT *, {_B} late, row_number"),
                               SCORED.replace("o.country,", "o.country, o.late,", 1).replace("PARTITION BY spec_id", "PARTITION BY late, spec_id")) + "SELECT spec_id, offer_id, score FROM best",
-    "ts5_weekly_flow": """SELECT TIMESTAMP '1970-01-01' + to_days(((epoch_us(ts) // 86400000000) // 7 * 7)::INT) window_start, event_type, count(*) n FROM events GROUP BY 1, 2""",
+    "ts5_weekly_flow": """SELECT date_trunc('week', ts)::TIMESTAMP window_start, event_type, count(*) n FROM events GROUP BY 1, 2""",
     "ts6_change_stream": CHANGE_SQL,
 }

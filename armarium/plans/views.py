@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import first_line
 from ..operators.topk import keep_first
 
 CURRENCIES = ["RUB", "EUR", "USD", "KZT", "GBP", "PLN"]
@@ -40,15 +41,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def balanced(df: DataFrame) -> DataFrame:
-    """Spread the rows of a scan that has fewer splits than the cluster has task slots, as a small file with
-    one row group does. A large table already has more splits and is read as it is."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
-
-
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return balanced(table(spark, sf_dir, "documents"))
+    return table(spark, sf_dir, "documents")
 
 
 def currency_of(nation_key):
@@ -108,7 +102,7 @@ def listing_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     tpl = F.array(*[F.lit(t) for t in LISTING_TEMPLATES])
     pick = (F.col("o_orderkey") % len(LISTING_TEMPLATES) + 1).cast("int")
     amount = F.floor("o_totalprice").cast("string")
-    return balanced(table(spark, sf_dir, "orders")).select(
+    return table(spark, sf_dir, "orders").select(
         (F.col("o_orderkey") + 1000000000).alias("item_id"),
         F.concat(F.lit("board"), (F.col("o_orderkey") % 7).cast("string")).alias("source_id"),
         F.replace(F.element_at(tpl, pick), F.lit("{n}"), amount).alias("text"),
@@ -123,7 +117,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("timestamp").alias("posted_at"),
     )
     return docs.unionByName(listing_lines(spark, sf_dir)).withColumn(
-        "title", F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 200)
+        "title", first_line(F.col("text"))
     )
 
 

@@ -69,14 +69,14 @@ def shop_cards(pages: DataFrame, base: str) -> DataFrame:
     c = cards(pages, SHOP_CARD_RU).where("external_id is not null and title is not null")
     shown = F.col("image").isNotNull() & ~F.col("image").contains("default.jpg")
     return c.select(
-        "source_id", "pos", "external_id", F.trim(plain_text(F.col("title"))).alias("title"), F.floor(F.col("price_minor").cast("bigint") / 100).cast("int").alias("price"),
-        F.concat(F.lit(base), "link").alias("url"), F.col("available").cast("int").alias("available"), F.coalesce(F.trim(plain_text(F.col("description"))), F.lit("")).alias("description"),
+        "source_id", "pos", "external_id", F.trim(plain_text(F.col("title"))).alias("title"), F.floor(F.col("price_minor").try_cast("bigint") / 100).try_cast("int").alias("price"),
+        F.concat(F.lit(base), "link").alias("url"), F.col("available").try_cast("int").alias("available"), F.coalesce(F.trim(plain_text(F.col("description"))), F.lit("")).alias("description"),
         F.coalesce(shown, F.lit(False)).alias("has_photo"), F.when(shown & F.col("image").startswith("/"), F.concat(F.lit(base), "image")).alias("image_url"))
 
 
 def table_cards(pages: DataFrame, base: str) -> DataFrame:
     def digits(c):
-        return F.nullif(F.regexp_replace(c, r"\D", ""), F.lit("")).cast("int")
+        return F.nullif(F.regexp_replace(c, r"\D", ""), F.lit("")).try_cast("int")
 
     c = cards(pages, SHOP_CARD_TABLE).withColumn("external_id", F.nullif(F.regexp_extract("link", "/goods/([^/?#]+)", 1), F.lit("")))
     return c.where("external_id is not null").select(
@@ -103,7 +103,7 @@ def board_cards(pages: DataFrame, base: str) -> DataFrame:
     images = F.regexp_count("card", F.lit("<img\\b"))
     return c.select(
         "source_id", "pos", "external_id", absolute_url(F.lit(base), F.coalesce("link", F.lit(""))).alias("url"), F.coalesce("ld.title", spoken, F.lit("")).alias("title"),
-        F.coalesce("ld.description", F.lit("")).alias("description"), F.nullif(F.regexp_extract(F.replace(price_raw, F.lit("."), F.lit("")), r"(\d+)\s*€", 1), F.lit("")).cast("int").alias("price"),
+        F.coalesce("ld.description", F.lit("")).alias("description"), F.nullif(F.regexp_extract(F.replace(price_raw, F.lit("."), F.lit("")), r"(\d+)\s*€", 1), F.lit("")).try_cast("int").alias("price"),
         price_raw.alias("price_raw"), F.coalesce(price_raw.contains("VB"), F.lit(False)).alias("negotiable"), F.nullif(F.regexp_extract(where_at, place, 2), F.lit("")).alias("city"),
         F.nullif(F.regexp_extract(where_at, place, 1), F.lit("")).alias("plz"), german_date(first_part(lambda p: p.rlike(date_rx)), F.col("fetched_at")).alias("posted_at"),
         F.when(badge.rlike(r"^\d+$"), badge.try_cast("int")).when(images > 0, images).when(F.col("ld.contentUrl").isNotNull(), 1).otherwise(0).alias("photos_count"),
@@ -115,7 +115,7 @@ def product_boxes(pages: DataFrame) -> DataFrame:
     """Products described by a JSON attribute; malformed JSON is skipped."""
     c = cards(pages, PRODUCT_BOX).withColumn("p", F.from_json(unescape(F.col("info")), PRODUCT_INFO))
     return c.where("p.id is not null and link is not null").select(
-        "source_id", "pos", F.col("p.id").alias("external_id"), F.trim("p.name").alias("title"), "p.brand", F.rint("p.price").cast("int").alias("price"), F.col("link").alias("url"), F.col("image").alias("image_url"))
+        "source_id", "pos", F.col("p.id").alias("external_id"), F.trim("p.name").alias("title"), "p.brand", F.rint("p.price").try_cast("int").alias("price"), F.col("link").alias("url"), F.col("image").alias("image_url"))
 
 
 def search_listings(pages: DataFrame, base: str) -> DataFrame:
@@ -123,14 +123,14 @@ def search_listings(pages: DataFrame, base: str) -> DataFrame:
     raw = F.nullif(F.regexp_extract("html", r'(?s)<script id="__NEXT_DATA__"[^>]*>(.*?)</script>', 1), F.lit(""))
     p = pages.withColumn("r", F.from_json(raw, SEARCH_DATA)["props"]["pageProps"]["searchRequestAndResponse"])
     each = p.select("source_id", "fetched_at", F.col("r.totalResultCount").alias("total"), F.posexplode("r.listings").alias("pos", "l")).where("l.itemId is not null and l.itemId <> ''")
-    price = F.when((F.col("l.priceInfo.priceType") == "FIXED") & (F.col("l.priceInfo.priceCents") > 0), F.floor(F.col("l.priceInfo.priceCents") / 100).cast("int"))
+    price = F.when((F.col("l.priceInfo.priceType") == "FIXED") & (F.col("l.priceInfo.priceCents") > 0), F.floor(F.col("l.priceInfo.priceCents") / 100).try_cast("int"))
     condition = F.lower(F.get(F.filter("l.attributes", lambda a: a["key"] == "condition"), F.lit(0))["value"])
     words = F.create_map(*[F.lit(x) for kv in CONDITION_WORDS.items() for x in kv])
     return each.select(
         "source_id", "pos", "total", F.col("l.itemId").alias("external_id"), F.coalesce("l.title", F.lit("")).alias("title"), F.coalesce("l.description", F.lit("")).alias("description"),
         price.alias("price"), F.col("l.priceInfo.priceType").alias("price_type"), F.col("l.location.cityName").alias("city"), dutch_date(F.col("l.date"), F.col("fetched_at")).alias("posted_at"),
         F.when(F.col("l.vipUrl") != "", F.concat(F.lit(base), "l.vipUrl")).alias("url"), F.greatest(F.size("l.imageUrls"), F.lit(0)).alias("photos_count"),
-        F.slice(F.transform("l.imageUrls", lambda u: absolute_url(F.lit(""), u)), 1, 10).alias("photo_urls"), F.try_element_at(words, condition).alias("condition"))
+        F.transform("l.imageUrls", lambda u: absolute_url(F.lit(""), u)).alias("photo_urls"), F.try_element_at(words, condition).alias("condition"))
 
 
 def flatten_products(products: DataFrame) -> DataFrame:
@@ -138,18 +138,18 @@ def flatten_products(products: DataFrame) -> DataFrame:
     array<string>)`` to lots: cheapest priced variant, active if any variant is available, first image."""
     priced = F.filter(F.transform("variants", lambda x: x["price"]), lambda p: p > 0)
     return products.select(
-        "external_id", F.substring("title", 1, 500).alias("title"), F.rint(F.array_min(priced)).cast("bigint").alias("price"),
+        "external_id", "title", F.rint(F.array_min(priced)).try_cast("bigint").alias("price"),
         F.when(F.coalesce(F.exists("variants", lambda x: x["available"]), F.lit(False)), "active").otherwise("stale").alias("status"),
-        F.substring(F.get("images", F.lit(0)), 1, 800).alias("image_url"), F.greatest(F.size("images"), F.lit(0)).alias("photos_count"), F.array_join("tags", ", ").alias("tags"))
+        F.get("images", F.lit(0)).alias("image_url"), F.greatest(F.size("images"), F.lit(0)).alias("photos_count"), F.array_join("tags", ", ").alias("tags"))
 
 
 def discovered_links(pages: DataFrame, key: str, pattern: str, skip: list[str], max_label: int = 60) -> DataFrame:
     """Distinct links per page in order of first appearance. ``pattern`` captures link and label; parents,
-    service paths, empty and over-long labels are dropped."""
+    service paths and empty labels are dropped; ``over_long`` marks labels beyond ``max_label``."""
     found = pages.select(key, F.posexplode(F.regexp_extract_all("html", F.lit(pattern), F.lit(0))).alias("pos", "a"))
     found = found.select(key, "pos", F.regexp_extract("a", pattern, 1).alias("link"), collapse(F.regexp_extract("a", pattern, 2)).alias("label"))
-    ok = (F.col("label") != "") & (F.length("label") <= max_label) & ~F.col("link").isin(skip)
-    return found.where(ok).groupBy(key, "link").agg(F.min("pos").alias("pos"), F.min_by("label", "pos").alias("label"))
+    ok = (F.col("label") != "") & ~F.col("link").isin(skip)
+    return found.where(ok).groupBy(key, "link").agg(F.min("pos").alias("pos"), F.min_by("label", "pos").alias("label")).withColumn("over_long", F.length("label") > max_label)
 
 
 def with_link_block(text: Column, links: Column) -> Column:

@@ -39,9 +39,9 @@ def unique_events(stream: DataFrame, keys: list[str], time: str, delay: str) ->
     return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def windowed_flow(stream: DataFrame, time: str, width: str, delay: str, by: str) -> DataFrame:
+def windowed_flow(stream: DataFrame, time: str, width: str, delay: str, by: str, start: str = "0 days") -> DataFrame:
     t = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay)
-    return t.groupBy(F.window(time, width).alias("w"), by).agg(F.count(F.lit(1)).alias("n")).select(
+    return t.groupBy(F.window(time, width, startTime=start).alias("w"), by).agg(F.count(F.lit(1)).alias("n")).select(
         F.col("w.start").alias("window_start"), by, "n")
 
 

@@ -43,13 +43,20 @@ def test_words_share(spark):
     assert r["reasons"]["words"] == "1/2" and r["score"] == 0.865
 
 
-def test_pool_cap_keeps_newest(spark):
-    lots = spark.range(300).select(
-        F.col("id").cast("int").alias("offer_id"), F.lit("s").alias("slot_id"), F.lit("t").alias("title"), F.lit(1.0).alias("price"), F.lit("C").alias("country"), F.lit("new").alias("cond"),
-        F.lit("active").alias("status"), F.timestamp_seconds(F.col("id") % 50).alias("posted_at"))
-    kept = {r[0] for r in m.candidate_pool(lots, per_spec=20).select("offer_id").collect()}
-    want = sorted(range(300), key=lambda i: (-(i % 50), -i))[:20]
-    assert kept == set(want)
+def test_oldest_offer_of_a_large_key_can_win(spark):
+    lots = spark.range(5000).select(
+        F.col("id").cast("int").alias("offer_id"), F.lit("s").alias("slot_id"), F.lit("t").alias("title"), F.when(F.col("id") == 0, 1.0).otherwise(11.0).alias("price"), F.lit("C").alias("country"),
+        F.lit("new").alias("cond"), F.lit("active").alias("status"), F.timestamp_seconds("id").alias("posted_at"), F.lit(None).cast("double").alias("head_cm"))
+    spec = spark.createDataFrame([(1, "s", "C", None, 10.0, None, None)], "spec_id int, slot string, country string, cond string, price_max double, q string, need map<string,double>")
+    rows = m.best_matches(m.specs_from_filters(spec, ["head_cm"]), m.offer_pool(lots, ["head_cm"]), ["head_cm"]).orderBy("rank").collect()
+    assert [r["offer_id"] for r in rows] == [0, *range(4999, 4980, -1)]
+
+
+def test_wants_without_slot_or_country(spark, sf):
+    wants = v.wants(spark, sf).where("want_id % 50 = 0")
+    some = wants.withColumn("slot_id", F.when(F.col("want_id") % 100 == 0, F.col("slot_id"))).withColumn("country", F.when(F.col("want_id") % 150 == 0, F.col("country")))
+    found = {r[0] for r in m.match_wants(some, v.offers(spark, sf)).select("spec_id").distinct().collect()}
+    assert len(found) > 0.8 * some.count()
 
 
 def test_pruning_equals_full_ranking(spark, sf):

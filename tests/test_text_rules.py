@@ -140,3 +140,11 @@ def test_both_matcher_forms_agree(spark, sf):
     both = vocab.guarded_matches(vocab.entities_in(d, "text", "ids"), "text", rules)
     diff = both.where(F.col("ids") != F.transform("matches", lambda m: m["entity"]))
     assert diff.count() == 0
+
+
+def test_numbers_too_large_have_no_bounds(spark):
+    texts = ["in 2010, 2011, 2012, 2013, 2014 we won 5 €", "order 1234567890123456789012345", "9" * 400 + " €", "from 99999999999999999999 € up", "up to 123456789012345678901234 €", "5 - 99999999999999999999 €", "2500 €"]
+    from armarium.functions.price import parse_price
+    for free in (False, True):
+        rows = column(parse_price(table(spark, [(t,) for t in texts], "t string"), "t", free_text=free), "price")
+        assert [(r["low"], r["high"]) for r in rows[:-1]] == [(None, None)] * 6 and rows[-1]["low"] == 2500
