@@ -169,15 +169,15 @@ COMPOUND_HEADS = [
 HAMMING_THRESHOLD = 8
 RETENTION_DAYS = 30
 SIMHASH_MIN_TOKENS = 8
-DEDUP_STOP_WORDS = (
-    "в на с и а но по за к у от до из при об что как для или не же то так это этот его её их вы мы "
-    "the a an and or of to in for is are with on at by as be we our num "
-    "вакансия вакансии резюме компания компании организация зарплата зп оплата вилка опыт требования "
-    "требование обязанности условия условие формат контакт контакты стек технологии технология позиция "
-    "должность проект предлагаем предлагаю описание писать пишите напишите написать пиши напиши ищем ищу "
-    "нужен нужна нужны разыскивается приглашаем приглашаю рассматриваю рассматриваем года лет год месяц "
-    "месяцев удалённо удаленно полностью гибрид офис remote hybrid office full fully наша наш наши наше"
-).split()
+DEDUP_STOP_WORDS = [
+    "в", "на", "с", "и", "а", "но", "по", "за", "к", "у", "от", "до", "из", "при", "об", "что", "как", "для", "или", "не", "же", "то", "так", "это",
+    "этот", "его", "её", "их", "вы", "мы", "the", "a", "an", "and", "or", "of", "to", "in", "for", "is", "are", "with", "on", "at", "by", "as", "be",
+    "we", "our", "num", "вакансия", "вакансии", "резюме", "компания", "компании", "организация", "зарплата", "зп", "оплата", "вилка", "опыт",
+    "требования", "требование", "обязанности", "условия", "условие", "формат", "контакт", "контакты", "стек", "технологии", "технология", "позиция",
+    "должность", "проект", "предлагаем", "предлагаю", "описание", "писать", "пишите", "напишите", "написать", "пиши", "напиши", "ищем", "ищу",
+    "нужен", "нужна", "нужны", "разыскивается", "приглашаем", "приглашаю", "рассматриваю", "рассматриваем", "года", "лет", "год", "месяц", "месяцев",
+    "удалённо", "удаленно", "полностью", "гибрид", "офис", "remote", "hybrid", "office", "full", "fully", "наша", "наш", "наши", "наше",
+]
 
 # --- fixed values: dates, tags and periods ---------------------------------------------------
 DUTCH_MONTHS = {"jan": 1, "feb": 2, "mrt": 3, "apr": 4, "mei": 5, "jun": 6, "jul": 7, "aug": 8,

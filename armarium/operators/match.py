@@ -176,10 +176,10 @@ def match_wants(wants: DataFrame, offers: DataFrame, k: int = TOP_MATCHES) -> Da
 
 
 def upsert_matches(known: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Merge on (spec, offer): unseen pairs are new alerts, known ones are refreshed, none is removed."""
-    k = known.select("spec_id", "offer_id", F.col("score").alias("old_score"), F.lit(True).alias("_known"))
-    f = fresh.select("spec_id", "offer_id", F.col("score").alias("new_score"))
+    """Merge on (spec, offer): unseen pairs are new alerts, known ones take score and reasons of the run, none is removed."""
+    k = known.select("spec_id", "offer_id", F.col("score").alias("old_score"), F.col("reasons").alias("old_reasons"), F.lit(True).alias("_known"))
+    f = fresh.select("spec_id", "offer_id", F.col("score").alias("new_score"), F.col("reasons").alias("new_reasons"))
     return k.join(f, ["spec_id", "offer_id"], "full_outer").select(
-        "spec_id", "offer_id", F.coalesce("new_score", "old_score").alias("score"),
+        "spec_id", "offer_id", F.coalesce("new_score", "old_score").alias("score"), F.coalesce("new_reasons", "old_reasons").alias("reasons"),
         F.when(F.col("_known").isNull(), "new").when(F.col("new_score").isNotNull(), "refreshed").otherwise("kept").alias("change"),
     )

@@ -61,7 +61,7 @@ def match_upsert(spark, d):
     wants, offers = v.wants(spark, d), v.offers(spark, d)
     known = m.match_wants(wants, offers.where(F.col("posted_at") < cut))
     return m.upsert_matches(known, m.match_wants(wants, offers)).groupBy("change").agg(
-        F.count(F.lit(1)).alias("n"), F.countDistinct("spec_id").alias("n_wants"), F.sum(F.col("score").cast("decimal(10,3)")).cast("double").alias("score_sum"))
+        F.count(F.lit(1)).alias("n"), F.countDistinct("spec_id").alias("n_wants"), F.sum(F.col("score").cast("decimal(10,3)")).cast("double").alias("score_sum"), F.count_if(F.col("reasons.budget") == "ok").alias("n_in_budget"))
 
 
 def match_counts(spark, d):
@@ -77,10 +77,10 @@ UPSERT_SQL = (
     + POOL.replace("pool AS", "pool0 AS").replace("WHERE status", "WHERE posted_at < TIMESTAMP '1998-01-01' AND status") + ",\n"
     + SCORED.replace("pairs AS", "pairs0 AS").replace("FROM pairs WHERE", "FROM pairs0 WHERE").replace("JOIN pool o", "JOIN pool0 o")
     .replace("scored AS", "scored0 AS").replace("FROM scored WHERE", "FROM scored0 WHERE").replace("best AS", "best0 AS")
-    + """, merged AS (SELECT coalesce(n.spec_id, o.spec_id) spec_id, coalesce(n.score, o.score) score,
+    + """, merged AS (SELECT coalesce(n.spec_id, o.spec_id) spec_id, coalesce(n.score, o.score) score, coalesce(n.r_budget, o.r_budget) r_budget,
       CASE WHEN o.spec_id IS NULL THEN 'new' WHEN n.spec_id IS NOT NULL THEN 'refreshed' ELSE 'kept' END change
     FROM best0 o FULL JOIN best n ON o.spec_id = n.spec_id AND o.offer_id = n.offer_id)
-    SELECT change, count(*) n, count(DISTINCT spec_id) n_wants, sum(score::DECIMAL(10,3))::DOUBLE score_sum FROM merged GROUP BY change"""
+    SELECT change, count(*) n, count(DISTINCT spec_id) n_wants, sum(score::DECIMAL(10,3))::DOUBLE score_sum, count(*) FILTER (r_budget = 'ok') n_in_budget FROM merged GROUP BY change"""
 )
 
 FILTERS = [  # id, slot, country, condition, price cap, words, wanted length

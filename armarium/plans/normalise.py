@@ -19,6 +19,7 @@ PHRASES = [
     "150.000", "  ", "{p} - 9{p} руб", "120000 gross", "тел 7{p}{p}", "{q}к", "около {q} 000 тенге в месяц", "зп 1 {q}00",
 ]
 RAW_CURRENCIES = ["RUB", "usd ", " €", "so’m", "Kč", "грн.", "мес", "K", "тыс.", "XYZ", "", None, "₸", "rur", "USDT", "/час", "Day", "тенге"]
+# --- fixed values: period labels and their years --------------------------------------------
 PERIOD_LABELS = [  # label, first year, last year
     ("IX–XI вв.", 800, 1100), ("X в.", 900, 1000), ("к. X в.", 970, 1000), ("XI в.", 1000, 1100), ("XII–XIII вв.", 1100, 1300),
     ("сер. XIII в.", 1230, 1270), ("н. XIV в.", 1300, 1330), ("XIV в.", 1300, 1400), ("ок. 1370", 1360, 1380),

@@ -9,8 +9,9 @@ from ..functions.dates import age_in_days
 
 
 def archive_raw(items: DataFrame, path: str) -> None:
-    """Append landed rows as they came, partitioned by source and landing day; nothing is ever removed."""
-    items.withColumn("fetched_day", F.to_date("fetched_at")).write.mode("append").partitionBy("source_id", "fetched_day").parquet(path)
+    """Append landed rows as they came, partitioned by source and landing day; nothing is ever removed. Rows of
+    one folder meet in one task, or in several of bounded size where there are many, so files stay few."""
+    items.withColumn("fetched_day", F.to_date("fetched_at")).hint("rebalance", "source_id", "fetched_day").write.mode("append").partitionBy("source_id", "fetched_day").parquet(path)
 
 
 def feed_rows(lots: DataFrame, now: Column) -> DataFrame:
@@ -30,9 +31,13 @@ def write_feed(rows: DataFrame, path: str) -> None:
 
 
 def run_sql(spark: SparkSession, tables: dict[str, DataFrame], query: str, limit: int) -> DataFrame:
-    """At most ``limit`` rows of a read-only query plus a ``truncated`` flag, from one row more."""
+    """At most ``limit`` rows of a read-only query plus a ``truncated`` flag, both from one evaluation.
+
+    The statement runs as a subquery, where the grammar admits no command. ``limit`` bounds what is gathered;
+    rows keep the query's order.
+    """
     for name, df in tables.items():
         df.createOrReplaceTempView(name)
-    probe = spark.sql(query).limit(limit + 1)
-    cut = probe.agg((F.count(F.lit(1)) > limit).alias("cut")).scalar()
-    return probe.limit(limit).withColumn("truncated", cut)
+    found = spark.sql(f"SELECT * FROM (\n{query.strip().rstrip(';')}\n)")
+    gathered = found.limit(limit + 1).agg(F.collect_list(F.struct(*found.columns)).alias("rows"))
+    return gathered.select((F.size("rows") > limit).alias("truncated"), F.inline(F.slice("rows", 1, limit))).select(*found.columns, "truncated")

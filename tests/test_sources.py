@@ -2,6 +2,7 @@
 import json
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from armarium.sources import pages as pg
@@ -99,6 +100,14 @@ def test_sql_reports_truncation(spark):
     t = {"numbers": spark.range(10)}
     assert {r["truncated"] for r in sinks.run_sql(spark, t, "select * from numbers", 5).collect()} == {True}
     assert {r["truncated"] for r in sinks.run_sql(spark, t, "select * from numbers", 10).collect()} == {False}
+    assert [r["id"] for r in sinks.run_sql(spark, t, "with n as (select id from numbers) select id from n order by id desc;", 3).collect()] == [9, 8, 7]
+
+
+@pytest.mark.parametrize("command", ["create temporary view v as select 1", "drop view numbers", "insert into numbers values (1)", "set x = 1", "select 1) union (select 2); drop view numbers"])
+def test_sql_takes_no_commands(spark, command):
+    with pytest.raises(Exception, match="(?i)parse|syntax"):
+        sinks.run_sql(spark, {"numbers": spark.range(3)}, command, 5).collect()
+    assert spark.sql("select count(*) from numbers").first()[0] == 3
 
 
 def test_feed_round_trip(spark, tmp_path):
