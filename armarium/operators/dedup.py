@@ -2,6 +2,7 @@
 from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -74,26 +75,42 @@ def _blocks(n: int) -> list[int]:
     return [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:])]
 
 
-def near_pairs(fps: DataFrame, threshold: int = HAMMING_THRESHOLD, blocks: int = 10, agree: int = 2) -> DataFrame:
-    """All pairs of distinct fingerprints ``fp_a < fp_b`` within ``threshold`` bits.
+def key_shape(n: int, threshold: int = HAMMING_THRESHOLD, row_cost: float = 50.0) -> tuple[int, int]:
+    """``(blocks, agree)`` of least estimated work for ``n`` distinct fingerprints: keys to shuffle against
+    pairs to compare. Wider keys pay off as n grows, so candidates per fingerprint stay bounded."""
+    shapes = [(threshold + agree, agree) for agree in range(1, 6)]
+    return min(shapes, key=lambda s: comb(*s) * (row_cost * n + n * n / 2.0 ** (BITS * s[1] // s[0])))
 
-    Exact by pigeonhole: ``threshold`` differing bits leave at least ``blocks - threshold`` blocks equal.
-    Each fingerprint is keyed by every choice of ``agree`` blocks. A pair that shares several keys is
-    reported only under its first agreeing blocks, so no distinct is needed. More blocks give finer keys
-    (11/3 for tens of millions of texts); skewed keys are split by adaptive execution.
-    """
-    if blocks - threshold < agree:
-        raise ValueError("blocks - threshold must be at least agree")
+
+def _keyed(fps: DataFrame, name: str, blocks: int, agree: int) -> DataFrame:
+    """Each distinct fingerprint under every choice of ``agree`` of its blocks."""
     masks = _blocks(blocks)
     keys = F.array(*[
         F.struct(F.lit(sum(1 << i for i in combo)).alias("combo"),
                  F.col("fp").bitwiseAND(F.lit(_signed(sum(masks[i] for i in combo)))).alias("bits"))
         for combo in combinations(range(blocks), agree)])
-    keyed = fps.select("fp").distinct().select("fp", F.explode(keys).alias("k")).select("fp", "k.combo", "k.bits")
-    a, b = keyed.withColumnRenamed("fp", "fp_a"), keyed.withColumnRenamed("fp", "fp_b")
+    return fps.select("fp").distinct().select(F.col("fp").alias(name), F.explode(keys).alias("k")).select(name, "k.combo", "k.bits")
+
+
+def near_pairs(fps: DataFrame, threshold: int = HAMMING_THRESHOLD, others: DataFrame | None = None, shape: tuple[int, int] | None = None) -> DataFrame:
+    """All pairs of distinct fingerprints ``fp_a < fp_b`` within ``threshold`` bits; with ``others`` the pairs
+    of one of ``fps`` (``fp_a``) and a different one of ``others`` (``fp_b``).
+
+    Exact by pigeonhole: ``threshold`` differing bits leave at least ``blocks - threshold`` blocks equal.
+    Each fingerprint is keyed by every choice of ``agree`` blocks. A pair that shares several keys is
+    reported only under its first agreeing blocks, so no distinct is needed. The shape follows the number
+    of fingerprints; skewed keys are split by adaptive execution.
+    """
+    if shape is None:
+        shape = key_shape(fps.select("fp").distinct().count() + (0 if others is None else others.select("fp").distinct().count()), threshold)
+    blocks, agree = shape
+    if blocks - threshold < agree:
+        raise ValueError("blocks - threshold must be at least agree")
+    a, b = _keyed(fps, "fp_a", blocks, agree), _keyed(fps if others is None else others, "fp_b", blocks, agree)
     diff = F.col("fp_a").bitwiseXOR(F.col("fp_b"))
-    equal = reduce(lambda x, y: x + y, [F.when(diff.bitwiseAND(F.lit(_signed(m))) == 0, 1 << i).otherwise(0) for i, m in enumerate(masks)])
-    close = a.join(b, ["combo", "bits"]).where((F.col("fp_a") < F.col("fp_b")) & (F.bit_count(diff) <= threshold))
+    equal = reduce(lambda x, y: x + y, [F.when(diff.bitwiseAND(F.lit(_signed(m))) == 0, 1 << i).otherwise(0) for i, m in enumerate(_blocks(blocks))])
+    order = F.col("fp_a") < F.col("fp_b") if others is None else F.col("fp_a") != F.col("fp_b")
+    close = a.join(b, ["combo", "bits"]).where(order & (F.bit_count(diff) <= threshold))
     close = close.withColumn("_rest", equal).withColumn("_first", F.lit(0))
     for _ in range(agree):
         low = F.col("_rest").bitwiseAND(-F.col("_rest"))
@@ -137,9 +154,8 @@ def deduplicate(items: DataFrame, stored: DataFrame | None = None, threshold: in
     """
     out = None
     if stored is not None:
-        both = items.select("fp").union(stored.select("fp")).distinct()
-        links = near_pairs(both, threshold).select("fp_a", "fp_b")
-        around = links.union(links.select("fp_b", "fp_a")).union(both.select("fp", "fp")).toDF("fp", "stored_fp")
+        own = items.select("fp").distinct()
+        around = near_pairs(own, threshold, others=stored).select("fp_a", "fp_b").union(own.select("fp", "fp")).toDF("fp", "stored_fp")
         # Only the first two stored entries of a fingerprint can matter: one may be the item's own.
         firsts = keep_two(stored)
         hit = items.join(around, "fp").join(firsts, "stored_fp").where(F.col("item") != F.col("stored_id"))

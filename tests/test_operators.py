@@ -29,7 +29,7 @@ def test_near_pairs_have_full_recall(spark):
     want = {(a, b) for i, a in enumerate(uniq) for b in uniq[i + 1:] if bits(a, b) <= 8}
     df = spark.createDataFrame([(f,) for f in fps], "fp bigint")
     for blocks, agree in ((9, 1), (10, 2), (11, 3)):
-        rows = dedup.near_pairs(df, 8, blocks, agree).collect()
+        rows = dedup.near_pairs(df, 8, shape=(blocks, agree)).collect()
         assert len(rows) == len(want) and {(r["fp_a"], r["fp_b"]) for r in rows} == want
 
 
@@ -137,3 +137,14 @@ def test_plans_stay_in_the_engine(spark, sf):
     from armarium.plans import matching
     plan = matching.top_matches(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "CartesianProduct" not in plan and "BroadcastNestedLoop" not in plan
+
+
+def test_near_pairs_of_two_sets(spark):
+    import random
+    rng = random.Random(4)
+    base = [rng.getrandbits(63) for _ in range(40)]
+    near = [b ^ sum(1 << i for i in rng.sample(range(63), rng.randint(0, 11))) for b in base for _ in range(3)]
+    left, right = spark.createDataFrame([(x,) for x in base + near[:20]], "fp bigint"), spark.createDataFrame([(x,) for x in near], "fp bigint")
+    want = {(a, b, (a ^ b).bit_count()) for a in base + near[:20] for b in near if a != b and (a ^ b).bit_count() <= 8}
+    for shape in (None, (10, 2), (11, 3)):
+        assert {tuple(r) for r in dedup.near_pairs(left, 8, others=right, shape=shape).collect()} == want
