@@ -1,6 +1,7 @@
 """Operators against brute force on small fixtures."""
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from armarium.operators import dedup, merge, ranks, registry
@@ -133,9 +134,10 @@ def test_outcomes_cover_every_row_once(spark, sf):
     assert total == v.corpus(spark, sf).count()
 
 
-def test_plans_stay_in_the_engine(spark, sf):
-    from armarium.plans import matching
-    plan = matching.top_matches(spark, sf)._jdf.queryExecution().executedPlan().toString()
+@pytest.mark.parametrize("name", ["mj5_top_matches", "mj8_services_for_lot", "mj10_archetype_coverage", "ag8_price_position", "gt8_gate_cascade", "vm3_guarded_match", "wn3_newest_first", "wn5_grouped_display"])
+def test_plans_stay_in_the_engine(spark, sf, name):
+    from armarium.plans import catalog
+    plan = catalog.collect("QUERIES")[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "CartesianProduct" not in plan and "BroadcastNestedLoop" not in plan
 
 
