@@ -83,6 +83,8 @@ UPSERT_SQL = (
     SELECT change, count(*) n, count(DISTINCT spec_id) n_wants, sum(score::DECIMAL(10,3))::DOUBLE score_sum, count(*) FILTER (r_budget = 'ok') n_in_budget FROM merged GROUP BY change"""
 )
 
+TWO_RUNS_SQL = UPSERT_SQL[:UPSERT_SQL.index(", merged AS")]
+
 FILTERS = [  # id, slot, country, condition, price cap, words, wanted length
     ("f1", "PROMO", "NATION_3", "used", 40000.0, "red widget", 20.0), ("f2", "LARGE", None, None, 30000.0, "", None), ("f3", None, "NATION_7", "new", None, "small ring", 30.0),
     ("f4", None, None, None, 20000.0, "blue", None), ("f5", "ABSENT", None, None, None, None, None), ("f6", "SMALL", "NATION_1", "any", 50000.0, "larp neu", 10.0),

@@ -9,8 +9,7 @@ from ..streaming import jobs as j
 from . import views as v
 from .duplicates import FPS, _KEPT
 from .landing import CHANGE_SQL, change_feed_rows, known_users
-from .matching import POOL, SCORED
-from .oracle_base import OFFERS, WANTS, with_
+from .matching import TWO_RUNS_SQL
 
 
 def landing(spark, df, name: str, parts: list):
@@ -53,8 +52,8 @@ def near_duplicates(spark, d):
     fps = fps.withColumn("first", F.col("item") < middle)
     path = landing(spark, fps, "fps", [F.col("first"), ~F.col("first")])
     stream = j.file_stream(spark, path, fps.schema, 1)
-    stored = j.BatchLog(spark, "stored", spark.createDataFrame([], "stored_id bigint, fp bigint, created_at timestamp"))
-    found = j.BatchLog(spark, "found", spark.createDataFrame([], "item bigint, original bigint"))
+    stored = j.BatchTable(spark, work_path(spark, "stored"), spark.createDataFrame([], "stored_id bigint, fp bigint, created_at timestamp"))
+    found = j.BatchTable(spark, work_path(spark, "found"), spark.createDataFrame([], "item bigint, original bigint"))
     return j.near_duplicate_stream(stream, stored, found, work_path(spark, "ckpt")).select("item", "original")
 
 
@@ -63,13 +62,14 @@ def match_alerts(spark, d):
     o = v.offers(spark, d).withColumn("early", F.col("posted_at") < F.lit("1998-01-01").cast("timestamp"))
     path = landing(spark, o, "offers", [F.col("early"), ~F.col("early")])
     stream = j.file_stream(spark, path, o.schema, 1)
-    log = j.BatchLog(spark, "alerts", spark.createDataFrame([], "spec_id bigint, offer_id bigint, score double"))
-    return j.match_alert_stream(stream, v.wants(spark, d), log, work_path(spark, "ckpt")).select("spec_id", "offer_id", "score")
+    log = j.BatchTable(spark, work_path(spark, "alerts"), spark.createDataFrame([], "spec_id bigint, offer_id bigint, score double"))
+    best = j.BatchTable(spark, work_path(spark, "best"), spark.createDataFrame([], "spec_id bigint, offer_id bigint, score double"))
+    return j.match_alert_stream(stream, v.wants(spark, d), best, log, work_path(spark, "ckpt")).select("spec_id", "offer_id", "score")
 
 
 def weekly_flow(spark, d):
     stream = j.windowed_flow(j.file_stream(spark, events_path(d), schema_of(spark, d, "events")), "ts", "7 days", "1 day", "event_type", start="4 days")
-    log = j.BatchLog(spark, "flow", spark.createDataFrame([], "window_start timestamp, event_type string, n bigint"))
+    log = j.BatchTable(spark, work_path(spark, "flow"), spark.createDataFrame([], "window_start timestamp, event_type string, n bigint"))
     out = j.upsert_windows(stream, log, work_path(spark, "ckpt"), ["window_start", "event_type"])
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
 
@@ -79,7 +79,7 @@ def change_stream(spark, d):
     cuts = ["2024-01-10", "2024-01-20"]
     parts = [F.col("updated_at") < cuts[0], (F.col("updated_at") >= cuts[0]) & (F.col("updated_at") < cuts[1]), F.col("updated_at") >= cuts[1]]
     path = landing(spark, rows, "changes", parts)
-    state = j.VersionedTable(spark, "state", known_users(spark, d))
+    state = j.BatchTable(spark, work_path(spark, "state"), known_users(spark, d))
     return j.apply_change_stream(j.file_stream(spark, path, rows.schema, 1), state, work_path(spark, "ckpt"))
 
 
@@ -87,14 +87,12 @@ QUERIES = {
     "ts1_cursor_ingest": cursor_ingest, "ts2_replay_dedup": replay_dedup, "ts3_near_duplicates": near_duplicates, "ts4_match_alerts": match_alerts,
     "ts5_weekly_flow": weekly_flow, "ts6_change_stream": change_stream,
 }
-_B = "posted_at >= TIMESTAMP '1998-01-01'"
 ORACLE = {
     "ts1_cursor_ingest": "SELECT event_type, count(*) n, max(event_id) AS \"cursor\" FROM events WHERE event_type <> 'error' GROUP BY 1",
     "ts2_replay_dedup": "SELECT event_type, count(*) n, count(*) n_ids FROM events GROUP BY 1",
     "ts3_near_duplicates": f"""WITH {FPS}, kept AS (SELECT unnest({_KEPT}, recursive := true) FROM fp)
         SELECT f.doc_id item, min(k.id) original FROM fp f JOIN kept k ON k.id < f.doc_id AND bit_count(xor(f.fp, k.fp)) <= 8 GROUP BY 1""",
-    "ts4_match_alerts": with_(OFFERS, WANTS, POOL.replace("PARTITION BY slot_id, country", f"PARTITION BY {_B}, slot_id, country").replace("SELECT *, row_number", f"SELECT *, {_B} late, row_number"),
-                              SCORED.replace("o.country,", "o.country, o.late,", 1).replace("PARTITION BY spec_id", "PARTITION BY late, spec_id")) + "SELECT spec_id, offer_id, score FROM best",
+    "ts4_match_alerts": TWO_RUNS_SQL + " SELECT spec_id, offer_id, score FROM best0 UNION SELECT spec_id, offer_id, score FROM best",
     "ts5_weekly_flow": """SELECT date_trunc('week', ts)::TIMESTAMP window_start, event_type, count(*) n FROM events GROUP BY 1, 2""",
     "ts6_change_stream": CHANGE_SQL,
 }

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import HAMMING_THRESHOLD, RETENTION_DAYS
+from ..constants import HAMMING_THRESHOLD, RETENTION_DAYS, TOP_MATCHES
 from ..operators import dedup, match, merge
-from ..session import work_path
+from ..operators.topk import top_k
 
 
 def file_stream(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
@@ -45,53 +45,49 @@ def windowed_flow(stream: DataFrame, time: str, width: str, delay: str, by: str,
         F.col("w.start").alias("window_start"), by, "n")
 
 
-class VersionedTable:
-    """A table kept as one folder per committed batch; a batch that is replayed overwrites its own folder
-    and always starts from the version before it."""
+def stored_at(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
-    def __init__(self, spark: SparkSession, name: str, empty: DataFrame):
-        self.spark, self.path, self.schema = spark, work_path(spark, name), empty.schema
-        self.write(empty, -1)
 
-    def write(self, df: DataFrame, batch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/v={batch}")
-        self.last = batch
+class BatchTable:
+    """Rows per batch in one folder each, below a path that outlives the run: a job that starts again over
+    its checkpoint finds what its earlier batches left. A replayed batch overwrites its own folder."""
 
-    def read(self, batch: int) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v={batch}")
-
-    def latest(self) -> DataFrame:
-        return self.read(self.last)
-
-
-class BatchLog:
-    """Append-only results, one folder per batch; replay overwrites the folder."""
-
-    def __init__(self, spark: SparkSession, name: str, empty: DataFrame):
-        self.spark, self.path, self.schema = spark, work_path(spark, name), empty.schema
-        self.put(empty, -1)
+    def __init__(self, spark: SparkSession, path: str, empty: DataFrame):
+        self.spark, self.path, self.schema = spark, path, empty.schema
+        if not stored_at(spark, path):
+            self.put(empty, -1)
 
     def put(self, df: DataFrame, batch: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
 
     def read(self, before: int | None = None) -> DataFrame:
+        """The rows of all batches, or of those before one."""
         out = self.spark.read.option("basePath", self.path).parquet(self.path)
         return out if before is None else out.where(F.col("batch") < before)
 
+    def version(self, batch: int | None = None) -> DataFrame:
+        """The rows of one batch, the last if none is named: a table of which each batch leaves a version."""
+        if batch is None:
+            batch = self.read().agg(F.max("batch")).first()[0]
+            batch = -1 if batch is None else batch
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/batch={batch}")
+
 
-def upsert_windows(stream: DataFrame, log: BatchLog, checkpoint: str, keys: list[str]) -> DataFrame:
+def upsert_windows(stream: DataFrame, log: BatchTable, checkpoint: str, keys: list[str]) -> DataFrame:
     """Run an update-mode aggregate into a keyed result: the newest batch of a key wins."""
     drain(stream, checkpoint, each=lambda df, i: log.put(df, i), mode="update")
     return log.read().groupBy(*keys).agg(F.max_by("n", "batch").alias("n"))
 
 
-def apply_change_stream(stream: DataFrame, state: VersionedTable, checkpoint: str) -> DataFrame:
+def apply_change_stream(stream: DataFrame, state: BatchTable, checkpoint: str) -> DataFrame:
     """Soft-delete change feed applied batch by batch."""
-    drain(stream, checkpoint, each=lambda df, i: state.write(merge.apply_changes(state.read(i - 1), df), i))
-    return state.latest()
+    drain(stream, checkpoint, each=lambda df, i: state.put(merge.apply_changes(state.version(i - 1), df), i))
+    return state.version()
 
 
-def near_duplicate_stream(stream: DataFrame, stored: BatchLog, found: BatchLog, checkpoint: str, today: Column | None = None,
+def near_duplicate_stream(stream: DataFrame, stored: BatchTable, found: BatchTable, checkpoint: str, today: Column | None = None,
                           threshold: int = HAMMING_THRESHOLD, days: int = RETENTION_DAYS) -> DataFrame:
     """Near-duplicates of each batch against stored fingerprints inside the retention window. Kept
     fingerprints are stored; expired ones are simply not read. ``stream``: item, fp, created_at."""
@@ -108,11 +104,16 @@ def near_duplicate_stream(stream: DataFrame, stored: BatchLog, found: BatchLog,
     return found.read()
 
 
-def match_alert_stream(offers: DataFrame, wants: DataFrame, alerts: BatchLog, checkpoint: str) -> DataFrame:
-    """Best matches of each batch of new offers against standing wants; a pair is reported once."""
+def match_alert_stream(offers: DataFrame, wants: DataFrame, best: BatchTable, alerts: BatchTable, checkpoint: str, k: int = TOP_MATCHES) -> DataFrame:
+    """What enters the ``k`` best matches of a standing want, over all offers so far, is an alert once.
+
+    The best of a batch are merged into the stored best, which holds at most ``k`` rows a want."""
     def run(df: DataFrame, i: int) -> None:
-        fresh = match.match_wants(wants, df).select("spec_id", "offer_id", "score")
-        alerts.put(fresh.join(alerts.read(before=i).select("spec_id", "offer_id"), ["spec_id", "offer_id"], "left_anti"), i)
+        fresh = match.match_wants(wants, df, k).select("spec_id", "offer_id", "score")
+        known = best.version(i - 1)
+        newer = fresh.join(known, ["spec_id", "offer_id"], "left_anti")
+        best.put(top_k(known.unionByName(newer), ["spec_id"], [F.col("score").desc(), F.col("offer_id").desc()], k).drop("rn"), i)
+        alerts.put(best.version(i).join(known, ["spec_id", "offer_id"], "left_anti"), i)
 
     drain(offers, checkpoint, each=run)
     return alerts.read()
