@@ -152,7 +152,7 @@ def make_plan(together: np.ndarray, sample: np.ndarray, n: int, limit: int = LIM
             # What the sample cannot resolve counts as if the bits were even.
             even = np.cumsum([comb(len(bits), t) for t in range(limit + 1)]) / 2.0 ** len(bits)
             probes = np.cumsum([comb(len(bits), t) for t in range(limit + 1)])
-            pairs = np.maximum(near, even) * n * n / 2 * probes ** 0.0
+            pairs = np.maximum(near, even) * n * n / 2
             table.append([0.0, *(n * probes * ROW_COST + pairs * PAIR_COST)])
         # table[i][s]: cost of partition i with t_i + 1 = s; all s add up to limit + 1.
         reach = {0: (0.0, ())}
