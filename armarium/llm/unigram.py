@@ -20,11 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import of_worker, whole_text
-from .wordpieces import Bounded
 
 MARK = "▁"
 # --- fixed values: the library's price of an unknown letter below the least score ---------------
 UNKNOWN_PENALTY = 10.0
+#: Parts of more bytes are solved one by one; of the others so many go together.
+LONG_PART, SOLVED_AT_ONCE = 160, 1 << 14
 
 
 class DoubleArray:
@@ -142,64 +143,119 @@ class Unigram:
         self.v, self.trie = vocabulary, trie
         self.score = np.array([self.v.scores[i] for i in self.v.normal])
         self.unknown = float(self.score.min()) - UNKNOWN_PENALTY
-        self.known = Bounded(lambda part: self.solve([part])[0], limit)
+        # Two generations of solved parts: a full young one becomes the old one.
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.limit = limit
+
+    def arcs(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(start, end, number)`` of all pieces in the bytes, and of each letter that no piece covers alone
+        (number -1), by start, then end. Parts are told apart by 0xFF, which no text holds."""
+        starts = np.flatnonzero((raw & 0xC0 != 0x80) & (raw != 0xFF))
+        begin, end, number = self.trie.matches(raw, starts)
+        lead = raw[starts]
+        letter_end = starts + 1 + (lead >= 0xC0) + (lead >= 0xE0) + (lead >= 0xF0)
+        whole = np.zeros(len(raw) + 1, np.int64)
+        whole[starts] = letter_end
+        alone = np.zeros(len(raw) + 1, bool)
+        alone[begin[end == whole[begin]]] = True
+        unknown = ~alone[starts]
+        begin, end = np.r_[begin, starts[unknown]], np.r_[end, letter_end[unknown]]
+        number = np.r_[number, np.full(unknown.sum(), -1)]
+        order = np.lexsort((end, begin))
+        return begin[order], end[order], number[order]
 
     def solve(self, parts: list[str]) -> list[bytes]:
-        """Best ids of each part, as little-endian unsigned 32-bit integers; all parts share the trie's steps.
+        """Best ids of each part, as little-endian unsigned 32-bit integers; all parts go one step together.
         Of equal sums the path that was found first stays: the one whose last piece begins first."""
+        if not parts:
+            return []
         bodies = [p.encode() for p in parts]
+        long = [i for i, b in enumerate(bodies) if len(b) > LONG_PART]
+        if long:
+            out = dict(zip(long, (self.solve_long(bodies[i]) for i in long)))
+            short = [i for i, b in enumerate(bodies) if len(b) <= LONG_PART]
+            out |= dict(zip(short, self.solve([parts[i] for i in short])))
+            return [out[i] for i in range(len(parts))]
         raw = np.frombuffer(b"\xff".join(bodies), np.uint8).astype(np.int64)
-        starts = np.flatnonzero((raw & 0xC0 != 0x80) & (raw != 0xFF))
-        begin, end, number = (x.tolist() for x in self.trie.matches(raw, starts))
-        score, ids = self.score.tolist(), self.v.normal
-        out, m, offset = [], 0, 0
-        for body in bodies:
-            n = len(body)
-            best: list[float] = [0.0] + [-math.inf] * n
-            back = [0] * (n + 1)
-            piece = [-1] * (n + 1)
-            at = 0
-            while at < n:
-                width = 1 if body[at] < 0x80 else 2 if body[at] < 0xE0 else 3 if body[at] < 0xF0 else 4
-                here, single = best[at], False
-                while m < len(begin) and begin[m] == offset + at:
-                    to = end[m] - offset
-                    single = single or to == at + width
-                    if here + score[number[m]] > best[to]:
-                        best[to], back[to], piece[to] = here + score[number[m]], at, ids[number[m]]
-                    m += 1
-                if not single and here + self.unknown > best[at + width]:
-                    best[at + width], back[at + width], piece[at + width] = here + self.unknown, at, -1
-                at += width
-            path: list[int] = []
-            at = n
-            while at:
-                if piece[at] >= 0:
-                    path.append(piece[at])
-                else:
-                    byte_ids = [int(self.v.byte_ids[b]) for b in reversed(body[back[at]:at])]
-                    path += byte_ids if min(byte_ids) >= 0 else [self.v.unknown_id]
-                at = back[at]
-            out.append(np.array(path[::-1], "<u4").tobytes())
-            offset += n + 1
+        begin, end, number = self.arcs(raw)
+        size = np.array([len(b) for b in bodies])
+        last = np.cumsum(size + 1) - 1
+        first = last - size
+        # Arcs that begin at the same byte of their part and are equally long end in different places.
+        local = begin - first[np.searchsorted(last, begin, side="right")]
+        order = np.lexsort((end - begin, local))
+        begin, end, number = begin[order], end[order], number[order]
+        step = local[order] * 256 + (end - begin)
+        edges = np.r_[np.flatnonzero(np.r_[True, step[1:] != step[:-1]]), len(step)]
+        score = np.r_[self.score, self.unknown][number]
+        best, back, piece = np.full(len(raw) + 1, -np.inf), np.zeros(len(raw) + 1, np.int64), np.full(len(raw) + 1, -1)
+        best[first] = 0.0
+        for a, b in zip(edges[:-1], edges[1:]):
+            total = best[begin[a:b]] + score[a:b]
+            to = end[a:b]
+            better = total > best[to]
+            to = to[better]
+            best[to], back[to], piece[to] = total[better], begin[a:b][better], number[a:b][better]
+        # Back from the ends, all parts together; letters without a piece stand for their bytes.
+        steps, at = [], last.copy()
+        unknown = np.zeros(len(parts), bool)
+        while (open_ := at > first).any():
+            taken = np.where(open_, piece[at], -2)
+            unknown |= taken == -1
+            steps.append(taken)
+            at = np.where(open_, back[at], at)
+        table = np.stack(steps[::-1], axis=1) if steps else np.zeros((len(parts), 0), np.int64)
+        used = table >= 0
+        flat = np.array(self.v.normal, "<u4")[table[used]].tobytes()
+        ends = (4 * np.cumsum(used.sum(axis=1))).tolist()
+        out = [flat[a:b] for a, b in zip([0, *ends[:-1]], ends)]
+        for i in np.flatnonzero(unknown):
+            out[i] = self.solve_long(bodies[i])
         return out
 
+    def solve_long(self, body: bytes) -> bytes:
+        """The same for one part, arc by arc."""
+        begin, end, number = (x.tolist() for x in self.arcs(np.frombuffer(body, np.uint8).astype(np.int64)))
+        score, ids = self.score.tolist(), self.v.normal
+        best = [0.0] + [-math.inf] * len(body)
+        back, piece = [0] * len(best), [-1] * len(best)
+        for a, b, n in zip(begin, end, number):
+            total = best[a] + (score[n] if n >= 0 else self.unknown)
+            if total > best[b]:
+                best[b], back[b], piece[b] = total, a, n
+        path: list[int] = []
+        at = len(body)
+        while at:
+            if piece[at] >= 0:
+                path.append(ids[piece[at]])
+            else:
+                byte_ids = [int(self.v.byte_ids[b]) for b in reversed(body[back[at]:at])]
+                path += byte_ids if min(byte_ids) >= 0 else [self.v.unknown_id]
+            at = back[at]
+        return np.array(path[::-1], "<u4").tobytes()
+
     def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        return b"".join(map(self.known.__getitem__, self.v.parts.findall(MARK + text.replace(" ", MARK))))
+        return self.encode_all([text])[0]
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        """Encodes texts after solving the new parts of all of them together."""
+        """Encodes texts; what none of the caches knows is solved for all of them together."""
         found = [self.v.parts.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        new = list({p for f in found for p in f if p not in self.known and p not in self.known.old})
-        for i in range(0, len(new), 1 << 14):
-            fresh = new[i:i + (1 << 14)]
-            self.known.update(zip(fresh, self.solve(fresh)))
-        out = [b"".join(map(self.known.__getitem__, f)) for f in found]
-        if len(self.known) > self.known.limit:
-            self.known.old = dict(self.known)
-            self.known.clear()
+        needed = dict.fromkeys(p for f in found for p in f)
+        new = []
+        for p in needed:
+            ids = self.known.get(p) or self.old.get(p)
+            if ids is None:
+                new.append(p)
+            else:
+                needed[p] = ids
+        for i in range(0, len(new), SOLVED_AT_ONCE):
+            fresh = new[i:i + SOLVED_AT_ONCE]
+            needed.update(zip(fresh, self.solve(fresh)))
+        out = [b"".join(map(needed.__getitem__, f)) for f in found]
+        self.known.update(needed)
+        if len(self.known) > self.limit:
+            self.old, self.known = self.known, {}
         return out
 
     def decode(self, ids: list[int]) -> str:
