@@ -18,19 +18,19 @@ from pyspark.sql import functions as F
 
 # --- fixed values: kinds of elements, as the HTML standard has them -------------------------------
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|noscript|template|textarea|title|iframe|svg|math|object|canvas|select|xmp|noembed|noframes"
+RAW = "script|style|noscript|template|textarea|title|iframe|xmp|noembed|noframes"
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
                   "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSED_BY_SELF = {"li": "ul ol menu", "dt": "dl", "dd": "dl", "tr": "table", "td": "tr table", "th": "tr table", "option": "select"}
 #: Elements, words of class or id, and roles that are not the article.
-OTHER_TAGS = frozenset("head nav header footer aside form button dialog menu".split())
+OTHER_TAGS = frozenset("head nav header footer aside form button dialog menu svg canvas select".split())
 OTHER_NAMES = frozenset("ad ads advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header login masthead menu "
                         "modal nav navbar navigation newsletter notice notices pagination popup promo promoted promotion recommended related search share sharing sidebar signup social "
                         "sponsor sponsored subscribe toolbar widget".split())
 OTHER_ROLES = frozenset("alert banner complementary contentinfo dialog form menu navigation search".split())
 CONTAINERS = frozenset("article main section div td body html blockquote".split())
 
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|([^<]+|<)", re.S | re.I)
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|([^<]+|<)", re.S | re.I)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 MARKS = re.compile(r"[.,;:!?…。、，！？]")
 #: Width of the smoothing in nodes, and the share of the mean that a content path reaches.
@@ -77,8 +77,9 @@ def nodes(page: str) -> list[tuple[tuple[str, ...], int, str]]:
             if m[2]:
                 close((tag,))
                 continue
-            if tag in BLOCK:
-                close(("p",), "table td th button article section div li")
+            if tag in BLOCK and tag not in ("option", "optgroup"):
+                close(("svg",), "foreignobject")  # as the standard has it: a block breaks out of an open drawing
+                close(("p",), "table td th button article section div li canvas object foreignobject")
             if tag in CLOSED_BY_SELF:
                 close(("dt", "dd") if tag in ("dt", "dd") else ("td", "th") if tag in ("td", "th") else (tag,), CLOSED_BY_SELF[tag])
             if tag in VOID or m[4].rstrip().endswith("/"):

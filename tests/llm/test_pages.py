@@ -46,3 +46,15 @@ def test_edges(spark):
 def test_short_boilerplate_outside_the_container_goes():
     page = "<body><div class=top>Log in</div><div class=story>" + "<p>A long paragraph, with some punctuation; and words enough to read.</p>" * 5 + "</div><div class=end>All rights</div></body>"
     assert pages.main_text(page) == "\n".join(["A long paragraph, with some punctuation; and words enough to read."] * 5)
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<article><p>one <svg class='i'/> two</p><p>three</p></article>", "one two\nthree"),
+    ("<article><p>one <svg><title>x</title><text>no</text></svg> two <svg class=i> three</p><p>four</p></article>", "one two\nfour"),
+    ("<article><title-x>one</title-x><p>two</p><select-box></select-box><style-guide>three</style-guide></article>", "one\ntwo\nthree"),
+    ("<article><p>If <math><mi>x</mi><mo>=</mo><mn>2</mn></math>, then <math/> so.</p><object data=a><p>A fallback.</p></object></article>", "If x=2, then so.\nA fallback."),
+    ("<article><p>a<select><option>b<option>c</select><canvas><p>d</p></canvas> e</p><title >f</title></article>", "a\ne"),
+    ("<article><div><svg class=i><path><p>one</p></div><p>two</p></article>", "one\ntwo"),
+])
+def test_elements_without_an_end_tag_and_with_longer_names(page, text):
+    assert pages.main_text(page) == text
