@@ -3,7 +3,8 @@
 A page's text nodes are gathered by their path of tags from the root. Text length and punctuation per path,
 over the number of its nodes, are smoothed along the page, multiplied and thresholded: long, punctuated paths
 are content. The containers of content paths give the article; parts that their tag, class, id or role names
-as something else are left out of it.
+as something else are left out of it. A name may also be that of a layout: a part that outweighs what is
+outside of all such parts stays.
 """
 from __future__ import annotations
 
@@ -27,6 +28,11 @@ OTHER_TAGS = frozenset("head nav header footer aside form button dialog menu svg
 OTHER_NAMES = frozenset("ad ads advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header login masthead menu "
                         "modal nav navbar navigation newsletter notice notices pagination popup promo promoted promotion recommended related search share sharing sidebar signup social "
                         "sponsor sponsored subscribe toolbar widget".split())
+#: Those that are so at any size; the others may name a layout around the article.
+FIRM_TAGS = OTHER_TAGS - {"header", "form", "dialog"}
+FIRM_NAMES = frozenset("comment comments disqus recommended related".split())
+#: A named part with articles stays beside an article outside of such parts if its own are so many times as long.
+OUTWEIGHS = 10
 OTHER_ROLES = frozenset("alert banner complementary contentinfo dialog form menu navigation search".split())
 CONTAINERS = frozenset("article main section div td body html blockquote".split())
 
@@ -37,23 +43,50 @@ MARKS = re.compile(r"[.,;:!?…。、，！？]")
 SMOOTH, SHARE = 1.0, 0.5
 
 
-def other(tag: str, attributes: str) -> bool:
-    """Whether an element is named as something other than the article."""
-    if tag in OTHER_TAGS:
-        return True
+def other(tag: str, attributes: str, in_article: bool = False) -> int:
+    """2 for an element that is not the article at any size, 1 for one that is named as something else, 0 for
+    any other. A name is a whole class or id, or its leading word. The header of an article is part of it."""
+    if tag in FIRM_TAGS:
+        return 2
+    named = int(tag in OTHER_TAGS and not (tag == "header" and in_article))
     if not attributes.strip() or tag in ("html", "body", "article", "main"):
-        return False
+        return named
     a = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
-    names = re.split(r"[^a-z0-9]+", f"{a.get('class', '')} {a.get('id', '')}".lower())
-    hidden = "hidden" in a or a.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", a.get("style", ""), re.I)
-    return bool(hidden or a.get("role", "").lower() in OTHER_ROLES or not OTHER_NAMES.isdisjoint(names))
+    role = a.get("role", "").lower()
+    if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", a.get("style", ""), re.I) or role in OTHER_ROLES - {"form", "dialog"}:
+        return 2
+    names = {re.split(r"[^a-z0-9]+", x)[0] for x in f"{a.get('class', '')} {a.get('id', '')}".lower().split()}
+    if in_article:
+        names.discard("header")
+    return 2 if not FIRM_NAMES.isdisjoint(names) else int(bool(named or role in OTHER_ROLES or not OTHER_NAMES.isdisjoint(names)))
+
+
+def without_named(found: list[tuple[tuple[str, ...], int, str, tuple[int, ...]]]) -> list[tuple[tuple[str, ...], int, str]]:
+    """The nodes outside named parts, and those of named parts that outweigh them: parts with most of the text
+    (an article in them counts twice) where no article is outside, else with OUTWEIGHS times its length."""
+    weighed = [(len(text.strip()), any(s.split(".")[0] in ("article", "main") for s in path), named) for path, _, text, named in found]
+    stay: set[int] = set()
+    while True:
+        rest: dict[int, list[int]] = {}  # text and text of articles of each named part that is outermost or in one that stays
+        out = [0, 0]
+        for n, article, named in weighed:
+            first = next((e for e in named if e not in stay), None)
+            sums = out if first is None else rest.setdefault(first, [0, 0])
+            sums[0] += n
+            sums[1] += n * article
+        fit = [e for e, (n, own) in rest.items() if (own > OUTWEIGHS * out[1] if out[1] else n + own > out[0])]
+        if not fit:
+            return [node[:3] for node in found if stay.issuperset(node[3])]
+        stay.add(max(fit, key=lambda e: (rest[e][1], rest[e][0], -e)))
 
 
 def nodes(page: str) -> list[tuple[tuple[str, ...], int, str]]:
     """``(path, block, text)`` of the text nodes outside parts named otherwise. A block ends where an element
     of a block kind starts or ends. Tags may be left open or be closed twice, as on real pages."""
-    found: list[tuple[tuple[str, ...], int, str]] = []
-    stack: list[tuple[str, str, bool]] = []  # tag, its step in the path, whether inside a part named otherwise
+    found: list[tuple[tuple[str, ...], int, str, tuple[int, ...]]] = []
+    # Tag, its step in the path, the named parts it is in (None in one that is not the article at any size), whether in an article.
+    stack: list[tuple[str, str, tuple[int, ...] | None, bool]] = []
+    count = 0
     block = 0
 
     def close(tags: str | tuple[str, ...], within: str = "") -> None:
@@ -67,11 +100,11 @@ def nodes(page: str) -> list[tuple[tuple[str, ...], int, str]]:
     for m in TOKEN.finditer(page):
         text, tag = m[5], (m[3] or "").lower()
         if text is not None:
-            if not (stack and stack[-1][2]):
-                found.append((tuple(s[1] for s in stack), block, text))
+            if not stack or stack[-1][2] is not None:
+                found.append((tuple(s[1] for s in stack), block, text, stack[-1][2] if stack else ()))
         elif tag == "br":
-            if not (stack and stack[-1][2]):
-                found.append((tuple(s[1] for s in stack), block, " "))
+            if not stack or stack[-1][2] is not None:
+                found.append((tuple(s[1] for s in stack), block, " ", stack[-1][2] if stack else ()))
         elif tag:
             block += tag in BLOCK
             if m[2]:
@@ -87,8 +120,13 @@ def nodes(page: str) -> list[tuple[tuple[str, ...], int, str]]:
             if tag == "body":
                 close(("head",))
             name = re.search(r"class\s*=\s*[\"']?([^\"'>]*)", m[4])
-            stack.append((tag, f"{tag}.{name[1]}" if name else tag, bool(stack and stack[-1][2]) or other(tag, m[4])))
-    return found
+            named, in_article = stack[-1][2:] if stack else ((), False)
+            if named is not None:
+                kind = other(tag, m[4], in_article)
+                count += 1
+                named = None if kind == 2 else (*named, count) if kind else named
+            stack.append((tag, f"{tag}.{name[1]}" if name else tag, named, in_article or tag in ("article", "main")))
+    return without_named(found)
 
 
 def content_paths(found: list[tuple[tuple[str, ...], int, str]]) -> set[tuple[str, ...]]:

@@ -58,3 +58,25 @@ def test_short_boilerplate_outside_the_container_goes():
 ])
 def test_elements_without_an_end_tag_and_with_longer_names(page, text):
     assert pages.main_text(page) == text
+
+
+STORY = "<article><h1>T</h1><p>A long paragraph, with some punctuation; and words enough to read.</p></article>"
+PLAIN = STORY.replace("<article>", "<div>").replace("</article>", "</div>")
+SAID = "T\nA long paragraph, with some punctuation; and words enough to read."
+
+
+@pytest.mark.parametrize("page", [
+    f"<body><nav>menu</nav><{wrap}>{story}</{wrap.split()[0]}><footer>f</footer></body>" for story in (STORY, PLAIN) for wrap in (
+        "div class='layout with-sidebar'", "div class='content no-sidebar'", "div class='elementor-widget elementor-widget-theme-post-content'", "div class=widget",
+        "div class='sidebar-left layout'", "form id=page action='/'", "form", "div class=modal role=dialog")
+] + [
+    "<article><header><h1>T</h1></header><p>A long paragraph, with some punctuation; and words enough to read.</p></article>",
+    "<article><div class='post-header'><h1>T</h1></div><p>A long paragraph, with some punctuation; and words enough to read.</p></article>",
+    f"<form><div class=sidebar><div class='layout widget'>{STORY}</div></div><div class=search>Find it</div></form>",
+    f"<header class=site>Site name</header>{STORY}<div class=sidebar><article><p>Another story, in short.</p></article></div>",
+    f"{PLAIN}<div class=sidebar><article><p>Another.</p></article></div>",
+    f"{STORY}<div id=comments>{'<article><p>I think, it is so.</p></article>' * 40}</div>",
+    f"<div class=cookie-notice>{'We use cookies, and more of them. ' * 9}</div>{STORY}<div class='widget'>{'Other words, and more. ' * 9}</div>",
+])
+def test_named_wrappers_stay_and_named_parts_go(page):
+    assert pages.main_text(page) == SAID
