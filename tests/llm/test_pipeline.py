@@ -54,7 +54,7 @@ def test_clean_documents_stay(spark):
 
 def test_registered():
     names = entry.queries()
-    assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)}
+    assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 14)}
 
 
 def test_entry_without_the_subpackage(monkeypatch):
