@@ -35,8 +35,10 @@ _RNG = np.random.default_rng(SEED)
 FACTORS = _RNG.integers(0, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Shingles are counted by so many bits of their hash, and the counts of so many of the most frequent are used.
 SLOT_BITS, FREQUENT = 24, 1 << 18
+#: A set's shingles are also counted in so many cells by their hash: what two sets share is in common cells.
+CELL_BITS = 7
 #: Shingles that a task counts before it hands on what it met twice.
-COUNTED = 1 << 20
+COUNTED = 1 << 22
 #: Members of a long list that meet those of another block, and candidates of a set that are searched together.
 BLOCK = 256
 #: Members of a list that are met together; the list of a more frequent shingle has several parts.
@@ -67,6 +69,25 @@ def slots(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
+def cells(hashes: np.ndarray) -> bytes:
+    """Shingles of a set in each cell. A set with too many for 16 bits has no counts, and bounds nothing."""
+    n = np.bincount((hashes >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=1 << CELL_BITS)
+    return n.astype("<u2").tobytes() if n.max() < 1 << 16 else b""
+
+
+def may_reach(one: np.ndarray, two: np.ndarray, similar: tuple[int, int]) -> np.ndarray:
+    """For every row of two matrices of cells: whether common cells hold enough for the threshold."""
+    p, q = similar
+    return np.minimum(one, two).sum(axis=-1) * (p + q) >= p * (one.sum(axis=-1) + two.sum(axis=-1))
+
+
+def cell_matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The counts of binary cells, and which rows have any."""
+    known = np.array([len(c) > 0 for c in column.to_pylist()], bool)
+    rows = b"".join(c or bytes(2 << CELL_BITS) for c in column.to_pylist())
+    return np.frombuffer(rows, "<u2").reshape(-1, 1 << CELL_BITS).astype(np.int64), known
+
+
 def least_shared(size: Column | int, other: Column | int, similar: tuple[int, int] = SIMILAR):
     """Shingles that two sets of these sizes share at the threshold or above."""
     p, q = similar
@@ -80,7 +101,7 @@ def short_lists(size: int, similar: tuple[int, int] = SIMILAR) -> int:
 
 def frequent_slots(docs: DataFrame, text: str, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Slots of the most frequent shingles over all texts, in order, and their counts. A task hands on the
-    slots it meets twice or more among a million shingles; the result is at most FREQUENT rows."""
+    slots it meets twice or more among four million shingles; the result is at most FREQUENT rows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made(met: list[np.ndarray]) -> pa.RecordBatch:
             slot, n = np.unique(np.concatenate(met), return_counts=True)
@@ -136,30 +157,31 @@ class Lists:
 
 
 def shingled(docs: DataFrame, key: str, text: str, shingle: int, similar: tuple[int, int]) -> DataFrame:
-    """``(rid, key, text, n, same, rare, short, parts)`` of every row: the size of its set, a digest of it, its share
-    of shingles outside the frequent ones, the shingles of its short lists, rarest first, and their parts."""
+    """``(rid, key, text, n, same, cells, rare, short, parts)`` of every row: the size of its set, a digest and the
+    cells of it, its share of shingles outside the frequent ones in thousandths, the shingles of its short lists, rarest first, and their parts."""
     sparse = docs.sparkSession.sparkContext.broadcast(frequent_slots(docs, text, shingle))
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(key).alias("key"), whole_text(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = sparse.value
         for batch in batches:
-            n, same, rare, short, parts = [], [], [], [], []
+            n, same, cell, rare, short, parts = [], [], [], [], [], []
             for t in batch.column(2):
                 s = shingle_set(t.as_py(), shingle)
                 at = np.minimum(np.searchsorted(known, slots(s)), max(len(known) - 1, 0))
                 often = np.where(known[at] == slots(s), counts[at], 0) if len(known) else np.zeros(len(s), np.int64)
                 n.append(len(s))
                 same.append(xxhash.xxh3_128_digest(s.tobytes()))
-                rare.append(float((often == 0).mean()) if len(s) else 0.0)
+                cell.append(cells(s))
+                rare.append(1000 * int((often == 0).sum()) // max(1, len(s)))
                 kept = np.lexsort((s, often))[:short_lists(len(s), similar) if len(s) else 0]
                 short.append(s[kept].view(np.int64))
                 parts.append(often[kept] // PART + 1)
             lists = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64()), pa.array(same, pa.binary()), pa.array(rare, pa.float64()), pa.array(short, lists), pa.array(parts, lists)],
-                                             names=["rid", "key", "text", "n", "same", "rare", "short", "parts"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64()), pa.array(same, pa.binary()), pa.array(cell, pa.binary()), pa.array(rare, pa.int64()), pa.array(short, lists), pa.array(parts, lists)],
+                                             names=[*batch.schema.names, "n", "same", "cells", "rare", "short", "parts"])
 
-    return rows.mapInArrow(run, f"rid bigint, key {docs.schema[key].dataType.simpleString()}, text string, n bigint, same binary, rare double, short array<bigint>, parts array<bigint>")
+    return rows.mapInArrow(run, f"rid bigint, key {docs.schema[key].dataType.simpleString()}, text string, n bigint, same binary, cells binary, rare bigint, short array<bigint>, parts array<bigint>")
 
 
 def meet(lists: DataFrame) -> DataFrame:
@@ -194,7 +216,7 @@ def met_in_lists(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     each = nodes.select("id", "n", "rare", F.posexplode(F.arrays_zip("short", "parts")).alias("i", "s"))
     each = each.select(F.col("s.short").alias("h"), F.pmod(F.xxhash64("id"), "s.parts").alias("part"), F.col("s.parts").alias("parts"), "id", "n", F.col("i").cast("bigint").alias("i"), "rare")
     met = written(meet(each), "met")
-    heads = met.where("parts > 1 and id = centre").select("h", F.lit(0).cast("bigint").alias("part"), F.lit(1).cast("bigint").alias("parts"), "id", "n", "i", F.lit(0.0).alias("rare"))
+    heads = met.where("parts > 1 and id = centre").select("h", F.lit(0).cast("bigint").alias("part"), F.lit(1).cast("bigint").alias("parts"), "id", "n", "i", F.lit(0).cast("bigint").alias("rare"))
     return met, meet(heads)
 
 
@@ -213,9 +235,26 @@ def possible(texts: DataFrame, ids: DataFrame) -> DataFrame:
     return possibly_repeated(texts, written(bitmaps, "bitmaps"), bits, "rid", bits // 8).where("possible").drop("possible")
 
 
+def bounded(pairs: DataFrame, sets: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """The stored pairs ``(a, b)`` that common cells do not rule out."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (one, has_one), (two, has_two) = cell_matrix(batch.column(2)), cell_matrix(batch.column(3))
+            yield batch.select(["a", "b"]).filter(pa.array(may_reach(one, two, similar) | ~has_one | ~has_two))
+
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), "ids")
+    known = written(possible(sets.select("rid", "cells"), ids).join(ids, "rid", "left_semi"), "cells")
+    n = pairs.count()
+    for side in ("a", "b"):
+        own = known.select(F.col("rid").alias(side), F.col("cells").alias(f"cells_{side}"))
+        groups = written(pairs.groupBy(side).agg(F.count(F.lit(1)).alias(f"n_{side}")).join(own, side), f"cells-{side}")
+        pairs = join_groups(pairs, groups, side, f"n_{side}", n)
+    return written(pairs.select("a", "b", "cells_a", "cells_b").mapInArrow(run, "a bigint, b bigint"), "bounded")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similar: tuple[int, int]) -> DataFrame:
     """The stored pairs ``(a, b)`` whose sets are similar. A set ``a`` is searched in its candidates, BLOCK
-    of them at a time; a text travels once for each pair."""
+    of them at a time; a text travels once for each pair that is left to verify."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, asked, ids, sets = None, None, [], []
 
@@ -253,24 +292,65 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similar: tuple[in
     return written(dealt.mapInArrow(run, "a bigint, b bigint"), "similar")
 
 
+def apart_pairs(left: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """``(a, b)`` of members of one list in different components that may be similar. ``left``: h, low, high,
+    own (its block of the two), id, n, i, root, cells; the two blocks of a list meet in one task."""
+    p, q = similar
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, []
+
+        def made() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            own, ids, n, i, root = (rows.column(c).to_numpy() for c in ("own", "id", "n", "i", "root"))
+            cell, known = cell_matrix(rows.column("cells").combine_chunks())
+            found = []
+            low, high = rows.column("low")[0].as_py(), rows.column("high")[0].as_py()
+            others = np.flatnonzero(own == high)
+            for x in np.flatnonzero(own == low).tolist():
+                y = others[(root[others] != root[x]) & ((ids[others] > ids[x]) | (low != high))]
+                y = y[(np.minimum(n[y], n[x]) * q >= np.maximum(n[y], n[x]) * p) & (np.minimum(n[y] - i[y], n[x] - i[x]) * (p + q) >= p * (n[y] + n[x]))]
+                y = y[may_reach(cell[y], cell[x], similar) | ~known[y] | ~known[x]]
+                found.append(np.stack([np.minimum(ids[y], ids[x]), np.maximum(ids[y], ids[x])]))
+            a, b = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("h", "low", "high"))))
+            at = 0
+            for to in [*(j for j in range(1, len(keys)) if keys[j] != keys[j - 1]), len(keys)]:
+                if to > at:
+                    if keys[at] != last and held:
+                        yield made()
+                        held = []
+                    last = keys[at]
+                    held.append(batch.slice(at, to - at))
+                at = to
+        if held:
+            yield made()
+
+    return left.repartition("h", "low", "high").sortWithinPartitions("h", "low", "high").mapInArrow(run, "a bigint, b bigint").distinct()
+
+
 def connected(nodes: DataFrame, texts: DataFrame, shingle: int, similar: tuple[int, int]) -> DataFrame:
-    """``(node, root)`` of the nodes that are similar to another."""
+    """``(node, root)`` of the nodes that are similar to another. ``nodes``: id, n, cells, rare, short, parts."""
     met, heads = met_in_lists(nodes)
     pairs = met.unionByName(heads).where("id <> centre").where(can_reach("n", "i", "c_n", "c_i", similar)).select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
-    found = verified(written(pairs, "pairs"), texts, shingle, similar)
+    found = verified(bounded(written(pairs, "pairs"), texts, similar), texts, shingle, similar)
     roots = written(contract(found), "roots")
     # What the centres left apart: members of one list in different components.
     placed = written(met.select("h", "id", "n", "i").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")), "placed")
     apart = written(placed.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high and size > 2").drop("low", "high"), "apart")
-    if apart.isEmpty():
+    left = written(join_groups(placed, apart, "h", "size", placed.count()).where("size is not null"), "left-apart")
+    if left.isEmpty():
         return roots
-    left = join_groups(placed, apart, "h", "size", placed.count()).where("size is not null")
+    ids = written(left.select(F.col("id").alias("rid")).distinct(), "ids")
+    known = possible(texts.select("rid", "cells"), ids).withColumnRenamed("rid", "id")
     blocks = F.ceil(F.col("size") / BLOCK)
-    left = left.withColumns({"_own": F.pmod(F.xxhash64("id"), blocks), "_other": F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1))})
-    left = written(left.select("h", "id", "n", "i", "root", F.least("_own", "_other").alias("low"), F.greatest("_own", "_other").alias("high")), "left-apart")
-    one, two = left.select("h", "low", "high", "root", *[F.col(c).alias(f"a_{c}") for c in ("id", "n", "i")]), left.select("h", "low", "high", F.col("root").alias("root_b"), *[F.col(c).alias(f"b_{c}") for c in ("id", "n", "i")])
-    rest = one.join(two, ["h", "low", "high"]).where("root < root_b").where(can_reach("a_n", "a_i", "b_n", "b_i", similar)).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
-    return written(contract(found.unionByName(verified(written(rest, "pairs-apart"), texts, shingle, similar))), "roots")
+    left = left.join(known, "id").withColumns({"own": F.pmod(F.xxhash64("id"), blocks), "_other": F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1))})
+    left = left.select("h", F.least("own", "_other").alias("low"), F.greatest("own", "_other").alias("high"), "own", "id", "n", "i", "root", "cells")
+    rest = written(apart_pairs(left, similar), "pairs-apart")
+    return written(contract(found.unionByName(verified(rest, texts, shingle, similar))), "roots")
 
 
 def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similar: tuple[int, int] = SIMILAR) -> DataFrame:

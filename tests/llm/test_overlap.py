@@ -83,6 +83,21 @@ def test_edges(spark):
     assert as_rows(overlap.linked(no_docs(spark))) == []
 
 
+def test_cells_rule_out_no_similar_pair():
+    rng = np.random.default_rng(6)
+    ruled_out = 0
+    for _ in range(300):
+        n, keep = int(rng.integers(1, 2000)), rng.random()
+        one = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+        two = np.unique(np.r_[one[rng.random(len(one)) < keep], rng.integers(0, 1 << 63, int((1 - keep) * n), dtype=np.uint64)])
+        a, b = (np.frombuffer(overlap.cells(x), "<u2").astype(np.int64) for x in (one, two))
+        similar = 100 * len(np.intersect1d(one, two)) >= 85 * len(np.union1d(one, two))
+        assert overlap.may_reach(a, b, (85, 100)) or not similar
+        ruled_out += not overlap.may_reach(a, b, (85, 100))
+    assert ruled_out > 150
+    assert overlap.cells(np.arange(1 << 17, dtype=np.uint64)) == b""
+
+
 def test_search_finds_all_sets_that_share_enough():
     rng = np.random.default_rng(4)
     for _ in range(60):
