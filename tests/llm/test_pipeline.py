@@ -2,8 +2,8 @@ import sys
 from collections import Counter
 
 from cases import edge_docs, given
+from test_near import brute_groups, brute_kept
 from test_rules import verdicts
-from test_simhash import brute_components, brute_fingerprint
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -20,8 +20,8 @@ def test_stages(spark, sf):
     rows = [r for r in rows if r[0] in passed]
     last = {r[1]: max(x[0] for x in rows if x[1] == r[1]) for r in rows}
     rows = [r for r in rows if last[r[1]] == r[0]]
-    first = brute_components([brute_fingerprint(r[1]) for r in rows], [r[0] for r in rows])
-    rows = [r for r, c in zip(rows, first) if r[0] == c]
+    firsts = set(brute_kept([(r[0], r[1]) for r in rows]))
+    rows = [r for r in rows if r[0] in firsts]
     out = corpus_pipeline.run(spark, sf).collect()
     assert {r["doc_id"] for r in out} == {r[0] for r in rows}
     from test_packing import check_packed
@@ -43,12 +43,9 @@ def test_clean_documents_stay(spark):
     """Labelled good documents that no rule and no copy takes are all in the result."""
     sf = "/root/testdata/sf0.01"
     kept = {r["doc_id"] for r in corpus_pipeline.run(spark, sf).select("doc_id").collect()}
-    texts = dict(given(sf, columns="doc_id, text"))
-    fps = {i: brute_fingerprint(t) for i, t in texts.items()}
-    comp = dict(zip(fps, brute_components(list(fps.values()), list(fps))))
-    size = Counter(comp.values())
+    size = {i: len(ids) for ids in brute_groups(given(sf, columns="doc_id, text")) for i in ids}
     failed = {v[0] for v in verdicts(given(sf, columns="doc_id, text, lang")) if v[-2]}
-    clean = [i for i, y in given(sf, "labels", "doc_id, quality") if y == 1 and size[comp[i]] == 1 and i not in failed]
+    clean = [i for i, y in given(sf, "labels", "doc_id, quality") if y == 1 and size[i] == 1 and i not in failed]
     assert len(clean) > 200 and [i for i in clean if i not in kept] == []
 
 
