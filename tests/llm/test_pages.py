@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import pytest
 from cases import given
@@ -80,3 +81,32 @@ SAID = "T\nA long paragraph, with some punctuation; and words enough to read."
 ])
 def test_named_wrappers_stay_and_named_parts_go(page):
     assert pages.main_text(page) == SAID
+
+
+@pytest.mark.parametrize("part", [
+    "<section class='reader-comments'><p>I think, it is so.</p></section>", "<div class='post-comments'>Hi, there.</div>", "<div class='user-comments'>Hi, there.</div>", "<div id='entry-comments'>Hi.</div>",
+    "<div class='left-sidebar'>Other, things.</div>", "<div class='site-footer'>All rights, reserved.</div>", "<div class='article-ads'>Buy, now.</div>", "<div class='main-nav'>Home, About.</div>", "<div class='top-banner'>New.</div>"])
+def test_named_parts_go_inside_and_beside_the_article(part):
+    for story in (STORY, PLAIN):
+        inside = story[:story.rindex("</")] + part + story[story.rindex("</"):]
+        assert pages.main_text(f"<body>{inside}</body>") == SAID
+        assert pages.main_text(f"<body>{part}{story}{part}</body>") == SAID
+
+
+def test_a_title_beside_the_text():
+    body = "<p>A long paragraph, with some punctuation; and words enough to read.</p>" * 4
+    assert pages.main_text(f"<body><div class=top><h1>T</h1></div><div class=text>{body}</div></body>").split("\n")[0] == "T"
+    assert pages.main_text(f"<body><header><h1>Site</h1></header><div class=text>{body}</div></body>").split("\n")[0] != "Site"
+
+
+N = 1_000_000
+
+
+@pytest.mark.parametrize("page", [
+    '<a b="' * (N // 6), "<a b='" * (N // 6), "<a \"' " * (N // 6), "<" * N, "<!" * (N // 2), "<!--" * (N // 4), "<script " * (N // 8), "<title>" * (N // 7), "<a " * (N // 3), "</a" * (N // 3), "<x y='>" * (N // 7),
+    "<div><span>" * 50_000 + "deep", "<div class=sidebar>x" * 20_000, "<div class='menu'><span>y</span>" * 20_000 + "</div>" * 20_000, "".join(f"<p class=c{i}>word, word." for i in range(50_000)), "".join(f"<div class=c{i}>w" for i in range(20_000)),
+    "<p><object>" + "<span>" * 20_000 + "<div></div>" * 20_000, "<svg>" + "<g>" * 20_000 + "</x>" * 20_000, "<ul>" + "<li><ul>" * 20_000 + "<li>" * 20_000, "&amp;" * (N // 5), "<article>" * 20_000 + "x", "<script>a</script>" * 30_000, "<script>a</" * 90_000])
+def test_time_grows_with_the_page_only(page):
+    start = time.process_time()
+    pages.main_text(page)
+    assert time.process_time() - start < 4
