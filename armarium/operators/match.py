@@ -8,10 +8,19 @@ from ..constants import (
     BUDGET_TOLERANCE, FEED_MEASURES, MIN_SCORE, SCORE_UNIT, SIZE_TOLERANCE_CM, TOP_MATCHES,
     W_BUDGET, W_CONDITION, W_COUNTRY, W_SIZE, W_SLOT, W_WORDS,
 )
+from ..functions.fx import to_rub_usd
+from ..functions.price import parse_price
 from ..functions.text import keyword_set
+from ..session import cut_lineage
+from .heads import ANY, CELL, cell_counts, measure_values, price_step, profile_heads
 from .topk import top_k
+from .vocab import match_slots
 
-ANY = "*"
+
+def slot_key(df: DataFrame, slot: str) -> Column:
+    """Slot or ``*``; where rows have a direction, offers and services are two sides."""
+    key = F.coalesce(slot, F.lit(ANY))
+    return F.concat_ws(":", "direction", key) if "direction" in df.columns else key
 
 
 def specs_from_wants(wants: DataFrame, measure: str = "length_cm") -> DataFrame:
@@ -22,6 +31,40 @@ def specs_from_wants(wants: DataFrame, measure: str = "length_cm") -> DataFrame:
         F.col("lo").alias(f"{measure}_lo"), F.col("hi").alias(f"{measure}_hi"), keyword_set(F.col("title")).alias("words"))
 
 
+def specs_from_lots(lots: DataFrame, rates: DataFrame, measures: list[str] = FEED_MEASURES) -> DataFrame:
+    """Specs of landed want lots ``(want_id, slot_id, title, raw_text, price_rub, currency, country, need
+    map<string, array<double>>, service_kind)``, one row for each slot asked for.
+
+    Without a slot the first three that title and text name, else any. Without a base price the price that the
+    text names, its upper bound first, converted from its own currency, the lot's or roubles. A need of one
+    number is met within the tolerance, one of two is a range. A lot with a kind of service asks for services.
+    """
+    d = lots.withColumn("_text", F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("raw_text", F.lit(""))))
+    d = match_slots(d.withColumn("_unslotted", F.when(F.col("slot_id").isNull(), F.col("_text"))), "_unslotted", "_found")
+    d = parse_price(d.withColumn("_unpriced", F.when(F.col("price_rub").isNull(), F.col("_text"))), "_unpriced", free_text=True)
+    d = d.withColumns({"_cap": F.coalesce(F.nullif("price.high", F.lit(0)), F.nullif("price.low", F.lit(0))),
+                       "_currency": F.coalesce("price.currency", F.nullif("currency", F.lit("")), F.lit("RUB")), "_given": F.col("price_rub")})
+    d = to_rub_usd(d, rates, "_cap", "_currency", "_text")
+    tol = float(SIZE_TOLERANCE_CM)
+    need = {m: F.try_element_at("need", F.lit(m)) for m in measures}
+    low = {m: F.when(F.size(v) == 2, F.get(v, F.lit(0))).when(F.size(v) == 1, F.get(v, F.lit(0)) - tol) for m, v in need.items()}
+    high = {m: F.when(F.size(v) == 2, F.get(v, F.lit(1))).when(F.size(v) == 1, F.get(v, F.lit(0)) + tol) for m, v in need.items()}
+    slots = F.when(F.col("slot_id").isNotNull(), F.array("slot_id")).when(F.size("_found") > 0, F.slice("_found", 1, 3)).otherwise(F.array(F.lit(None).cast("string")))
+    return d.select(
+        F.col("want_id").alias("spec_id"), F.explode(slots).alias("want_slot"), F.col("country").alias("want_country"),
+        F.coalesce("_given", "price_rub_text").cast("double").alias("max_price"), F.lit(None).cast("string").alias("want_cond"),
+        *[c.alias(f"{m}_lo") for m, c in low.items()], *[c.alias(f"{m}_hi") for m, c in high.items()],
+        keyword_set(F.coalesce("title", F.lit(""))).alias("words"), F.when(F.col("service_kind").isNotNull(), "service").otherwise("offer").alias("direction"))
+
+
+def match_lots(wants: DataFrame, lots: DataFrame, rates: DataFrame, measures: list[str] = FEED_MEASURES, k: int = TOP_MATCHES) -> DataFrame:
+    """Landed wants against active lots of the side they ask for; prices of both in the base currency. ``lots``
+    are offers and services with ``price_rub`` or, where that is null, a price and its currency."""
+    based = to_rub_usd(lots.withColumn("_code", F.coalesce("currency", F.lit("RUB"))).withColumnRenamed("price_rub", "_given"), rates, "price", "_code")
+    based = based.withColumn("price", F.coalesce("_given", "price_rub").cast("double"))
+    return best_matches(specs_from_lots(wants, rates, measures), offer_pool(based, measures, open_ended=True), measures, k)
+
+
 def specs_from_filters(filters: DataFrame, measures: list[str] = FEED_MEASURES) -> DataFrame:
     """Saved filters ``(spec_id, slot, country, cond, price_max, q, need map<string, double>)``."""
     tol = float(SIZE_TOLERANCE_CM)
@@ -38,17 +81,13 @@ def candidate_pool(offers: DataFrame, open_ended: bool = False) -> DataFrame:
 
     ``open_ended`` adds the keys of specs that leave slot or country open (``*``).
     """
-    active = offers.where("status = 'active' and slot_id is not null")
+    active = offers.where("status = 'active' and slot_id is not null").withColumn("_any", F.lit(None).cast("string"))
+    slot, any_slot = slot_key(active, "slot_id"), slot_key(active, "_any")
     if open_ended:
-        keys = F.explode(F.array(
-            F.struct(F.col("slot_id").alias("k_slot"), F.col("country").alias("k_country")),
-            F.struct(F.col("slot_id").alias("k_slot"), F.lit(ANY).alias("k_country")),
-            F.struct(F.lit(ANY).alias("k_slot"), F.col("country").alias("k_country")),
-            F.struct(F.lit(ANY).alias("k_slot"), F.lit(ANY).alias("k_country")),
-        ))
-        active = active.select("*", keys.alias("k")).select("*", "k.k_slot", "k.k_country").drop("k")
+        keys = F.explode(F.array(*[F.struct(s.alias("k_slot"), c.alias("k_country")) for s in (slot, any_slot) for c in (F.col("country"), F.lit(ANY))]))
+        active = active.select("*", keys.alias("k")).select("*", "k.k_slot", "k.k_country").drop("k", "_any")
         return active.where("k_country is not null")
-    return active.where("country is not null").withColumns({"k_slot": F.col("slot_id"), "k_country": F.col("country")})
+    return active.where("country is not null").withColumns({"k_slot": slot, "k_country": F.col("country")}).drop("_any")
 
 
 def spread(specs: DataFrame, key: str) -> DataFrame:
@@ -63,7 +102,7 @@ def pairs(specs: DataFrame, pool: DataFrame) -> DataFrame:
     """Specs next to the affordable offers of their pool; an open slot or country reads the ``*`` pool.
     A budget exceeded beyond the tolerance is no match at all, so it is part of the join."""
     keyed = spread(specs, "spec_id").withColumns({
-        "k_slot": F.coalesce("want_slot", F.lit(ANY)), "k_country": F.coalesce("want_country", F.lit(ANY))})
+        "k_slot": slot_key(specs, "want_slot"), "k_country": F.coalesce("want_country", F.lit(ANY))})
     joined = keyed.join(pool, ["k_slot", "k_country"])
     return joined.where(F.coalesce(F.col("price") <= F.col("max_price") * F.lit(BUDGET_TOLERANCE), F.lit(True)))
 
@@ -132,23 +171,80 @@ def scored_pairs(specs: DataFrame, pool: DataFrame, measures: list[str]) -> Data
     return p.withColumn("score", score_of(base_units(measures), F.col("n_hits"), F.size("words")))
 
 
+def asks_size(measures: list[str]) -> Column:
+    return F.coalesce(*[F.col(f"{m}_lo") for m in measures], F.lit(None)).isNotNull() if measures else F.lit(False)
+
+
+def asks_condition() -> Column:
+    return F.col("want_cond").isNotNull() & (F.col("want_cond") != "any")
+
+
+def lookups(specs: DataFrame, sizes: DataFrame, measures: list[str]) -> DataFrame:
+    """The cells of the index that a spec may read, one row each, and what an offer in budget scores there.
+
+    A cell names a condition and measures, or leaves them open. A spec reads each of four classes (condition
+    met or not, measures met or not) in the cell that names what is met; ``c_met`` and ``s_met`` tell which."""
+    keyed = specs.withColumns({"k_slot": slot_key(specs, "want_slot"), "k_country": F.coalesce("want_country", F.lit(ANY))})
+    asked = asks_size(measures)
+    open_size = keyed.withColumns({"k_size": F.lit(ANY), "s_met": ~asked})
+    if measures:
+        fitting = keyed.where(asked).join(sizes, ["k_slot", "k_country"]).where(size_reason(measures) == "ok").drop(*measures).withColumn("s_met", F.lit(True))
+        open_size = open_size.unionByName(fitting)
+    named = F.struct(F.col("want_cond").alias("k_cond"), F.lit(True).alias("c_met"))
+    conditions = F.when(asks_condition(), F.array(named, F.struct(F.lit(ANY).alias("k_cond"), F.lit(False).alias("c_met")))).otherwise(
+        F.array(F.struct(F.lit(ANY).alias("k_cond"), F.lit(True).alias("c_met"))))
+    each = open_size.select("*", F.explode(conditions).alias("_c")).select("*", "_c.*").drop("_c")
+    units = (
+        F.lit(W_SLOT) + F.when(F.col("max_price").isNotNull(), W_BUDGET).otherwise(0) + F.when(F.col("want_country").isNotNull(), W_COUNTRY).otherwise(W_COUNTRY // 2)
+        + F.when(asks_condition(), F.when(F.col("c_met"), W_CONDITION).otherwise(0)).otherwise(W_CONDITION // 2) + F.when(asked & F.col("s_met"), W_SIZE).otherwise(0))
+    return each.withColumn("top_units", units)
+
+
+def floors(looked: DataFrame, cells: DataFrame, measures: list[str], k: int) -> DataFrame:
+    """``(spec_id, floor)``: units that the k-th best offer reaches even without words, from counts alone.
+
+    Counts are of offers in price steps wholly below the cap, so the floor is never too high."""
+    below = F.aggregate(F.filter("counts", lambda c: F.col("max_price").isNull() | (c["step"] < price_step(F.col("max_price")))), F.lit(0).cast("bigint"), lambda a, c: a + c["n"])
+    n = looked.join(cells, CELL).withColumn("n", below)
+    seen = {(c, s): F.coalesce(F.sum(F.when((F.col("c_met") == bool(c)) & (F.col("s_met") == bool(s)), F.col("n"))), F.lit(0)) for c in (1, 0) for s in (1, 0)}
+    best = {(c, s): F.max(F.when((F.col("c_met") == bool(c)) & (F.col("s_met") == bool(s)), F.col("top_units"))) for c in (1, 0) for s in (1, 0)}
+    by = n.groupBy("spec_id").agg(F.max(asks_condition()).alias("by_c"), F.max(asks_size(measures)).alias("by_s"),
+                                  *[v.alias(f"n{c}{s}") for (c, s), v in seen.items()], *[v.alias(f"u{c}{s}") for (c, s), v in best.items()])
+    # an open cell holds the offers of the named one too; condition weighs more than measures
+    up_to_10 = F.when(F.col("by_s"), F.col("n10")).otherwise(F.col("n11"))
+    up_to_01 = F.when(F.col("by_c"), up_to_10 + F.col("n01") - F.col("n11")).otherwise(up_to_10)
+    up_to_00 = F.when(F.col("by_c") & F.col("by_s"), F.col("n00")).when(F.col("by_c"), F.col("n01")).otherwise(up_to_10)
+    return by.select("spec_id", F.when(F.col("n11") >= k, F.col("u11")).when(up_to_10 >= k, F.col("u10")).when(up_to_01 >= k, F.col("u01")).when(up_to_00 >= k, F.coalesce("u00", "u01", "u10")).otherwise(0).alias("floor"))
+
+
+def read_pairs(specs: DataFrame, pool: DataFrame, measures: list[str], k: int) -> DataFrame:
+    """Specs next to the offers that they read: those heads of profiles that can still enter the best ``k``.
+
+    An offer is read in the cell of what it meets and in no other, so a pair comes once."""
+    specs = cut_lineage(specs)
+    keys = specs.select(slot_key(specs, "want_slot").alias("k_slot"), F.coalesce("want_country", F.lit(ANY)).alias("k_country")).distinct()
+    pool = cut_lineage(pool.join(keys, ["k_slot", "k_country"], "left_semi"))
+    looked = lookups(specs, measure_values(pool, measures), measures)
+    floor = floors(looked, cell_counts(pool, measures), measures, k)
+    words = F.when(F.size("words") > 0, W_WORDS).otherwise(0)
+    open_ = looked.join(floor, "spec_id").where((F.col("top_units") + words >= F.col("floor")) & (F.col("top_units") + words >= MIN_SCORE * SCORE_UNIT))
+    heads = profile_heads(pool, measures, k)
+    p = open_.join(heads, CELL)
+    p = p.where(F.coalesce(F.col("price") <= F.col("max_price") * F.lit(BUDGET_TOLERANCE), F.lit(True)))
+    p = p.where(F.col("c_met") | ~F.coalesce(F.col("cond") == F.col("want_cond"), F.lit(False)))
+    return p.where(F.col("s_met") | (size_reason(measures) != "ok")) if measures else p
+
+
 def best_matches(specs: DataFrame, pool: DataFrame, measures: list[str], k: int = TOP_MATCHES,
                  min_score: float = MIN_SCORE) -> DataFrame:
-    """Best ``k`` offers per spec by score, then newest id, without ordering all pairs.
+    """Best ``k`` offers per spec by score, then newest id, without forming every pair.
 
-    A first pass only counts pairs per (spec, integer units): few values, combined map-side. It gives the
-    units that the k-th best pair reaches even without words. Words add at most ``W_WORDS`` units, so a
-    pair below that floor cannot enter the result; only the rest is scored in full and ranked.
+    Offers are kept as heads of their profiles (``heads``): what is left out has ``k`` offers of its profile
+    that are no dearer and newer, and these rank before it for every spec. Which cells a spec reads is decided
+    by its floor, from counts per cell and price step. A spec of several slots has a row for each of them.
     """
     units = base_units(measures)
-    per_value = pairs(specs, pool).groupBy("spec_id", units.alias("units")).count()
-    down = Window.partitionBy("spec_id").orderBy(F.col("units").desc())
-    floors = (
-        per_value.withColumn("n_up", F.sum("count").over(down))
-        .groupBy("spec_id").agg(F.max(F.when(F.col("n_up") >= k, F.col("units"))).alias("floor")))
-    # a spec without pairs has no row here and no matches
-    narrowed = pairs(specs.join(floors, "spec_id"), pool).where(units + W_WORDS >= F.coalesce("floor", F.lit(0)))
-    full = narrowed.withColumn("n_hits", word_hits())
+    full = read_pairs(specs, pool, measures, k).where(units + W_WORDS >= F.col("floor")).withColumn("n_hits", word_hits())
     full = full.withColumn("score", score_of(units, F.col("n_hits"), F.size("words"))).where(F.col("score") >= min_score)
     full = full.select("spec_id", "offer_id", "score", reasons_struct(measures).alias("reasons"))
     return top_k(full, ["spec_id"], [F.col("score").desc(), F.col("offer_id").desc()], k, rank="rank")
@@ -171,8 +267,7 @@ def offer_pool(offers: DataFrame, measures: list[str], open_ended: bool = False)
 
 def match_wants(wants: DataFrame, offers: DataFrame, k: int = TOP_MATCHES) -> DataFrame:
     """Open wants against active offers, best ``k`` each; a want may leave its slot or country open."""
-    open_ended = not wants.where("slot_id is null or country is null").isEmpty()
-    return best_matches(specs_from_wants(wants), offer_pool(offers, ["length_cm"], open_ended), ["length_cm"], k)
+    return best_matches(specs_from_wants(wants), offer_pool(offers, ["length_cm"], open_ended=True), ["length_cm"], k)
 
 
 def upsert_matches(known: DataFrame, fresh: DataFrame) -> DataFrame:

@@ -5,18 +5,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def apply_changes(state: DataFrame, changes: DataFrame) -> DataFrame:
-    """Apply an ordered change feed to a keyed table.
-
-    ``state``: key, name, deleted, updated_at. ``changes``: key, pos (orderable), kind in (upsert, delete,
-    placeholder), name, updated_at. A delete marks a row that is known by then; a payload without name only
-    creates a row; an upsert replaces it and lifts the mark. One aggregation per key, combined map-side.
-    """
+def change_summary(changes: DataFrame) -> DataFrame:
+    """What all changes of a key come to: one aggregation per key, combined map-side, and as a stream a state
+    of one row a key. ``changes``: key, pos (orderable), kind in (upsert, delete, placeholder), name, updated_at."""
     up, gone, known = F.col("kind") == "upsert", F.col("kind") == "delete", F.col("kind") != "delete"
-    per_key = changes.groupBy("key").agg(
+    return changes.groupBy("key").agg(
         F.max_by("name", F.when(up, F.col("pos"))).alias("new_name"), F.max(F.when(up, F.col("pos"))).alias("last_up"),
         F.max(F.when(gone, F.col("pos"))).alias("last_gone"), F.min(F.when(known, F.col("pos"))).alias("first_known"),
         F.max(F.when(up, F.col("updated_at"))).alias("new_at"))
+
+
+def apply_summary(state: DataFrame, per_key: DataFrame) -> DataFrame:
+    """A keyed table (key, name, deleted, updated_at) after the changes that were summed up."""
     s = state.select("key", F.col("name").alias("old_name"), F.col("deleted").alias("old_deleted"), F.col("updated_at").alias("old_at"))
     j = s.join(per_key, "key", "full_outer").withColumn("_known", F.col("old_deleted").isNotNull())
     gone_last = F.col("last_gone").isNotNull() & (F.col("_known") | F.coalesce(F.col("last_gone") > F.col("first_known"), F.lit(False)))
@@ -27,6 +27,15 @@ def apply_changes(state: DataFrame, changes: DataFrame) -> DataFrame:
         F.coalesce("new_at", "old_at").alias("updated_at"))
 
 
+def apply_changes(state: DataFrame, changes: DataFrame) -> DataFrame:
+    """Apply an ordered change feed to a keyed table.
+
+    A delete marks a row that is known by then; a payload without name only creates a row; an upsert replaces
+    it and lifts the mark.
+    """
+    return apply_summary(state, change_summary(changes))
+
+
 def sync_vocabulary(have: DataFrame, wanted: DataFrame, origin: str = "seed") -> DataFrame:
     """``(slot_id, alias, origin)`` against the seed list ``(slot_id, alias)``: missing aliases are added,
     seed aliases that left the list are removed, other origins stay. Aliases compare without case."""

@@ -1,6 +1,7 @@
 """SQL text of the market views, shared by the reference SQL of all queries."""
 from __future__ import annotations
 
+from ..constants import FALLBACK_USD_PER
 from .views import CURRENCIES, LISTING_TEMPLATES
 
 
@@ -36,13 +37,19 @@ offers AS (SELECT l_orderkey*10 + l_linenumber offer_id, p_type slot_id, p_name
     JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey
   WHERE rn = 1)"""
 
-WANTS = """wants AS (SELECT o_orderkey want_id, p_type slot_id, p_name title, n_name country, o_totalprice*0.2::DOUBLE budget,
+WANTS = f"""wants AS (SELECT o_orderkey want_id, p_type slot_id, p_name title, n_name country, o_totalprice*0.2::DOUBLE budget,
     CASE WHEN o_orderpriority LIKE '1%' THEN 'new' WHEN o_orderpriority LIKE '2%' THEN 'used' END cond,
-    p_size - 4 lo, p_size + 4 hi, o_orderdate posted_at
+    p_size - 4 lo, p_size + 4 hi, o_orderdate posted_at, {CURRENCY_CASE} currency
   FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey
     JOIN part ON p_partkey = o_orderkey % (SELECT count(*) FROM part)
   WHERE o_orderstatus = 'O')"""
 
+RATES = "rates AS (SELECT currency, usd_per::DOUBLE usd_per FROM " + values([(c, repr(x)) for c, x in FALLBACK_USD_PER.items()], ["currency", "usd_per"]) + ")"
+RUB = f"({FALLBACK_USD_PER['RUB']!r})::DOUBLE"
+# offers and wants as the matcher takes them: prices and budgets in the base currency
+BASE_OFFERS = f"{OFFERS}, {RATES}, based AS (SELECT * REPLACE (round_even(price * usd_per / {RUB}, 0)::BIGINT AS price) FROM offers JOIN rates USING (currency))"
+BASE_WANTS = WANTS.replace("wants AS", "native_wants AS") + f", wants AS (SELECT * REPLACE (round_even(budget * usd_per / {RUB}, 0)::BIGINT AS budget) FROM native_wants JOIN rates USING (currency))"
+
 CORPUS = f"""corpus AS (SELECT *, split_part(text, chr(10), 1) title FROM (
     SELECT doc_id item_id, source source_id, text, lang, NULL::TIMESTAMP posted_at FROM documents
     UNION ALL

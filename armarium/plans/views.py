@@ -4,8 +4,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.fx import rates_frame, to_rub_usd
+from ..functions.price import parse_price
 from ..functions.text import first_line
+from ..operators.gates import condition_of, direction_of, is_digest
 from ..operators.topk import keep_first
+from ..operators.vocab import match_slots, pick_slot
 
 CURRENCIES = ["RUB", "EUR", "USD", "KZT", "GBP", "PLN"]
 LINE_ORDER = ["l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount",
@@ -93,10 +97,43 @@ def wants(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(F.col("o_orderpriority").startswith("1"), "new")
             .when(F.col("o_orderpriority").startswith("2"), "used").alias("cond"),
             (F.col("p_size") - 4).alias("lo"), (F.col("p_size") + 4).alias("hi"), F.col("o_orderdate").alias("posted_at"),
+            currency_of(F.col("n_nationkey")).alias("currency"),
         )
     )
 
 
+def in_base_currency(spark: SparkSession, df: DataFrame, amount: str) -> DataFrame:
+    """The amount in roubles in place of the one in the row's currency."""
+    return to_rub_usd(df, rates_frame(spark), amount, "currency").withColumn(amount, F.col("price_rub")).drop("price_rub", "price_usd")
+
+
+def market(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Wants and offers as the matcher takes them: budgets and prices in the base currency."""
+    return in_base_currency(spark, wants(spark, sf_dir), "budget"), in_base_currency(spark, offers(spark, sf_dir), "price")
+
+
+def landed_lots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Wants and lots of the listing lines: side, slots and price come from the text.
+
+    Every second want says no country, every seventh has a base price and every eleventh a slot; a need is one
+    number, a range or none. Every fifth line is about a service.
+    """
+    orders, customer, nation = (table(spark, sf_dir, n) for n in ("orders", "customer", "nation"))
+    key = F.col("o_orderkey")
+    who = orders.join(customer, F.col("c_custkey") == F.col("o_custkey")).join(nation, F.col("n_nationkey") == F.col("c_nationkey"))
+    who = who.select((key + 1000000000).alias("item_id"), key, F.col("n_name").alias("country"), (key % 12 + 50).cast("double").alias("size"), F.when(key % 5 == 0, F.lit("repair")).alias("service_kind"))
+    lines = listing_lines(spark, sf_dir).where(~is_digest(F.col("text"))).withColumn("side", direction_of(F.col("text"))).join(who, "item_id").withColumn("title", first_line(F.col("text")))
+    need = F.when(key % 3 == 0, F.array(F.col("size") - 1, F.col("size") + 2)).when(key % 3 == 1, F.array("size"))
+    wants_ = lines.where("side = 'want'").select(
+        F.col("item_id").alias("want_id"), F.when(key % 11 == 0, F.lit("sword_1h")).alias("slot_id"), "title", F.col("text").alias("raw_text"), F.when(key % 7 == 0, key * 100 + 5000).alias("price_rub"),
+        F.lit(None).cast("string").alias("currency"), F.when(key % 2 == 0, F.col("country")).alias("country"), F.when(need.isNotNull(), F.create_map(F.lit("head_cm"), need)).alias("need"), "service_kind")
+    others = parse_price(match_slots(lines.where("side = 'offer'"), "text", "slots"), "text", free_text=True)
+    return wants_, others.select(
+        F.col("item_id").alias("offer_id"), pick_slot(F.col("slots")).alias("slot_id"), "title", F.col("price.low").alias("price"), F.lit(None).cast("bigint").alias("price_rub"),
+        F.col("price.currency").alias("currency"), "country", condition_of(F.col("text")).alias("cond"), F.lit("active").alias("status"), "posted_at",
+        F.when(key % 4 > 0, F.col("size")).alias("head_cm"), F.when(F.col("service_kind").isNotNull(), "service").otherwise("offer").alias("direction"))
+
+
 def listing_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One landed listing per order: a template of the market languages filled with the order's amount."""
     tpl = F.array(*[F.lit(t) for t in LISTING_TEMPLATES])

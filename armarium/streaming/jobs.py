@@ -3,9 +3,12 @@ lives in the checkpoint, so a restart continues where the last committed batch e
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..constants import HAMMING_THRESHOLD, RETENTION_DAYS, TOP_MATCHES
 from ..operators import dedup, match, merge
@@ -45,75 +48,94 @@ def windowed_flow(stream: DataFrame, time: str, width: str, delay: str, by: str,
         F.col("w.start").alias("window_start"), by, "n")
 
 
-def stored_at(spark: SparkSession, path: str) -> bool:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+class BatchLog:
+    """Rows that batches leave behind, one folder each, below a path that outlives the run. A replayed batch
+    overwrites its own folder, and nothing else is ever rewritten. ``by`` names columns to partition by."""
 
-
-class BatchTable:
-    """Rows per batch in one folder each, below a path that outlives the run: a job that starts again over
-    its checkpoint finds what its earlier batches left. A replayed batch overwrites its own folder."""
-
-    def __init__(self, spark: SparkSession, path: str, empty: DataFrame):
-        self.spark, self.path, self.schema = spark, path, empty.schema
-        if not stored_at(spark, path):
-            self.put(empty, -1)
+    def __init__(self, spark: SparkSession, path: str, schema: str, by: list[str] | None = None):
+        self.spark, self.path, self.by = spark, path, by or []
+        self.schema = StructType.fromDDL(schema)
 
     def put(self, df: DataFrame, batch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+        df.select(self.schema.names).write.mode("overwrite").partitionBy(*self.by).parquet(f"{self.path}/batch={batch}")
 
     def read(self, before: int | None = None) -> DataFrame:
-        """The rows of all batches, or of those before one."""
-        out = self.spark.read.option("basePath", self.path).parquet(self.path)
+        """The rows of all batches, or of those before one; none where no batch has ended yet."""
+        whole = StructType([*self.schema.fields, StructField("batch", IntegerType())])
+        try:
+            out = self.spark.read.schema(whole).option("basePath", self.path).parquet(self.path)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            out = self.spark.createDataFrame([], whole)
         return out if before is None else out.where(F.col("batch") < before)
 
-    def version(self, batch: int | None = None) -> DataFrame:
-        """The rows of one batch, the last if none is named: a table of which each batch leaves a version."""
-        if batch is None:
-            batch = self.read().agg(F.max("batch")).first()[0]
-            batch = -1 if batch is None else batch
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/batch={batch}")
+    def newest(self, keys: list[str]) -> DataFrame:
+        """The row that the last batch with the key left."""
+        rest = [c for c in self.schema.names if c not in keys]
+        return self.read().groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_row")).select(*keys, "_row.*")
 
 
-def upsert_windows(stream: DataFrame, log: BatchTable, checkpoint: str, keys: list[str]) -> DataFrame:
+def upsert_windows(stream: DataFrame, log: BatchLog, checkpoint: str, keys: list[str]) -> DataFrame:
     """Run an update-mode aggregate into a keyed result: the newest batch of a key wins."""
     drain(stream, checkpoint, each=lambda df, i: log.put(df, i), mode="update")
-    return log.read().groupBy(*keys).agg(F.max_by("n", "batch").alias("n"))
+    return log.newest(keys)
+
+
+def keyed_updates(stream: DataFrame, key: str, time: str, version: str, payload: list[str], delay: str, log: BatchLog, checkpoint: str) -> DataFrame:
+    """The last version of every key's payload, whatever order replays arrive in.
+
+    The state is Spark's own: one row for each key whose time is above the watermark, so it is bounded by the
+    delay and not by the history. A batch writes only the keys that it changed; a replay that comes later than
+    the delay changes nothing."""
+    t = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay)
+    last = t.groupBy(key, time).agg(F.max(version).alias(version), *[F.max_by(c, version).alias(c) for c in payload])
+    drain(last, checkpoint, each=lambda df, i: log.put(df, i), mode="update")
+    return log.newest([key, time])
+
+
+def apply_change_stream(stream: DataFrame, state: DataFrame, log: BatchLog, checkpoint: str) -> DataFrame:
+    """Soft-delete change feed over a keyed table. What the changes of a key come to is kept in the state store;
+    a batch writes the keys that it touched, and the table is the given one under the newest of them."""
+    drain(merge.change_summary(stream), checkpoint, each=lambda df, i: log.put(df, i), mode="update")
+    return merge.apply_summary(state, log.newest(["key"]))
 
 
-def apply_change_stream(stream: DataFrame, state: BatchTable, checkpoint: str) -> DataFrame:
-    """Soft-delete change feed applied batch by batch."""
-    drain(stream, checkpoint, each=lambda df, i: state.put(merge.apply_changes(state.version(i - 1), df), i))
-    return state.version()
+KEPT = "stored_id bigint, fp bigint, created_at timestamp, day date"
+FOUND = "item bigint, original bigint"
+ALERTS = "spec_id bigint, offer_id bigint, score double"
 
 
-def near_duplicate_stream(stream: DataFrame, stored: BatchTable, found: BatchTable, checkpoint: str, today: Column | None = None,
-                          threshold: int = HAMMING_THRESHOLD, days: int = RETENTION_DAYS) -> DataFrame:
-    """Near-duplicates of each batch against stored fingerprints inside the retention window. Kept
-    fingerprints are stored; expired ones are simply not read. ``stream``: item, fp, created_at."""
+def near_duplicate_stream(texts: DataFrame, kept: BatchLog, found: BatchLog, checkpoint: str, threshold: int = HAMMING_THRESHOLD, days: int = RETENTION_DAYS) -> DataFrame:
+    """Near-duplicates of each batch of ``(item, text, created_at)`` against the kept fingerprints inside the
+    retention window, counted back from the batch's newest text. Kept fingerprints are logged by day, so that
+    what has aged out is never read; expired days may be deleted."""
     def run(df: DataFrame, i: int) -> None:
-        df = dedup.cut_lineage(df)
-        known = stored.read(before=i)
-        now = today if today is not None else F.lit(df.agg(F.max("created_at")).first()[0])
-        known = dedup.retained(known, F.to_date(now), days).select("stored_id", "fp", F.struct("batch", "stored_id").alias("pos"))
+        fps = dedup.fingerprints(df.select("item", "text"), "item").join(df.select("item", "created_at"), "item")
+        df = dedup.cut_lineage(fps)
+        today = df.agg(F.to_date(F.max("created_at"))).first()[0]
+        since = today - timedelta(days=days) if today else None
+        known = kept.read(before=i).where(F.col("day") >= F.lit(since)).select("stored_id", "fp", F.struct("batch", "stored_id").alias("pos"))
         dups = dedup.cut_lineage(dedup.deduplicate(df.select("item", "fp"), known, threshold))
         found.put(dups, i)
-        stored.put(df.join(dups, "item", "left_anti").select(F.col("item").alias("stored_id"), "fp", "created_at"), i)
+        kept.put(df.join(dups, "item", "left_anti").select(F.col("item").alias("stored_id"), "fp", "created_at", F.to_date("created_at").alias("day")), i)
 
-    drain(stream, checkpoint, each=run)
+    drain(texts, checkpoint, each=run)
     return found.read()
 
 
-def match_alert_stream(offers: DataFrame, wants: DataFrame, best: BatchTable, alerts: BatchTable, checkpoint: str, k: int = TOP_MATCHES) -> DataFrame:
+def match_alert_stream(offers: DataFrame, wants: DataFrame, alerts: BatchLog, checkpoint: str, k: int = TOP_MATCHES) -> DataFrame:
     """What enters the ``k`` best matches of a standing want, over all offers so far, is an alert once.
 
-    The best of a batch are merged into the stored best, which holds at most ``k`` rows a want."""
+    Whatever is among the best now was an alert when it came, so the best so far are read from the alerts of
+    the wants that the batch matches; nothing else is stored and nothing is rewritten."""
     def run(df: DataFrame, i: int) -> None:
-        fresh = match.match_wants(wants, df, k).select("spec_id", "offer_id", "score")
-        known = best.version(i - 1)
-        newer = fresh.join(known, ["spec_id", "offer_id"], "left_anti")
-        best.put(top_k(known.unionByName(newer), ["spec_id"], [F.col("score").desc(), F.col("offer_id").desc()], k).drop("rn"), i)
-        alerts.put(best.version(i).join(known, ["spec_id", "offer_id"], "left_anti"), i)
+        fresh = dedup.cut_lineage(match.match_wants(wants, df, k).select("spec_id", "offer_id", "score"))
+        order = [F.col("score").desc(), F.col("offer_id").desc()]
+        touched = alerts.read(before=i).join(fresh.select("spec_id").distinct(), "spec_id", "left_semi")
+        known = top_k(touched.select("spec_id", "offer_id", "score"), ["spec_id"], order, k).drop("rn").withColumn("_known", F.lit(True))
+        newer = fresh.join(known.select("spec_id", "offer_id"), ["spec_id", "offer_id"], "left_anti").withColumn("_known", F.lit(False))
+        alerts.put(top_k(known.unionByName(newer), ["spec_id"], order, k).where(~F.col("_known")), i)
 
     drain(offers, checkpoint, each=run)
     return alerts.read()
