@@ -5,13 +5,14 @@ from pyspark.sql import functions as F
 
 from ..constants import (
     COMPOUND_HEADS, CONTAINER_SLOTS, DIGEST_PRICE_PATTERN, FALLBACK_USD_PER, GENERIC_SLOTS, NEGATION_PATTERN, NEW_PATTERN,
-    SALE_PATTERN, SELLER_COPY_PATTERN, SERVICE_PATTERNS, SERVICE_TITLE_PATTERN, USED_PATTERN, WANT_PATTERN,
+    SALE_PATTERN, SELLER_COPY_PATTERN, SERVICE_PATTERNS, SERVICE_TITLE_PATTERN, SLOT_VOCABULARY, USED_PATTERN, WANT_PATTERN,
 )
 from ..operators import gates as g
+from ..operators import merge as mg
 from ..operators import vocab as vb
 from . import views as v
 from .normalise import RATES_SQL, parse_sql, pick
-from .oracle_base import CORPUS, HEAD, SOURCES, W, cast_list, first_found, found, lit, re2
+from .oracle_base import CORPUS, HEAD, SOURCES, W, cast_list, first_found, found, lit, re2, values
 
 CATEGORIES = ["Услуги Консультаций и Проведения Мероприятий", "Аренда", "Мечи", "Изготовление на заказ", "Доспехи", "Услуги",
               "Клей и расходники", "Аксессуары", None, "Verleih"]
@@ -28,6 +29,19 @@ TRAP_RULES = [
 ]
 
 
+# --- fixed values: the counting matches of each trap sentence ----------------------------------
+TRAP_MATCHES = [  # sentence, place, entity, start, text there
+    (1, 0, "armour_mail", 19, "mail"), (2, 0, "armour_mail", 16, "mail"), (4, 0, "weapon_bow", 4, "bow"), (5, 0, "weapon_rapier", 0, "Rapier"), (5, 1, "shield_buckler", 11, "buckler"), (5, 2, "part_ring", 20, "C-ring"),
+    (7, 0, "maker_shield", 0, "DrShield"), (7, 1, "shield_buckler", 14, "buckler"), (8, 0, "maker_shield", 0, "Dr.Shield"), (10, 0, "camp_tent", 0, "Tent"),
+]
+ADDED_ALIASES = [("leather", "кожаные"), ("used", "second-hand"), ("used", "б/у"), ("used", "USED"), ("city", "Москва"), ("larp", "l.a.r.p"), ("sword_1h", "elfenschwert")]
+# --- fixed values: what each listing template names in the synced vocabulary, in order ---------
+SYNCED_ENTITIES = [
+    "larp,sword_1h", "larp,sword_1h", "sword_1h", "larp,sword_1h", "", "helmet", "dagger", "sword_1h,dagger,axe", "bracers,leather,city", "gambeson", "sword_1h,scabbard", "scabbard,sword_1h,used", "larp,sword_1h", "", "", "",
+    "helmet", "larp,weapon_other,sword_1h,used", "chainmail", "", "sword_1h,scabbard,used",
+]
+
+
 def corpus(spark, d):
     return v.corpus(spark, d)
 
@@ -106,6 +120,25 @@ def guarded(spark, d):
     return m.select("item_id", F.explode("matches").alias("m")).groupBy("m.entity").agg(F.count(F.lit(1)).alias("n"), F.min("m.start").alias("first_start"))
 
 
+def trap_sentences(spark, d):
+    """Every counting match in the trap sentences, one sentence per order: spellings without the inner dot,
+    required and forbidden company, aliases that never count."""
+    traps = v.table(spark, d, "orders").select("o_orderkey", pick(TRAP_TEXTS, F.col("o_orderkey")).alias("text"))
+    found = vb.guarded_matches(traps, "text", TRAP_RULES).select("o_orderkey", F.posexplode("matches").alias("place", "m"))
+    return found.select("o_orderkey", "place", "m.entity", "m.start", "m.alias")
+
+
+def synced_vocabulary(spark, d):
+    """Listing lines matched by a vocabulary table: the seed list with its open stems after a sync that adds
+    aliases for part types and drops those of one slot."""
+    seeds = vb.vocabulary_frame(spark, [(a, slot) for slot, label, aliases in SLOT_VOCABULARY for a in [label, *aliases]]).select(F.col("entity").alias("slot_id"), "alias", F.lit("seed").alias("origin"))
+    added = spark.createDataFrame(ADDED_ALIASES, "slot_id string, alias string")
+    wanted = seeds.where(F.col("slot_id") != "shield").select("slot_id", "alias").unionByName(added)
+    synced = mg.sync_vocabulary(seeds, wanted).where("action <> 'removed'")
+    table = vb.with_open_stems(synced.select("alias", F.col("slot_id").alias("entity"), F.lit(0).alias("place")))
+    return vb.entities_in(v.listing_lines(spark, d), "text", "ids", table).select("item_id", F.array_join("ids", ",").alias("entities"))
+
+
 def stripped(spark, d):
     return v.listing_lines(spark, d).select("item_id", vb.without_accessories(F.col("text")).alias("text"))
 
@@ -141,7 +174,7 @@ QUERIES = {
     "gt6_condition": conditions, "gt7_service_kind": service_kinds, "gt8_gate_cascade": cascade, "gt9_lot_build": lots,
     "gt14_availability": availability, "ag5_classify_report": run_report, "vm1_alias_match": alias_matches, "vm3_guarded_match": guarded,
     "vm4_accessory_strip": stripped, "vm5_compound_heads": compounds, "vm6_best_slot": best_slots, "vm7_reslot": reslot,
-    "vm8_extraction_stats": stats, "mj13_gated_sources": gated_sources,
+    "vm2_trap_sentences": trap_sentences, "vm8_synced_vocabulary": synced_vocabulary, "vm8_extraction_stats": stats, "mj13_gated_sources": gated_sources,
 }
 
 # --- reference SQL ---------------------------------------------------------------------------
@@ -250,6 +283,8 @@ ORACLE = {
     "vm6_best_slot": f"WITH {CORPUS}, {BEST} SELECT item_id, slot_id, slot_confidence::DOUBLE slot_confidence FROM best",
     "vm7_reslot": f"""WITH {CORPUS}, {BEST}, r AS (SELECT count(*) seen, count(*) FILTER (slot_id IS DISTINCT FROM ({cast_list(OLD_SLOTS)})[1 + item_id % 4]) changed, count(slot_id) matched FROM best)
         SELECT *, round_even(matched::DOUBLE / seen, 3) coverage FROM r""",
+    "vm2_trap_sentences": "WITH g AS (SELECT * FROM " + values(TRAP_MATCHES, ["t", "place", "entity", "start", "alias"]) + f") SELECT o_orderkey, place, entity, start, alias FROM orders JOIN g ON t = o_orderkey % {len(TRAP_TEXTS)}",
+    "vm8_synced_vocabulary": "WITH g AS (SELECT * FROM " + values(list(enumerate(SYNCED_ENTITIES)), ["t", "entities"]) + f") SELECT o_orderkey + 1000000000 item_id, entities FROM orders JOIN g ON t = o_orderkey % {len(SYNCED_ENTITIES)}",
     "vm8_extraction_stats": f"""WITH {CORPUS}, {match_cte('ma', 'corpus', 'text', 'ids')}, t AS (SELECT count(*) documents, sum(len(list_distinct(ids)))::BIGINT total FROM ma),
         e AS (SELECT entity, count(*) n FROM (SELECT unnest(list_distinct(ids)) entity FROM ma) GROUP BY 1 ORDER BY n DESC, entity LIMIT 20)
         SELECT entity, n, documents, total, round_even(total::DOUBLE / documents, 2) avg_per_doc FROM e, t""",

@@ -148,3 +148,24 @@ def test_numbers_too_large_have_no_bounds(spark):
     for free in (False, True):
         rows = column(parse_price(table(spark, [(t,) for t in texts], "t string"), "t", free_text=free), "price")
         assert [(r["low"], r["high"]) for r in rows[:-1]] == [(None, None)] * 6 and rows[-1]["low"] == 2500
+
+
+def test_vocabulary_table(spark):
+    """Open stems, dots inside, aliases of one and two characters, signs at the start, equal aliases in other case."""
+    from armarium.operators.merge import sync_vocabulary
+    words = spark.createDataFrame([("щит", "shield"), ("наручи", "bracers"), ("Dr.Shield", "maker"), ("l.a.r.p", "game"), ("x", "letter"), ("8\"", "size"), ("§ 5", "law"), ("HELM", "helmet"), ("helm", "helmet"), ("helm of steel", "steel_helm")],
+                                  "alias string, slot_id string")
+    synced = sync_vocabulary(words.limit(0).withColumn("origin", F.lit("seed")), words)
+    table_ = vocab.with_open_stems(synced.select("alias", F.col("slot_id").alias("entity"), F.lit(0).alias("place")))
+    rows = [("Щиты и наручей", "shield,bracers"), ("DrShield, dr.shield", "maker"), ("Larp x L.A.R.P", "game,letter"), ("a x b", "letter"), ("axb", ""), ("siehe § 5", "law"), ("Helm", "helmet"), ("a Helm of Steel", "steel_helm,helmet"), ("overhelm helmet", ""), (None, ""), ("", "")]
+    got = column(vocab.entities_in(table(spark, [(t,) for t, _ in rows], "t string"), "t", "ids", table_), "ids")
+    assert [",".join(g) for g in got] == [e for _, e in rows]
+
+
+def test_vocabularies_of_any_size(spark):
+    df = table(spark, [("alias77 and alias1999",)], "t string")
+    for n in (100, 2000):
+        d = vocab.entities_in(df, "t", "ids", spark.createDataFrame([(f"alias{i}", f"e{i}", i) for i in range(n)], "alias string, entity string, place int"))
+        assert column(d, "ids") == [["e77", "e1999"][:1 + (n > 1999)]]
+    with pytest.raises(ValueError):
+        vocab.entities_in(df, "t", "ids", spark.range(vocab.MOST_ALIASES + 1).select(F.col("id").cast("string").alias("alias"), F.lit("e").alias("entity"), F.lit(0).alias("place")))
