@@ -39,6 +39,11 @@ def keyword_set(c: Column) -> Column:
     return F.array_except(F.coalesce(found, F.array().cast("array<string>")), words_array(MATCH_STOP_WORDS))
 
 
+def without_case(c: Column) -> Column:
+    """The text under a collation that compares, groups and orders without case; accents tell apart."""
+    return F.collate(c, "UTF8_LCASE")
+
+
 def first_line(c: Column) -> Column:
     return F.split_part(c, F.lit("\n"), F.lit(1))
 

@@ -95,3 +95,13 @@ def usage_cost(calls: DataFrame) -> DataFrame:
         + F.col("cached_tokens") * F.coalesce("p_cached", F.lit(d_cached))
         + F.col("tokens_out") * F.coalesce("p_out", F.lit(d_out))) / 1000000.0
     return calls.join(model_prices(calls.sparkSession), "model", "left").withColumn("cost_usd", F.when(F.col("is_local"), 0.0).otherwise(cost)).drop("p_in", "p_cached", "p_out")
+
+
+def lag_quantiles(lags: DataFrame, source: str, lag: str, width: float = 32.0) -> DataFrame:
+    """Exact median and 95th percentile of each source: the least value that so large a share does not exceed.
+
+    Lags are counted per value first, then ranked over cells of values, so that a source of any size is a few
+    counts. Lags that are not known do not count."""
+    counts = value_counts_below(lags, source, lag, width)
+    upto = F.col("n_below") + F.col("n_at")
+    return counts.groupBy(source).agg(F.max("n_key").alias("n"), *[F.min(F.when(upto * 100 >= F.col("n_key") * p, F.col(lag))).alias(name) for p, name in ((50, "median"), (95, "p95"))])

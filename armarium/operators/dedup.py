@@ -6,6 +6,7 @@ from math import comb
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
@@ -123,15 +124,70 @@ def retained(stored: DataFrame, today: Column, days: int = RETENTION_DAYS) -> Da
     return stored.where(F.to_date("created_at") >= F.date_sub(today, days))
 
 
-def greedy_keep(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
+    """``(node, root)`` of all nodes of ``(a, b)`` edges; the root is the least node of the component.
+
+    Every round each node points at the least neighbour it knows, and its other neighbours are handed on to
+    that one; rounds grow with the logarithm of the longest path, not with the path."""
+    pairs = cut_lineage(edges.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).where("low <> high").distinct())
+    state = None
+    while True:
+        ends = pairs.select(F.col("low").alias("n"), F.col("high").alias("m")).unionByName(pairs.select(F.col("high").alias("n"), F.col("low").alias("m")))
+        least = ends.groupBy("n").agg(F.least(F.min("m"), F.col("n")).alias("least"))
+        above = ends.where("m > n").join(least, "n").select(F.col("least").alias("low"), F.col("m").alias("high"))
+        above = cut_lineage(above.unionByName(least.where("least < n").select(F.col("least").alias("low"), F.col("n").alias("high"))).distinct())
+        best = above.groupBy("high").agg(F.min("low").alias("least"))
+        below = above.join(best, "high").select("least", "low", "high")
+        pairs = cut_lineage(below.where("low > least").select(F.col("least").alias("low"), F.col("low").alias("high")).unionByName(below.select(F.col("least").alias("low"), "high")).distinct())
+        now = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("low", "high").cast("decimal(38,0)"))).first()
+        if now == state:
+            return pairs.select(F.col("high").alias("node"), F.col("low").alias("root")).unionByName(pairs.select(F.col("low").alias("node"), F.col("low").alias("root")).distinct())
+        state = now
+
+
+#: Edges of a component that one task scans; a larger one is decided in rounds over all tasks.
+SCANNED_EDGES = 1 << 22
+
+
+def greedy_keep(edges: DataFrame, scanned: int = SCANNED_EDGES) -> DataFrame:
     """``(later, earlier)`` edges of a totally ordered graph -> the nodes that a scan in order drops.
 
-    A node without undecided earlier neighbours is kept; its later neighbours are dropped; decided nodes
-    leave. Repeated to a fixed point this equals the sequential scan. Returns ``(node, original)`` of the
-    dropped nodes, where the original is the first kept neighbour.
+    A node is dropped if one of its earlier neighbours is kept; the original is the first of these. Nodes of
+    different components do not touch each other: components are found first, and each is read once in order by
+    one task, which keeps the nodes dropped so far. Returns ``(node, original)`` of the dropped nodes.
     """
-    edges = cut_lineage(edges)
-    open_edges, dropped = edges, None
+    edges = cut_lineage(edges.distinct())
+    roots = components(edges.select(F.col("later").alias("a"), F.col("earlier").alias("b")))
+    placed = cut_lineage(edges.join(roots, F.col("later") == F.col("node")).drop("node"))
+    sizes = cut_lineage(placed.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > scanned))
+    small = placed.join(sizes, "root", "left_anti").select("root", "later", "earlier")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root, dropped = None, set()
+        for batch in batches:
+            nodes, originals = [], []
+            for r, later, earlier in zip(*(c.to_pylist() for c in batch.columns)):
+                if r != root:
+                    root, dropped = r, set()
+                if later not in dropped and earlier not in dropped:
+                    dropped.add(later)
+                    nodes.append(later)
+                    originals.append(earlier)
+            kinds = batch.schema.field(1).type, batch.schema.field(2).type
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, kinds[0]), pa.array(originals, kinds[1])], names=["node", "original"])
+
+    kind = edges.schema["later"].dataType.simpleString()
+    out = small.repartition("root").sortWithinPartitions("root", "later", "earlier").mapInArrow(scan, f"node {kind}, original {kind}")
+    if sizes.isEmpty():
+        return out
+    return out.unionByName(greedy_rounds(placed.join(sizes, "root", "left_semi").select("later", "earlier")))
+
+
+def greedy_rounds(edges: DataFrame) -> DataFrame:
+    """The same for components of any size: a node without undecided earlier neighbours is kept, its later
+    neighbours are dropped, decided nodes leave, until none is left. As many rounds as the longest ordered path."""
+    open_edges, dropped = cut_lineage(edges), None
+    edges = open_edges
     while not open_edges.isEmpty():
         later = open_edges.select(F.col("later").alias("node")).distinct()
         roots = open_edges.select(F.col("earlier").alias("node")).distinct().join(later, "node", "left_anti")

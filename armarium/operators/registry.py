@@ -161,8 +161,13 @@ def feed_selection(lots: DataFrame, max_lots: int, home: Column) -> DataFrame:
     heads = top_k(catalog, ["source_id"], [F.col("lot_id")], max_lots, rank="turn", salt_by=F.col("lot_id"))
     per_source = Window.partitionBy("source_id").orderBy("lot_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     heads = heads.withColumns({"first_lot": F.min("lot_id").over(per_source), "is_home": F.first(home).over(per_source)})
-    in_group = Window.partitionBy("is_home").orderBy("turn", "first_lot")
-    turns = heads.withColumn("seq", F.row_number().over(in_group)).where(F.col("seq") <= max_lots)
+    # A turn has one lot of each source that still has any, so counts tell where it starts; only the sources
+    # of one turn are ordered. Turns are at most ``max_lots``.
+    sizes = heads.groupBy("is_home", "turn").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy("is_home").orderBy("turn")) - F.col("_n")).where(F.col("_before") < max_lots)
+    in_turn = heads.join(F.broadcast(sizes.drop("_n")), ["is_home", "turn"])
+    place = F.row_number().over(Window.partitionBy("is_home", "turn").orderBy("first_lot"))
+    turns = in_turn.withColumn("seq", (F.col("_before") + place).cast("int")).drop("_before").where(F.col("seq") <= max_lots)
     sizes = turns.agg(F.count_if("is_home").alias("n_home"), F.count_if(~F.col("is_home")).alias("n_other"))
     room = ads.agg(F.count(F.lit(1)).alias("n_ads")).select(F.greatest(F.lit(max_lots) - F.col("n_ads"), F.lit(0)).alias("room"))
     home_quota = F.when(F.col("n_other") > 0, F.floor(F.col("room") * F.lit(HOME_SHARE))).otherwise(F.col("room"))

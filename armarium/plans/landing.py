@@ -67,6 +67,22 @@ def links(spark, d):
     return pg.discovered_links(v.table(spark, d, "pages"), "page_id", NAV, SKIP, 8)
 
 
+def preview_posts(spark, d):
+    """Channel previews of conversations, a turn a post: nested blocks, void elements, links inside the text and
+    around it."""
+    def escaped(c):
+        return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+    post = F.concat(
+        F.lit('<div class="tgme_widget_message" data-post="talk/'), F.col("turn"), F.lit('"><a href="https://t.me/talk">head</a><div class="js tgme_widget_message_text" dir="auto"><div><b>'), escaped(F.coalesce("text", F.lit(""))),
+        F.lit('</b></div><br/><blockquote><div>'), escaped(F.coalesce("role", F.lit(""))), F.lit('</div><img src="x"><hr></blockquote><!-- </div></div> --><a href="https://example.com/'), F.col("turn"),
+        F.lit('">more</a></div><time datetime="2024-01-02T03:04:05+00:00"></time><span class="tgme_widget_message_views">'), F.col("turn") * 10, F.lit("</span></div>"))
+    pages = v.table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", post.alias("post")))).alias("posts"))
+    pages = pages.select(F.col("conv_id").cast("string").alias("source_id"), F.array_join(F.transform("posts", lambda p: p["post"]), "\n").alias("html"))
+    posts = pg.preview_posts(pages)
+    return posts.select("source_id", "msg_id", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"), "views")
+
+
 def page_texts(spark, d):
     """Article text of each page with the link targets that it does not name."""
     p = v.table(spark, d, "pages").select(
@@ -156,7 +172,7 @@ def evaluate_mark(spark, d):
 
 QUERIES = {
     "sr1_page_cards": page_cards, "sr2_embedded_json": embedded_json, "sr3_product_feed": product_feed, "sr4_change_feed": change_feed, "sr4_change_cursor": change_cursor,
-    "sr5_link_discovery": links, "sr6_page_text": page_texts, "sr7_page_kind": page_kinds, "sr8_post_landing": posts, "sr9_raw_archive": archive,
+    "sr5_link_discovery": links, "sr6_preview_posts": preview_posts, "sr6_page_text": page_texts, "sr7_page_kind": page_kinds, "sr8_post_landing": posts, "sr9_raw_archive": archive,
     "sr10_feed_snapshot": feed_snapshot, "sr11_vocabulary_sync": vocabulary_sync, "sr12_ruleset_replace": ruleset_replace, "sr13_adhoc_sql": adhoc_sql,
     "wl1_candidate_counters": candidate_counters, "wl2_priority_worklist": priority_worklist, "wl3_evaluate_mark": evaluate_mark,
 }
@@ -188,6 +204,8 @@ ORACLE = {
     "sr5_link_discovery": rf"""WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '{NAV}', 1)) link, trim(regexp_replace(unnest(regexp_extract_all(html, '{NAV}', 2)), '[\s\p{{Z}}]+', ' ', 'g')) AS label,
           generate_subscripts(regexp_extract_all(html, '{NAV}', 1), 1) - 1 pos FROM pages)
         SELECT page_id, link, min(pos)::INT pos, arg_min(label, pos) AS label, length(arg_min(label, pos)) > 8 AS over_long FROM a WHERE label <> '' AND link NOT IN ('/the', '/of', '/de') GROUP BY 1, 2""",
+    "sr6_preview_posts": r"""WITH t AS (SELECT conv_id, turn, regexp_replace(coalesce(text, '') || chr(10) || coalesce(role, '') || 'more', '^[\s\p{Z}]+', '') || chr(10) || chr(10) || '--- links ---' || chr(10) || 'https://example.com/' || turn AS x FROM conversations)
+        SELECT conv_id::VARCHAR source_id, turn::BIGINT msg_id, length(x)::INT n_chars, md5(x) text_md5, (turn * 10)::VARCHAR "views" FROM t""",
     "sr6_page_text": f"""WITH p AS (SELECT page_id, trim({_plain("regexp_extract(html, '(?s)<article>(.*?)</article>', 1)")}) t, regexp_extract_all(html, 'href="/([^"]*)"', 1) l FROM pages),
         x AS (SELECT page_id, t, list_filter(l, lambda u: u <> '' AND NOT contains(t, u)) e FROM p),
         y AS (SELECT page_id, t, e, list_filter(list_transform(e, lambda u, i: CASE WHEN list_position(e, u) = i THEN u END), lambda u: u IS NOT NULL) z FROM x),

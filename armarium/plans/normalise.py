@@ -1,6 +1,7 @@
 """Normalisation queries bound to the given tables."""
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..constants import (
@@ -158,6 +159,17 @@ def case_insensitive(spark, d):
         F.count_if(F.expr(r"text ilike '%\\%%' escape '\\'")).alias("n_percent"), F.sum(F.length(F.lower(t))).alias("n_lower"))
 
 
+def without_case(spark, d):
+    """Titles grouped, compared and ordered without case; accents still tell apart."""
+    part = v.table(spark, d, "part").select(F.when(F.col("p_partkey") % 3 == 0, F.upper("p_name")).when(F.col("p_partkey") % 3 == 1, F.initcap("p_name")).otherwise(F.col("p_name")).alias("title"))
+    title = text.without_case(F.col("title"))
+    wanted = spark.createDataFrame([("BLUE Bolt",), ("Red WIDGET",), ("absent",)], "wanted string").select(text.without_case(F.col("wanted")).alias("wanted"))
+    groups = part.groupBy(title.alias("key")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("title").alias("n_spellings"), F.max(F.col("title")).alias("last_spelling"))
+    asked = groups.join(F.broadcast(wanted), F.col("key") == F.col("wanted"), "left")
+    place = F.row_number().over(Window.orderBy("key"))  # one row a title
+    return asked.select(F.lower(F.collate("key", "UTF8_BINARY")).alias("title"), "n", "n_spellings", "last_spelling", F.col("wanted").isNotNull().alias("asked"), place.alias("place"))
+
+
 def merged_metadata(spark, d):
     props = F.from_json("props", "map<string,string>")
     extra = F.create_map(F.lit("type"), F.col("event_type"), F.lit("user"), F.col("user_id").cast("string"), F.lit("k"), F.when(F.col("event_id") % 3 == 0, F.lit("over")).when(F.col("event_id") % 3 == 1, F.lit(None)).otherwise(F.get_json_object("props", "$.k")))
@@ -190,7 +202,7 @@ QUERIES = {
     "nm1_price_range": price_ranges, "nm2_free_text_price": free_text_prices, "nm3_currency_code": currency_codes,
     "nm4_fx_conversion": conversion, "nm5_rate_upkeep": rate_upkeep, "nm6_range_norm": range_norm, "nm7_monthly": monthly,
     "nm8_localised_dates": localised_dates, "nm9_year_window": year_windows, "nm10_specs": spec_extraction, "nm11_tags": tags,
-    "nm12_urls": urls, "nm12_handles": handles, "nm13_case_insensitive": case_insensitive, "nm14_merge_metadata": merged_metadata,
+    "nm12_urls": urls, "nm12_handles": handles, "nm13_case_insensitive": case_insensitive, "nm13_without_case": without_case, "nm14_merge_metadata": merged_metadata,
     "nm15_alias_stems": alias_stems, "nm16_keyword_sets": keyword_sets, "nm17_dedup_text": dedup_texts,
 }
 
@@ -313,6 +325,8 @@ ORACLE = {
         regexp_replace(regexp_extract(url, '^[a-zA-Z]+://[^/?#]+([^?#]*)', 1), '/+$', '') path FROM pages)
         SELECT page_id, host, path, CASE WHEN starts_with(path, '/') THEN 'https://base.example' || path ELSE path END absolute, host handle FROM u""",
     "nm12_handles": "SELECT DISTINCT lower(c_mktsegment) || (c_custkey % 40) handle FROM customer WHERE c_custkey % 10 <> 0 ORDER BY 1",
+    "nm13_without_case": """WITH t AS (SELECT CASE p_partkey % 3 WHEN 0 THEN upper(p_name) WHEN 1 THEN array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') ELSE p_name END title FROM part)
+        SELECT lower(title) title, count(*) n, count(DISTINCT title) n_spellings, max(title) last_spelling, lower(title) IN ('blue bolt', 'red widget', 'absent') asked, row_number() OVER (ORDER BY lower(title)) place FROM t GROUP BY lower(title)""",
     "nm13_case_insensitive": r"""SELECT lang, count(*) FILTER (text ILIKE '%THE%') n_the, count(*) FILTER (text ILIKE 'É%') n_e, count(*) FILTER (lower(text) LIKE '%für%') n_fuer,
         count(*) FILTER (text ILIKE '%\%%' ESCAPE '\') n_percent, sum(length(lower(text)))::BIGINT n_lower FROM documents GROUP BY 1""",
     "nm14_merge_metadata": """SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'k=over;' WHEN 1 THEN '' ELSE 'k=' || json_extract_string(props, '$.k') || ';' END || 'type=' || event_type || ';user=' || user_id meta FROM events""",

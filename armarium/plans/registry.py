@@ -268,6 +268,13 @@ def crawl_lag(spark, d):
                                          F.sum(lag.cast("bigint")).alias("sum_days"))
 
 
+def crawl_lag_quantiles(spark, d):
+    """Median and 95th percentile of the lag of each source, exact."""
+    j = v.table(spark, d, "lineitem").select("l_orderkey", "l_shipdate", "l_suppkey").join(v.table(spark, d, "orders").select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
+    lag = j.select((F.col("l_suppkey") % 40).alias("source_id"), F.datediff(F.col("l_shipdate"), F.col("o_orderdate")).alias("lag"))
+    return a.lag_quantiles(lag, "source_id", "lag")
+
+
 MODELS = ["deepseek-v4-flash", "deepseek-v4-pro", "deepseek-chat", "mystery-model", "home-model"]
 
 
@@ -316,7 +323,7 @@ QUERIES = {
     "ag3_status_rollup": status_overview, "ag4_slot_coverage": slot_coverage, "ag4_unmatched_categories": unmatched_categories,
     "ag6_slot_scarcity": scarcity, "ag6_demand_gap": demand_gap, "ag7_price_histogram": histogram, "ag8_price_position": price_position,
     "ag9_completeness": completeness, "ag9_visible_completeness": visible_completeness, "ag11_makers": makers_seen,
-    "ag12_channel_counters": channel_counters, "ag13_weekly_flow": weekly_flow, "ag14_crawl_lag": crawl_lag,
+    "ag12_channel_counters": channel_counters, "ag13_weekly_flow": weekly_flow, "ag14_crawl_lag": crawl_lag, "ag14_lag_quantiles": crawl_lag_quantiles,
     "lg1_usage_ledger": usage_ledger, "lg2_run_ledger": run_ledger, "lg3_worklist_totals": worklist_totals, "nm18_age_days": age_days,
 }
 
@@ -422,6 +429,8 @@ ORACLE = {
     "ag12_channel_counters": """SELECT source, count(*) seen, count(*) FILTER (length(trim(text)) < 200) too_short, count(*) FILTER (lang = 'de') ignored,
         count(*) FILTER (length(trim(text)) >= 200 AND lang <> 'de') taken FROM documents GROUP BY 1""",
     "ag13_weekly_flow": "SELECT date_trunc('week', o_orderdate)::TIMESTAMP AS week, o_orderpriority, count(*) n FROM orders GROUP BY 1, 2",
+    "ag14_lag_quantiles": """SELECT source_id, count(*) n, quantile_disc(d, 0.5)::INT median, quantile_disc(d, 0.95)::INT p95 FROM (SELECT l_suppkey % 40 source_id,
+        date_diff('day', o_orderdate, l_shipdate) d FROM lineitem JOIN orders ON o_orderkey = l_orderkey) GROUP BY 1""",
     "ag14_crawl_lag": """SELECT l_returnflag, count(*) n, min(d) min_days, max(d) max_days, sum(d)::BIGINT sum_days FROM (SELECT l_returnflag,
         date_diff('day', o_orderdate, l_shipdate) d FROM lineitem JOIN orders ON o_orderkey = l_orderkey) GROUP BY 1""",
     "lg1_usage_ledger": f"""WITH c AS (SELECT ({[m for m in MODELS]})[1 + user_id % 5] model, event_type skill, floor(value*100)::BIGINT ti, user_id % 5 = 4 loc FROM events),

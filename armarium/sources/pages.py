@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import dutch_date, german_date
-from ..functions.text import absolute_url, first_line, tag_country, tag_discipline, tag_ignored
+from ..functions.text import absolute_url, first_line, settled, tag_country, tag_discipline, tag_ignored
 
 LINKS_SEPARATOR = "\n\n--- links ---\n"
 
@@ -160,15 +160,32 @@ def with_link_block(text: Column, links: Column) -> Column:
 
 # --- fixed values: channel preview layout ----------------------------------------------------
 POST_PATTERN = r'(?s)data-post="[^"]*".*?(?=data-post="|$)'
-POST_TEXT = r'(?s)class="[^"]*tgme_widget_message_text[^"]*"[^>]*>(.*?)</div>'
+POST_TEXT = r'(?s)<[^>]*class="[^"]*tgme_widget_message_text[^"]*"[^>]*>(.*)'
+VOID_TAGS = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"]
 PREVIEW_MARKER = "tgme_widget_message"
 
 
+def inside_element(rest: Column) -> Column:
+    """What stands inside an element, given all that follows its opening tag: up to the tag that closes it, or
+    to the end where none does. Void elements and comments do not nest."""
+    tokens = F.regexp_extract_all(rest, F.lit(r"(?s)<!--.*?-->|<[A-Za-z/!?][^>]*>|[^<]+|<"), F.lit(0))
+
+    def step(token: Column) -> Column:
+        name = F.lower(F.regexp_extract(token, r"^</?([A-Za-z][A-Za-z0-9-]*)", 1))
+        nests = (name != "") & ~name.isin(VOID_TAGS)
+        return F.when(nests & token.startswith("</"), -1).when(nests, 1).otherwise(0)
+
+    begin = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("whole"))
+    end = F.aggregate(tokens, begin, lambda s, t: F.when(s["depth"] == 0, s).otherwise(F.struct((s["depth"] + step(t)).alias("depth"), (s["whole"] + F.when(s["depth"] + step(t) == 0, 0).otherwise(1)).alias("whole"))))
+    return F.array_join(F.slice(tokens, F.lit(1), end["whole"]), "")
+
+
 def preview_posts(pages: DataFrame) -> DataFrame:
     """Posts of a channel preview: id from the tail of its key, date from the attribute, link block added;
     posts without id or text are dropped."""
     p = pages.select("source_id", F.explode(F.regexp_extract_all("html", F.lit(POST_PATTERN), F.lit(0))).alias("post"))
-    inner = F.regexp_extract("post", POST_TEXT, 1)
+    p = settled(p, {"_inner": inside_element(F.regexp_extract("post", POST_TEXT, 1))})
+    inner = F.regexp_replace("_inner", r"(?s)<!--.*?-->", "")
     links = F.transform(F.regexp_extract_all(inner, F.lit(r'<a\b[^>]*href="([^"]*)"'), F.lit(1)), lambda u: F.trim(unescape(u)))
     text = F.regexp_replace(plain_text(inner), r"(?U)^\s+|\s+$", "")
     d = p.select(

@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from armarium.operators import dedup, merge, ranks, registry
+from armarium.operators import analytics, dedup, merge, ranks, registry
 from armarium.plans import views as v
 
 
@@ -150,3 +150,59 @@ def test_near_pairs_of_two_sets(spark):
     want = {(a, b, (a ^ b).bit_count()) for a in base + near[:20] for b in near if a != b and (a ^ b).bit_count() <= 8}
     for shape in (None, (10, 2), (11, 3)):
         assert {tuple(r) for r in dedup.near_pairs(left, 8, others=right, shape=shape).collect()} == want
+
+
+def scan(edges):
+    dropped, original = set(), {}
+    for later, earlier in sorted(edges):
+        if later not in dropped and earlier not in dropped:
+            dropped.add(later)
+            original[later] = earlier
+    return sorted(original.items())
+
+
+def test_ordered_choice_in_components(spark):
+    """Random graphs, by one scan a component and by rounds."""
+    rnd = random.Random(9)
+    edges = sorted({(max(a, b), min(a, b)) for a, b in ((rnd.randrange(900), rnd.randrange(900)) for _ in range(1000)) if a != b})
+    df = spark.createDataFrame(edges, "later bigint, earlier bigint")
+    for scanned in (1 << 20, 5):
+        assert sorted(map(tuple, dedup.greedy_keep(df, scanned).collect())) == scan(edges)
+    assert dedup.greedy_keep(df.limit(0)).collect() == []
+
+
+def test_a_long_chain_ends_in_few_rounds(spark, monkeypatch):
+    n = 10_000
+    rounds = []
+    kept = dedup.cut_lineage
+    monkeypatch.setattr(dedup, "cut_lineage", lambda df: rounds.append(1) or kept(df))
+    df = spark.range(n).select((F.col("id") + 1).alias("later"), F.col("id").alias("earlier"))
+    got = sorted(map(tuple, dedup.greedy_keep(df).collect()))
+    assert got == [(i, i - 1) for i in range(1, n + 1, 2)] and len(rounds) < 2 * 16 + 5
+
+
+def test_components(spark):
+    rnd = random.Random(10)
+    edges = [(rnd.randrange(600), rnd.randrange(600)) for _ in range(330)]
+    parent = list(range(600))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        parent[b] = a
+    nodes = {x for a, b in edges if a != b for x in (a, b)}
+    got = dedup.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()
+    assert sorted(map(tuple, got)) == sorted((x, find(x)) for x in nodes)
+
+
+def test_lag_quantiles(spark):
+    rnd = random.Random(12)
+    rows = [(rnd.choice("abc"), rnd.choice([None, *range(-5, 300)])) for _ in range(997)]
+    got = {r["s"]: (r["n"], r["median"], r["p95"]) for r in analytics.lag_quantiles(spark.createDataFrame(rows, "s string, lag int"), "s", "lag").collect()}
+    for s in "abc":
+        x = sorted(l for k, l in rows if k == s and l is not None)
+        assert got[s] == (len(x), x[-(-len(x) * 50 // 100) - 1], x[-(-len(x) * 95 // 100) - 1])

@@ -89,6 +89,13 @@ def test_preview_posts(spark):
     assert rows[0]["views"] == "87"
 
 
+def test_posts_with_nested_blocks(spark):
+    rest = [('a<div>b</div>c</div>tail', "a<div>b</div>c"), ("a<br>b<img src='x'/>c</div></div>", "a<br>b<img src='x'/>c"), ("never closed <b>x</b>", "never closed <b>x</b>"), ("</div>", ""), ("", ""),
+            ("<!-- </div> -->x</DIV>y", "<!-- </div> -->x"), ("1 < 2 <p>3</p></div>4", "1 < 2 <p>3</p>"), ("<blockquote><div><i>q</i></div></blockquote>end</div><div>next</div>", "<blockquote><div><i>q</i></div></blockquote>end")]
+    df = spark.createDataFrame(rest, "t string, e string").select("e", pg.inside_element(F.col("t")).alias("got"))
+    assert [r["got"] for r in df.collect()] == [e for _, e in rest]
+
+
 def test_product_feed(spark):
     df = spark.sql("""select '1' external_id, 'T' title, array('a','b') tags, array(named_struct('price', 20.5D, 'available', false), named_struct('price', 9.5D, 'available', true)) variants, array('i') images
         union all select '2', 'U', array(), cast(array() as array<struct<price:double,available:boolean>>), cast(array() as array<string>)""")
