@@ -22,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import join_groups, whole_text, written
 from .exact import SLICE_BITS, possibly_repeated
@@ -156,17 +157,20 @@ class Lists:
         return left[found[left] >= need[left]]
 
 
-def shingled(docs: DataFrame, key: str, text: str, shingle: int, similar: tuple[int, int]) -> DataFrame:
+def shingled(docs: DataFrame, key: str, text: str, shingle: int, similar: tuple[int, int], with_row: bool = False) -> DataFrame:
     """``(rid, key, text, n, same, cells, rare, short, parts)`` of every row: the size of its set, a digest and the
-    cells of it, its share of shingles outside the frequent ones in thousandths, the shingles of its short lists, rarest first, and their parts."""
+    cells of it, its share of shingles outside the frequent ones in thousandths, the shingles of its short lists, rarest first, and their parts. With
+    ``with_row`` the whole row is kept as a struct in place of the text."""
     sparse = docs.sparkSession.sparkContext.broadcast(frequent_slots(docs, text, shingle))
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(key).alias("key"), whole_text(text).alias("text"))
+    row = [F.struct("*").alias("row")] if with_row else []
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(key).alias("key"), *row, whole_text(text).alias("text"))
+    kept_columns = rows.columns[:3]  # the text is the last, and is kept where there is no row
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = sparse.value
         for batch in batches:
             n, same, cell, rare, short, parts = [], [], [], [], [], []
-            for t in batch.column(2):
+            for t in batch.column(batch.num_columns - 1):
                 s = shingle_set(t.as_py(), shingle)
                 at = np.minimum(np.searchsorted(known, slots(s)), max(len(known) - 1, 0))
                 often = np.where(known[at] == slots(s), counts[at], 0) if len(known) else np.zeros(len(s), np.int64)
@@ -178,10 +182,11 @@ def shingled(docs: DataFrame, key: str, text: str, shingle: int, similar: tuple[
                 short.append(s[kept].view(np.int64))
                 parts.append(often[kept] // PART + 1)
             lists = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64()), pa.array(same, pa.binary()), pa.array(cell, pa.binary()), pa.array(rare, pa.int64()), pa.array(short, lists), pa.array(parts, lists)],
-                                             names=[*batch.schema.names, "n", "same", "cells", "rare", "short", "parts"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64()), pa.array(same, pa.binary()), pa.array(cell, pa.binary()), pa.array(rare, pa.int64()), pa.array(short, lists), pa.array(parts, lists)],
+                                             names=[*kept_columns, "n", "same", "cells", "rare", "short", "parts"])
 
-    return rows.mapInArrow(run, f"rid bigint, key {docs.schema[key].dataType.simpleString()}, text string, n bigint, same binary, cells binary, rare bigint, short array<bigint>, parts array<bigint>")
+    made = StructType.fromDDL("n bigint, same binary, cells binary, rare bigint, short array<bigint>, parts array<bigint>")
+    return rows.mapInArrow(run, StructType([*rows.schema.fields[:3], *made.fields]))
 
 
 def meet(lists: DataFrame) -> DataFrame:
@@ -226,13 +231,15 @@ def can_reach(n: str, i: str, m: str, j: str, similar: tuple[int, int]) -> Colum
     return F.expr(f"least({n}, {m}) * {q} >= greatest({n}, {m}) * {p} and least({n} - {i}, {m} - {j}) >= (({n} + {m}) * {p} + {p + q - 1}) div {p + q}")
 
 
-def possible(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """The texts whose ``rid`` is among the ids, and a few others: a Bloom filter of 16 bits an id and at most
-    FILTER_BITS, so that the rest is not shuffled. More ids only let more texts through."""
+def possible_rows(rows: DataFrame, ids: DataFrame, on: str, keep_rest: bool = False) -> DataFrame:
+    """The rows whose ``on`` is among the stored ids, and a few others: a Bloom filter of 16 bits an id and at
+    most FILTER_BITS, so that the rest is not shuffled. More ids only let more rows through. ``keep_rest``
+    keeps all rows and tells by ``possible``."""
     bits = min(FILTER_BITS, -(-max(1, 16 * ids.count()) // SLICE_BITS) * SLICE_BITS)
-    slot = F.explode(F.array(*[F.pmod(F.xxhash64("rid", F.lit(nth)), F.lit(bits)) for nth in (1, 2)])).alias("slot")
+    slot = F.explode(F.array(*[F.pmod(F.xxhash64(on, F.lit(nth)), F.lit(bits)) for nth in (1, 2)])).alias("slot")
     bitmaps = ids.select(slot).groupBy(F.bitmap_bucket_number("slot").alias("slice")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bitmap"))
-    return possibly_repeated(texts, written(bitmaps, "bitmaps"), bits, "rid", bits // 8).where("possible").drop("possible")
+    flagged = possibly_repeated(rows, written(bitmaps, "bitmaps"), bits, on, bits // 8)
+    return flagged if keep_rest else flagged.where("possible").drop("possible")
 
 
 def bounded(pairs: DataFrame, sets: DataFrame, similar: tuple[int, int]) -> DataFrame:
@@ -243,7 +250,7 @@ def bounded(pairs: DataFrame, sets: DataFrame, similar: tuple[int, int]) -> Data
             yield batch.select(["a", "b"]).filter(pa.array(may_reach(one, two, similar) | ~has_one | ~has_two))
 
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), "ids")
-    known = written(possible(sets.select("rid", "cells"), ids).join(ids, "rid", "left_semi"), "cells")
+    known = written(possible_rows(sets.select("rid", "cells"), ids, "rid").join(ids, "rid", "left_semi"), "cells")
     n = pairs.count()
     for side in ("a", "b"):
         own = known.select(F.col("rid").alias(side), F.col("cells").alias(f"cells_{side}"))
@@ -286,7 +293,7 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similar: tuple[in
     members = join_groups(pairs, sizes, "a", "size", pairs.count()).select("a", F.pmod(F.xxhash64("b"), F.ceil(F.col("size") / BLOCK)).alias("part"), "b")
     own = sizes.select("a", F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("size") / BLOCK) - 1)).alias("part"), F.col("a").alias("b"))
     wanted = written(members.unionByName(own), "wanted")
-    own_text = possible(texts.select("rid", "text"), wanted.select(F.col("b").alias("rid")).distinct())
+    own_text = possible_rows(texts.select("rid", "text"), wanted.select(F.col("b").alias("rid")).distinct(), "rid")
     rows = wanted.join(own_text.withColumnRenamed("rid", "b"), "b").select("a", "part", "b", "text")
     dealt = rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b") != F.col("a"))
     return written(dealt.mapInArrow(run, "a bigint, b bigint"), "similar")
@@ -345,7 +352,7 @@ def connected(nodes: DataFrame, texts: DataFrame, shingle: int, similar: tuple[i
     if left.isEmpty():
         return roots
     ids = written(left.select(F.col("id").alias("rid")).distinct(), "ids")
-    known = possible(texts.select("rid", "cells"), ids).withColumnRenamed("rid", "id")
+    known = possible_rows(texts.select("rid", "cells"), ids, "rid").withColumnRenamed("rid", "id")
     blocks = F.ceil(F.col("size") / BLOCK)
     left = left.join(known, "id").withColumns({"own": F.pmod(F.xxhash64("id"), blocks), "_other": F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1))})
     left = left.select("h", F.least("own", "_other").alias("low"), F.greatest("own", "_other").alias("high"), "own", "id", "n", "i", "root", "cells")
