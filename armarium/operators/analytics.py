@@ -8,6 +8,7 @@ from ..constants import (
     FACET_TOP, GAP_TOP, HISTOGRAM_BINS, HISTOGRAM_EMPTY_MAX, MODEL_DEFAULT_PRICE, MODEL_PRICES,
     ONLY_WANTS_RATIO, SCARCITY_TOP,
 )
+from ..session import cut_lineage
 from .ranks import half_up, upper_median, value_counts_below
 from .topk import top_k
 
@@ -29,10 +30,10 @@ def tallies(lots: DataFrame) -> DataFrame:
 
 def price_histogram(lots: DataFrame, price: str = "price", bins: int = HISTOGRAM_BINS) -> DataFrame:
     """Every bin with its count; bin = min(last, floor(price / max * last))."""
-    priced = lots.where(F.col(price) > 0)
-    top = priced.agg(F.coalesce(F.max(price), F.lit(float(HISTOGRAM_EMPTY_MAX))).alias("m")).scalar()
+    at = cut_lineage(lots.where(F.col(price) > 0).groupBy(price).agg(F.count(F.lit(1)).alias("n")))  # lots are read once
+    top = at.agg(F.coalesce(F.max(price), F.lit(float(HISTOGRAM_EMPTY_MAX))).alias("m")).scalar()
     bucket = F.least(F.lit(bins - 1), F.floor(F.col(price) / top * (bins - 1))).cast("int")
-    counts = priced.groupBy(bucket.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    counts = at.groupBy(bucket.alias("bin")).agg(F.sum("n").alias("n"))
     spark = lots.sparkSession
     return spark.range(bins).select(F.col("id").cast("int").alias("bin")).join(counts, "bin", "left").select(
         "bin", F.coalesce("n", F.lit(0)).alias("n"))
@@ -41,7 +42,8 @@ def price_histogram(lots: DataFrame, price: str = "price", bins: int = HISTOGRAM
 def price_position(offers: DataFrame, price: str, width: float = 16384.0) -> DataFrame:
     """Per offer: upper median of its slot and the rounded share of cheaper offers in the slot. ``price`` is in
     the base currency. Offers without a price or for nothing are no peers, but have a position."""
-    counts = value_counts_below(offers.where(F.col(price) > 0), "slot_id", price, width)
+    offers = cut_lineage(offers.select("offer_id", "slot_id", price))  # derived once: counted, then given their places
+    counts = cut_lineage(value_counts_below(offers.where(F.col(price) > 0), "slot_id", price, width))
     pct = half_up(F.col("n_below") * 100.0 / F.col("n_key")).cast("int")
     per_price = counts.select("slot_id", price, pct.alias("pct"))
     medians = upper_median(counts, "slot_id", price)

@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import HOME_SHARE, REFIT_TOLERANCE, SERVICES_TOP, SIMILAR_TOP, UNDATED_YEAR
-from ..session import work_path
+from ..session import cut_lineage, work_path
 from .topk import top_k
 
 
@@ -148,6 +148,72 @@ def subscription_counts(subs: DataFrame, lots: DataFrame, seen: DataFrame) -> Da
         "sub_id", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("fresh", F.lit(0)).alias("fresh"))
 
 
+#: Parts of a saved filter that a lot must equal, and the lot's columns.
+EQUAL_PARTS = {"slot": "slot_id", "region": "region", "sub_cond": "cond", "country": "country", "source": "source_id", "maker": "maker"}
+GRAM = 3
+#: Lots of one probe that are compared together; a probe that more lots answer is dealt in parts.
+PROBED = 1 << 16
+
+
+def _probe(kind: str, value: Column) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), value.cast("string").alias("value"))
+
+
+def _grams(text: Column) -> Column:
+    return F.when(F.length(text) >= GRAM, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - GRAM + 1), lambda i: F.substr(text, i, F.lit(GRAM)))))
+
+
+def filter_passes() -> Column:
+    """All parts of a saved filter over a pair of filter and lot (columns ``lot_*`` where the names are equal).
+    A part that is null or empty passes everything."""
+    def any_or(part: str, test: Column) -> Column:
+        return F.col(part).isNull() | (F.col(part).cast("string") == "") | F.coalesce(test, F.lit(False))
+
+    conflict, _ = period_conflict(F.col("year_from"), F.col("year_to"), F.col("arch_from"), F.col("arch_to"), service=F.col("direction") == "service")
+    out = any_or("view", (F.col("view") == "all") | (F.col("direction") == F.col("view")))
+    out = out & (~F.coalesce("hide_stale", F.lit(False)) | F.coalesce(F.col("status") == "active", F.lit(False)))
+    out = out & any_or("q", F.contains("haystack", F.lower("q")))
+    for part, column in EQUAL_PARTS.items():
+        out = out & any_or(part, F.col(f"lot_{column}") == F.col(part))
+    out = out & any_or("century", century_overlaps(F.col("year_from"), F.col("year_to"), F.col("century")))
+    out = out & (F.col("price_max").isNull() | F.coalesce(F.col("price") <= F.col("price_max"), F.lit(True)))
+    out = out & (~F.coalesce("fit_only", F.lit(False)) | F.coalesce(F.col("fit").isin("fits", "refit"), F.lit(False)))
+    return out & (~F.coalesce("no_conflict", F.lit(False)) | conflict.isNull())
+
+
+def saved_filter_counts(subs: DataFrame, lots: DataFrame, seen: DataFrame, probed: int = PROBED) -> DataFrame:
+    """Lots passing each saved filter of up to thirteen parts, and the fresh unseen ones.
+
+    A filter is found through one probe, something that a lot must have: a value it must equal, a century, or
+    three characters of its words; the one that the fewest lots answer. A filter with none of these must look at
+    all lots. Only probes that filters name are counted; one that many lots answer is dealt in parts, so no key
+    holds more than a bounded number of lots. Each pair is compared once, with all parts.
+    """
+    q = F.lower("q")
+    named = [F.when(F.col(p) != "", _probe(p, F.col(p))) for p in EQUAL_PARTS] + [F.when(F.col("century").isNotNull(), _probe("century", F.col("century")))]
+    grams = F.coalesce(F.transform(_grams(q), lambda g: _probe("gram", g)), F.array().cast("array<struct<kind: string, value: string>>"))
+    wanted = F.filter(F.concat(F.array(*named), grams), lambda p: p.isNotNull())
+    asked = cut_lineage(subs.select("sub_id", F.explode(F.when(F.size(wanted) > 0, wanted).otherwise(F.array(_probe("open", F.lit(""))))).alias("p")).select("sub_id", "p.*"))
+
+    centuries = F.when(F.col("year_from") <= F.col("year_to"), F.sequence(F.floor(F.col("year_from") / 100) + 1, F.greatest(F.ceil(F.col("year_to") / 100), F.floor(F.col("year_from") / 100) + 1)))
+    none = F.array().cast("array<struct<kind: string, value: string>>")
+    has = F.concat(F.array(_probe("open", F.lit("")), *[_probe(p, F.col(c)) for p, c in EQUAL_PARTS.items()]),
+                   F.coalesce(F.transform(centuries, lambda c: _probe("century", c)), none), F.coalesce(F.transform(_grams(F.col("haystack")), lambda g: _probe("gram", g)), none))
+    answers = lots.select("lot_id", F.explode(has).alias("p")).select("lot_id", "p.*").where("value is not null")
+    answers = cut_lineage(answers.join(asked.select("kind", "value").distinct(), ["kind", "value"], "left_semi"))
+    counts = cut_lineage(answers.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n")))
+    best = asked.join(counts, ["kind", "value"], "left").groupBy("sub_id").agg(F.min_by(F.struct("kind", "value"), F.struct(F.coalesce("n", F.lit(0)), "kind", "value")).alias("p"))
+    best = cut_lineage(best.select("sub_id", "p.*"))
+
+    parts = F.ceil(F.col("n") / probed)
+    chosen = best.join(counts, ["kind", "value"]).select("sub_id", "kind", "value", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("part"))
+    dealt = answers.join(best.select("kind", "value").distinct(), ["kind", "value"], "left_semi").join(counts, ["kind", "value"]).select("lot_id", "kind", "value", F.pmod(F.xxhash64("lot_id"), parts).alias("part"))
+    marked = lots.select(*[F.col(c).alias(f"lot_{c}" if c in EQUAL_PARTS.values() else c) for c in lots.columns]).join(seen.select("lot_id", F.lit(True).alias("_seen")), "lot_id", "left")
+    pairs = dealt.join(chosen, ["kind", "value", "part"]).join(subs, "sub_id").join(marked, "lot_id").where(filter_passes())
+    found = pairs.groupBy("sub_id").agg(F.count(F.lit(1)).alias("total"), F.count_if((F.col("posted_at") > F.col("created_at")) & F.col("_seen").isNull()).alias("fresh"))
+    return subs.select("sub_id").join(found, "sub_id", "left").select("sub_id", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("fresh", F.lit(0)).alias("fresh"))
+
+
 def feed_selection(lots: DataFrame, max_lots: int, home: Column) -> DataFrame:
     """All ads and services, then catalogue lots: home sources get their share of the remaining room,
     others the rest, home refills what others leave. Inside a group the sources take turns.

@@ -7,7 +7,7 @@ from ..constants import FALLBACK_USD_PER, FEED_MAX_LOTS
 from ..operators import analytics as a
 from ..operators import registry as r
 from . import views as v
-from .oracle_base import OFFERS, WANTS, lit, values, with_
+from .oracle_base import OFFERS, RATES, RUB, WANTS, lit, values, with_
 
 BODY = {"chest": 92.0, "arm": 60.0}
 HOME_REGION = "EUROPE"
@@ -25,6 +25,15 @@ SUBSCRIPTIONS = [  # id, slot, country, condition, price cap, substring, created
     ("b3", None, None, "used", 15000.0, "red", "1999-01-01"), ("b4", "LARGE", "NATION_7", None, None, None, "1996-01-01"),
     ("b5", "ABSENT", None, None, None, None, "1996-01-01"), ("b6", None, None, None, None, None, "2000-01-01"),
 ]
+SAVED_FILTERS = [  # id, view, without stale, substring, slot, region, condition, country, source, maker, century, price cap, fitting, without conflict, archetype's years, created
+    ("f01", "all", 1, None, None, None, None, None, None, None, None, None, 0, 0, None, None, "1998-01-01"), ("f02", "offer", 1, "Widget", "PROMO", None, None, None, None, None, None, 3e6, 0, 0, None, None, "1997-06-01"),
+    ("f03", "want", 0, None, None, None, None, None, None, None, None, None, 0, 0, None, None, "1996-01-01"), ("f04", None, 0, "nation_1", None, None, "new", None, None, None, 12, None, 1, 0, None, None, "1996-01-01"),
+    ("f05", "offer", 1, None, None, "EUROPE", "used", None, None, None, None, 5e5, 0, 1, 1370, 1400, "1999-01-01"), ("f06", None, 1, None, None, None, None, "NATION_3", None, "Brand#7", None, None, 0, 0, None, None, "1996-01-01"),
+    ("f07", "offer", 0, "", "", "", "", "", "NATION_7", "", 13, None, 0, 1, 1240, 1350, "1996-01-01"), ("f08", None, 0, "no such words", None, None, None, None, None, None, None, None, 0, 0, None, None, "1996-01-01"),
+    ("f09", None, 1, "re", None, None, None, None, None, None, None, 1e5, 1, 0, None, None, "1998-06-01"), ("f10", "offer", 1, None, "LARGE", "ASIA", "new", "NATION_2", "NATION_2", "Brand#3", 11, 9e6, 1, 1, 900, 1050, "1995-01-01"),
+    ("f11", None, 0, None, "ABSENT", None, None, None, None, None, None, None, 0, 0, None, None, "1996-01-01"), ("f12", None, 0, None, None, None, None, None, None, None, 10, None, 0, 1, 1100, 1300, "1998-01-01"),
+]
+FILTER_COLUMNS = ["sub_id", "view", "hide_stale", "q", "slot", "region", "sub_cond", "country", "source", "maker", "century", "price_max", "fit_only", "no_conflict", "arch_from", "arch_to", "created_at"]
 REQUIRED = [(i, s, y0, y1) for i, y0, y1, slots in ARCHETYPES for s in slots]
 
 
@@ -106,6 +115,17 @@ def subscription_counts(spark, d):
     return r.subscription_counts(subs, base, seen)
 
 
+def saved_filters(spark, d):
+    """Filters of all thirteen parts over all lots, prices in the base currency."""
+    kinds = "string string boolean string string string string string string string int double boolean boolean int int string".split()
+    rows = [tuple(bool(x) if k == "boolean" else x for x, k in zip(r, kinds)) for r in SAVED_FILTERS]
+    subs = spark.createDataFrame(rows, ", ".join(f"{n} {k}" for n, k in zip(FILTER_COLUMNS, kinds))).withColumn("created_at", F.to_timestamp("created_at"))
+    base = v.in_base_currency(spark, lots(spark, d), "price").select(
+        "lot_id", "direction", "status", "haystack", "slot_id", "region", "cond", "country", "source_id", "maker", "year_from", "year_to", "price", "fit", "posted_at")
+    seen = v.table(spark, d, "events").where("event_type = 'view'").select((F.col("event_id") * 10 + 1).alias("lot_id")).distinct()
+    return r.saved_filter_counts(subs, base, seen)
+
+
 def partly_known(lots):
     """Some lots have no slot, some no verdict on their fit."""
     return lots.withColumns({"slot_id": F.when(F.col("length_cm") % 11 != 0, F.col("slot_id")), "fit": F.when(F.col("length_cm") % 13 != 0, F.col("fit"))})
@@ -315,7 +335,7 @@ def age_days(spark, d):
 
 QUERIES = {
     "gt10_registry_filter": registry_filter, "gt11_century_overlap": century_overlap, "gt12_period_conflict": period_conflicts,
-    "gt13_fit_verdict": fit_verdicts, "mj7_subscription_counts": subscription_counts, "mj8_services_for_lot": services_for_lots,
+    "gt13_fit_verdict": fit_verdicts, "mj7_subscription_counts": subscription_counts, "mj7_saved_filters": saved_filters, "mj8_services_for_lot": services_for_lots,
     "mj9_similar_lots": similar_lots, "mj10_archetype_coverage": archetype_coverage, "mj11_slot_outcomes": slot_outcomes,
     "mj12_enrichment": enrichment, "wn1_keep_first": keep_first_lines, "wn2_feed_quota": feed_selection, "wn3_newest_first": newest,
     "wn4_registry_sort": sorted_registry, "wn5_grouped_display": grouped_display, "st1_unified_registry": unified,
@@ -355,6 +375,13 @@ ORACLE = {
         CASE WHEN quantity % 10 = 0 THEN NULL WHEN year_to < arch_from THEN arch_from - year_to WHEN year_from > arch_to THEN year_from - arch_to END AS years, count(*) n
         FROM lots JOIN req USING (slot_id) GROUP BY ALL""",
     "gt13_fit_verdict": L + "SELECT lot_id, length_cm, fit FROM lots",
+    "mj7_saved_filters": with_(LOTS, RATES) + f""", f AS (SELECT * REPLACE (created_at::TIMESTAMP AS created_at, price_max::DOUBLE AS price_max, hide_stale = 1 AS hide_stale, fit_only = 1 AS fit_only, no_conflict = 1 AS no_conflict) FROM {values(SAVED_FILTERS, FILTER_COLUMNS)}),
+        b AS (SELECT lots.*, round_even(price * usd_per / {RUB}, 0)::BIGINT rub FROM lots LEFT JOIN rates USING (currency))
+        SELECT sub_id, count(lot_id) total, count(*) FILTER (WHERE posted_at > created_at AND lot_id NOT IN (SELECT event_id*10 + 1 FROM events WHERE event_type = 'view')) fresh
+        FROM f LEFT JOIN b ON ("view" IS NULL OR "view" IN ('all', direction)) AND (NOT hide_stale OR status = 'active') AND (q IS NULL OR q = '' OR contains(haystack, lower(q))) AND (slot IS NULL OR slot IN ('', slot_id))
+          AND (f.region IS NULL OR f.region IN ('', b.region)) AND (sub_cond IS NULL OR sub_cond IN ('', cond)) AND (f.country IS NULL OR f.country IN ('', b.country)) AND (f.source IS NULL OR f.source IN ('', source_id))
+          AND (f.maker IS NULL OR f.maker IN ('', b.maker)) AND (century IS NULL OR (year_from IS NOT NULL AND year_to > (century - 1) * 100 AND year_from < century * 100)) AND (price_max IS NULL OR rub IS NULL OR rub <= price_max)
+          AND (NOT fit_only OR fit IN ('fits', 'refit')) AND (NOT no_conflict OR coalesce(NOT (year_to < arch_from OR year_from > arch_to), TRUE)) GROUP BY 1""",
     "mj7_subscription_counts": with_(LOTS, SUBS_SQL) + """SELECT sub_id, count(lot_id) total,
         count(*) FILTER (WHERE posted_at > created_at AND lot_id NOT IN (SELECT event_id*10 + 1 FROM events WHERE event_type = 'view')) fresh
         FROM subs LEFT JOIN lots ON status = 'active' AND (slot IS NULL OR slot = slot_id) AND (subs.country IS NULL OR subs.country = lots.country)

@@ -206,3 +206,39 @@ def test_lag_quantiles(spark):
     for s in "abc":
         x = sorted(l for k, l in rows if k == s and l is not None)
         assert got[s] == (len(x), x[-(-len(x) * 50 // 100) - 1], x[-(-len(x) * 95 // 100) - 1])
+
+
+def test_saved_filters_against_every_pair(spark):
+    """Random filters and lots with nulls in any column; probes dealt in parts or not."""
+    rnd = random.Random(21)
+
+    def some(*values):
+        return rnd.choice([None, *values])
+
+    lots = []
+    for i in range(400):
+        start = some(900, 1000, 1190, 1200)
+        words = some("red sword", "sword red", "ab", "shield of wood", "")
+        lots.append((i, rnd.choice(["offer", "want", "service"]), rnd.choice(["active", "stale"]), words, some("s1", "s2"), some("r1", "r2"), some("new", "used"), some("c1", "c2"), some("x", "y"), some("m1"),
+                     start, None if start is None else start + rnd.choice([0, 40, 250]), some(5.0, 50.0), some("fits", "refit", "no")))
+    subs = [(i, some("all", "offer", "want", "service"), some(True, False), some("", "RED", "sword r", "wo", "zzz"), some("", "s1") if rnd.random() < 0.4 else None, some("r1") if rnd.random() < 0.3 else None, some("new", "used") if rnd.random() < 0.4 else None,
+             some("c1") if rnd.random() < 0.3 else None, some("x") if rnd.random() < 0.3 else None, some("m1") if rnd.random() < 0.3 else None, some(10, 12, 13) if rnd.random() < 0.5 else None, some(5.0, 20.0), some(True, False), some(True, False), 1000, 1200) for i in range(150)]
+    lot_frame = spark.createDataFrame(lots, "lot_id int, direction string, status string, haystack string, slot_id string, region string, cond string, country string, source_id string, maker string, year_from int, year_to int, price double, fit string").withColumn("posted_at", F.timestamp_seconds("lot_id"))
+    sub_frame = spark.createDataFrame(subs, "sub_id int, view string, hide_stale boolean, q string, slot string, region string, sub_cond string, country string, source string, maker string, century int, price_max double, fit_only boolean, no_conflict boolean, arch_from int, arch_to int").withColumn("created_at", F.timestamp_seconds(F.lit(200)))
+    seen = spark.range(0, 400, 3).select(F.col("id").cast("int").alias("lot_id"))
+
+    def passes(s, l):
+        _, view, stale, q, slot, region, cond, country, source, maker, century, cap, fit_only, free, a0, a1 = s
+        _, direction, status, hay, l_slot, l_region, l_cond, l_country, l_source, l_maker, y0, y1, price, fit = l
+        if view not in (None, "all") and direction != view or stale and status != "active" or q and (hay is None or q.lower() not in hay):
+            return False
+        if any(p and p != x for p, x in ((slot, l_slot), (region, l_region), (cond, l_cond), (country, l_country), (source, l_source), (maker, l_maker))):
+            return False
+        if century is not None and (y0 is None or y1 is None or y1 <= (century - 1) * 100 or y0 >= century * 100) or cap is not None and price is not None and price > cap or fit_only and fit not in ("fits", "refit"):
+            return False
+        return not (free and direction != "service" and (y1 is not None and y1 < a0 or y0 is not None and y0 > a1))
+
+    want = {s[0]: (sum(passes(s, l) for l in lots), sum(passes(s, l) and l[0] > 200 and l[0] % 3 != 0 for l in lots)) for s in subs}
+    for probed in (1 << 16, 7):
+        got = {r["sub_id"]: (r["total"], r["fresh"]) for r in registry.saved_filter_counts(sub_frame, lot_frame, seen, probed).collect()}
+        assert got == want
