@@ -61,12 +61,13 @@ def haystack(*parts: Column) -> Column:
 
 
 def similar_lots(lots: DataFrame, k: int = SIMILAR_TOP) -> DataFrame:
-    """First ``k`` other active lots of the same direction and slot.
+    """First ``k`` other active lots of the same direction and slot; lots without a slot are alike.
 
     The first ``k + 1`` of a group hold the answer of each member, so every lot meets a few rows of a
     small table instead of its whole group.
     """
-    keys = ["direction", "slot_id"]
+    lots = lots.withColumns({"_unslotted": F.col("slot_id").isNull(), "_slot": F.coalesce("slot_id", F.lit(""))})
+    keys = ["direction", "_unslotted", "_slot"]
     heads = top_k(lots.where("status = 'active'"), keys, [F.col("lot_id")], k + 1, rank="head_rank", salt_by=F.col("lot_id"))
     heads = heads.select(*keys, F.col("lot_id").alias("similar_id"), "head_rank")
     own = heads.select(F.col("similar_id").alias("lot_id"), F.col("head_rank").alias("own_rank"))

@@ -137,7 +137,7 @@ def services_for_lots(spark, d):
 
 
 def similar_lots(spark, d):
-    return r.similar_lots(lots(spark, d).select("lot_id", "direction", "slot_id", "status"))
+    return r.similar_lots(partly_known(lots(spark, d)).select("lot_id", "direction", "slot_id", "status"))
 
 
 def archetype_coverage(spark, d):
@@ -197,7 +197,7 @@ def vocabularies(spark, d):
 
 def brand_lists(spark, d):
     part = v.table(spark, d, "part")
-    return r.reference_diff(part.where("p_size < 25 and p_brand not like '%9'").select("p_brand"), part.where("p_size > 26 and p_brand not like '%3'").select("p_brand"), "p_brand")
+    return r.reference_diff(part.where("p_partkey % 2 = 0 and p_brand not like '%9'").select("p_brand"), part.where("p_partkey % 2 = 1 and p_brand not like '%3'").select("p_brand"), "p_brand")
 
 
 def keep_first_lines(spark, d):
@@ -390,10 +390,11 @@ ORACLE = {
         SELECT lot_id, service_id, pos FROM (SELECT *, row_number() OVER (PARTITION BY lot_id ORDER BY rank, service_id) pos
         FROM (SELECT lot_id, service_id, CASE WHEN fit = 'refit' AND svc.kind = 'refit' THEN -2 ELSE 0 END + min(CASE WHEN scope = '*' THEN 1 ELSE 0 END) rank
           FROM pk JOIN svc ON scope = '*' OR scope = slot_id GROUP BY lot_id, service_id, fit, svc.kind)) WHERE pos <= 4""",
-    "mj9_similar_lots": L + """, act AS (SELECT lot_id, slot_id, row_number() OVER (PARTITION BY slot_id ORDER BY lot_id) hr FROM lots WHERE status = 'active'),
+    "mj9_similar_lots": L + """, pk AS (SELECT * REPLACE (CASE WHEN length_cm % 11 <> 0 THEN slot_id END AS slot_id) FROM lots),
+        act AS (SELECT lot_id, slot_id, row_number() OVER (PARTITION BY slot_id ORDER BY lot_id) hr FROM pk WHERE status = 'active'),
         head AS (SELECT * FROM act WHERE hr <= 6)
         SELECT lot_id, similar_id, pos FROM (SELECT l.lot_id, h.lot_id similar_id, row_number() OVER (PARTITION BY l.lot_id ORDER BY h.lot_id) pos
-          FROM lots l JOIN head h ON h.slot_id = l.slot_id AND h.lot_id <> l.lot_id) WHERE pos <= 5""",
+          FROM pk l JOIN head h ON h.slot_id IS NOT DISTINCT FROM l.slot_id AND h.lot_id <> l.lot_id) WHERE pos <= 5""",
     "mj10_archetype_coverage": with_(LOTS, REQ_SQL) + f""", met AS (SELECT archetype_id, slot_id,
           max(CASE WHEN ({CONFLICT_SQL}) IS NULL AND fit IN ('fits', 'refit') THEN 1 ELSE 0 END) ok
         FROM lots JOIN req USING (slot_id) WHERE status = 'active' GROUP BY 1, 2),
@@ -423,7 +424,7 @@ ORACLE = {
         USING (slot_id)""",
     "st1_unified_registry": R + "SELECT direction, slot_id, cond, count(*) n, max(posted_at) newest FROM reg GROUP BY 1, 2, 3",
     "st2_vocabularies": L + """SELECT 'slot_id' field, slot_id value FROM lots UNION SELECT 'region', region FROM lots UNION SELECT 'country', country FROM lots""",
-    "st3_reference_diff": """WITH o AS (SELECT DISTINCT p_brand FROM part WHERE p_size < 25 AND p_brand NOT LIKE '%9'), n AS (SELECT DISTINCT p_brand FROM part WHERE p_size > 26 AND p_brand NOT LIKE '%3')
+    "st3_reference_diff": """WITH o AS (SELECT DISTINCT p_brand FROM part WHERE p_partkey % 2 = 0 AND p_brand NOT LIKE '%9'), n AS (SELECT DISTINCT p_brand FROM part WHERE p_partkey % 2 = 1 AND p_brand NOT LIKE '%3')
         SELECT coalesce(o.p_brand, n.p_brand) p_brand, CASE WHEN o.p_brand IS NULL THEN 'added' WHEN n.p_brand IS NULL THEN 'removed' ELSE 'kept' END change
         FROM o FULL JOIN n ON o.p_brand = n.p_brand""",
     "ag1_facets": L + """, f AS (SELECT field, value, count(*) n FROM (SELECT unnest([{'field': 'slot_id', 'value': slot_id}, {'field': 'country', 'value': country},
