@@ -22,6 +22,10 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # White space on which the two regular expression engines may differ, and the opening of special strings.
 UNSURE = re.compile("[\x1c-\x1f\x85\u1680\u180e\u2000-\u200d\u2028-\u202f\u205f-\u2064\u3000\ufeff]|<\\|")
+# The same for texts that `settled_latin` tells of: the classes of the word vocabulary there, and what is unsure.
+LATIN_WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-zªµºÀ-ÖØ-öø-\u017f]+|[0-9²³¹¼½¾]|[^\sA-Za-zªµºÀ-ÖØ-öø-\u017f0-9²³¹¼½¾]+"
+LATIN_UNSURE = ("<|", "\x1c", "\x1d", "\x1e", "\x1f", "\x85")
+BEYOND_LATIN = re.compile("[^\x00-\u012f\u0131-\u017f]")
 UNITS = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 
 
@@ -64,6 +68,11 @@ def latin(text: str) -> bool:
     return text.isascii() or (max(text) < "\u0180" and "\u0130" not in text)
 
 
+def settled_latin(text: str) -> bool:
+    """Whether the whole text is ``latin`` and holds nothing unsure."""
+    return (text.isascii() or not BEYOND_LATIN.search(text)) and not any(x in text for x in LATIN_UNSURE)
+
+
 class WordIds:
     """Ids of a whole text under a word-end vocabulary, as little-endian unsigned 32-bit integers."""
 
@@ -71,14 +80,16 @@ class WordIds:
         self.whole = Tokenizer.from_file(path)
         self.merge = self.whole.model.tokenize
         self.find = regex.compile(WORD_PATTERN).findall
-        self.parts = Bounded(self.part, limit // 2)
-        self.words = Bounded(self.word, limit)
+        self.find_latin = re.compile(LATIN_WORD_PATTERN).findall
+        self.coded = [i.to_bytes(4, "little") for i in range(self.whole.get_vocab_size())]
+        self.parts = Bounded(self.part, limit)
+        self.words = Bounded(self.word, limit // 4)
 
     def library(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def part(self, part: str) -> bytes:
-        return np.array([t.id for t in self.merge(lettered(part))], dtype="<u4").tobytes()
+        return b"".join([self.coded[t.id] for t in self.merge(lettered(part))])
 
     def word(self, word: str) -> bytes:
         if not latin(word):
@@ -86,6 +97,8 @@ class WordIds:
         return b"".join(map(self.parts.__getitem__, self.find(word.lower())))
 
     def __call__(self, text: str) -> bytes:
+        if settled_latin(text):  # its parts are the same whether words are cut off first or not
+            return b"".join(map(self.parts.__getitem__, self.find_latin(text.lower())))
         if UNSURE.search(text):
             return self.library(text)
         return b"".join(map(self.words.__getitem__, text.split()))

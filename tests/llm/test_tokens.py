@@ -41,3 +41,10 @@ def test_any_text_counts_and_encodes_as_the_library(text):
     assert COUNT(text) == len(LIBRARY.encode(text, add_special_tokens=False).ids)
     ids = WORD_LIBRARY.encode(text, add_special_tokens=False).ids
     assert IDS(text) == b"".join(i.to_bytes(4, "little") for i in ids)
+
+
+def test_every_latin_character():
+    for c in map(chr, range(0x180)):
+        text = f"a{c}b {c} {c}{c}1 It{c}s X{c}\n{c}"
+        assert IDS(text) == b"".join(i.to_bytes(4, "little") for i in WORD_LIBRARY.encode(text, add_special_tokens=False).ids), hex(ord(c))
+        assert COUNT(text) == len(LIBRARY.encode(text, add_special_tokens=False).ids), hex(ord(c))
