@@ -2,8 +2,9 @@
 
 Two histograms are compared with each language's by Jensen-Shannon distance: the shares of six character
 classes, and the shares of the language's commonest words. A text must be near one language. Short texts have
-rough histograms, so each test has a least number of words. The languages' histograms are those of the given
-table itself, over all its rows.
+rough histograms, so each test has a least number of words, and the word test's limit falls with length. The
+languages' histograms are those of the given table itself, over all its rows. A text in a language that has no
+such reference is judged by the base rules alone: it would be far from every foreign one, however good.
 """
 from __future__ import annotations
 
@@ -37,7 +38,8 @@ N_CLASSES = 6
 #: A language needs this many words to be a reference.
 REFERENCE_WORDS = 2000
 CLASS_WORDS, CLASS_LIMIT = 50, 0.26
-COMMON_WORDS_LEAST, COMMON_LIMIT = 200, 0.28
+#: Words from which each limit of the common-word distance holds. Below 100 words good texts are as far as bad ones.
+COMMON_LIMITS = [(100, 0.34), (200, 0.28)]
 
 
 def features(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -91,14 +93,14 @@ def base_failed() -> Column:
     return (r["n_words"] < MIN_WORDS) | (100 * r["n_repeat_words"] > REPEAT_PERCENT * r["n_words"])
 
 
-def references(featured: DataFrame) -> list[tuple[list[int], list[int]]]:
-    """Per language the summed class counts and common-word counts of all rows that pass the base rules. One
+def references(featured: DataFrame) -> dict[str, tuple[list[int], list[int]]]:
+    """By language the summed class counts and common-word counts of all rows that pass the base rules. One
     row per language with a word list reaches the driver, four at most."""
     r = F.col("_rules")
     bins = {"classes": N_CLASSES, "counts": len(ALL_COMMON) + 1}
     sums = [F.array(*[F.sum(r[c][i]) for i in range(n)]).alias(c) for c, n in bins.items()]
     rows = featured.where(~base_failed() & r["lang"].isin(*COMMON_WORDS)).groupBy(r["lang"].alias("lang")).agg(F.sum(r["n_words"]).alias("n"), *sums)
-    return [(row["classes"], row["counts"]) for row in sorted(rows.where(F.col("n") >= REFERENCE_WORDS).collect(), key=lambda x: x["lang"])]
+    return {row["lang"]: (row["classes"], row["counts"]) for row in sorted(rows.where(F.col("n") >= REFERENCE_WORDS).collect(), key=lambda x: x["lang"])}
 
 
 def divergence(counts: Column, total: Column, reference: list[int]) -> Column:
@@ -114,28 +116,34 @@ def divergence(counts: Column, total: Column, reference: list[int]) -> Column:
     return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda a, b: a + b) / 2, F.lit(0.0)))
 
 
-def distances(refs: list[tuple[list[int], list[int]]]) -> tuple[Column, Column]:
+def distances(refs: dict[str, tuple[list[int], list[int]]]) -> tuple[Column, Column]:
     """Least class distance and least common-word distance to any reference; null without words."""
     r = F.col("_rules")
     some = r["n_words"] > 0
-    by_class = [divergence(r["classes"], r["n_chars"].cast("double"), c) for c, _ in refs]
-    by_word = [divergence(r["counts"], r["n_words"].cast("double"), w) for _, w in refs]
+    by_class = [divergence(r["classes"], r["n_chars"].cast("double"), c) for c, _ in refs.values()]
+    by_word = [divergence(r["counts"], r["n_words"].cast("double"), w) for _, w in refs.values()]
     least = [F.when(some, F.array_min(F.array(*xs))) if xs else F.lit(None).cast("double") for xs in (by_class, by_word)]
     return least[0], least[1]
 
 
-def kept(refs: list[tuple[list[int], list[int]]]) -> Column:
-    """False where a base rule fails, or a text long enough is far from every reference. Without any
-    reference only the base rules count."""
-    n = F.col("_rules")["n_words"]
+def kept(refs: dict[str, tuple[list[int], list[int]]]) -> Column:
+    """False where a base rule fails, or a text long enough is far from every reference. The distances count
+    for texts of the references' languages and of unknown (null) language; a text of another language, or any
+    text where there is no reference, is judged by the base rules alone."""
+    if not refs:
+        return ~base_failed()
+    r = F.col("_rules")
     by_class, by_word = distances(refs)
-    far = ((n >= CLASS_WORDS) & (by_class > CLASS_LIMIT)) | ((n >= COMMON_WORDS_LEAST) & (by_word > COMMON_LIMIT))
-    return ~base_failed() & ~F.coalesce(far, F.lit(False))
+    far = (r["n_words"] >= CLASS_WORDS) & (by_class > CLASS_LIMIT)
+    for least, limit in COMMON_LIMITS:
+        far = far | ((r["n_words"] >= least) & (by_word > limit))
+    return ~base_failed() & ~F.coalesce(far & (r["lang"].isNull() | r["lang"].isin(*refs)), F.lit(False))
 
 
 def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """``(key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept)`` per row.
-    A null text is a text without words; a null language adds to no reference. No rows give no rows."""
+    A null text is a text without words; a null language adds to no reference, and its text must be near one of
+    them. No rows give no rows."""
     slim = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     featured = written(features(slim).select("key", "_rules"), "features")
     verdict = kept(references(featured))

@@ -1,4 +1,5 @@
 import math
+import random
 import re
 from collections import Counter
 
@@ -47,14 +48,16 @@ def verdicts(docs):
             s = sums.setdefault(lang, [[0] * rules.N_CLASSES, [0] * (len(rules.ALL_COMMON) + 1)])
             for have, add in zip(s, histograms(text)):
                 have[:] = map(sum, zip(have, add))
-    refs = [s for s in sums.values() if sum(s[1]) >= rules.REFERENCE_WORDS]
+    refs = {lang: s for lang, s in sums.items() if sum(s[1]) >= rules.REFERENCE_WORDS}
     out = []
-    for (key, text, _), c in zip(docs, base):
+    for (key, text, lang), c in zip(docs, base):
         h, far = histograms(text), False
-        if refs and c[0] >= rules.CLASS_WORDS:
-            far = min(distance(h[0], r[0]) for r in refs) > rules.CLASS_LIMIT
-        if refs and c[0] >= rules.COMMON_WORDS_LEAST:
-            far = far or min(distance(h[1], r[1]) for r in refs) > rules.COMMON_LIMIT
+        judged = refs and (lang is None or lang in refs)
+        if judged and c[0] >= rules.CLASS_WORDS:
+            far = min(distance(h[0], r[0]) for r in refs.values()) > rules.CLASS_LIMIT
+        limits = [limit for least, limit in rules.COMMON_LIMITS if c[0] >= least]
+        if judged and limits:
+            far = far or min(distance(h[1], r[1]) for r in refs.values()) > min(limits)
         out.append((key, *c, base_failed(c), not base_failed(c) and not far))
     return sorted(out, key=repr)
 
@@ -81,5 +84,15 @@ def test_far_text_goes(spark):
     assert found == {i: i < 100 for i in found}
 
 
+def test_language_without_reference_stays(spark):
+    """A language that has no word list is held against no foreign one; an unknown one is, and so is junk."""
+    rng = random.Random(7)
+    russian = " ".join("".join(rng.choice("аеиостнрвлкмдпу") for _ in range(rng.randint(2, 9))) for _ in range(300))
+    docs = [(i, prose(i, 400), "en") for i in range(12)] + [(20, russian, "ru"), (21, russian[:900], "ru"), (22, russian, None), (23, russian, "en"), (24, "слово " * 300, "ru"), (25, russian[:900], "en"), (26, russian[:400], "en")]
+    found = as_rows(rules.judge(spark.createDataFrame([(*r, None, None) for r in docs], edge_docs(spark).schema)))
+    assert found == verdicts(docs)
+    assert {r[0]: r[-1] for r in found} == {**{i: True for i in range(12)}, 20: True, 21: True, 22: False, 23: False, 24: False, 25: False, 26: True}
+
+
 def test_query(spark, sf):
     assert as_rows(queries.op3_quality_rules(spark, sf)) == verdicts(given(sf, columns="doc_id, text, lang"))
