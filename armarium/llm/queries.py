@@ -10,6 +10,8 @@ from .common import table
 WORD_VOCABULARY = "word_bpe_49k.json"
 BYTE_VOCABULARY = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
+#: Bytes of a shard in the bound query: the given tables exceed it many times, and none of their documents does.
+SHARD_BYTES = 256 << 10
 # --- fixed values: host and path rules ---------------------------------------------------------
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
@@ -40,7 +42,7 @@ def op7_simhash(spark, d):
 
 
 def op6_sharding(spark, d):
-    return shards.with_sizes(shards.assign(table(spark, d, "documents"))).select(F.col("key").alias("doc_id"), "n_bytes", "depth", "shard_id", "shard_bytes")
+    return shards.with_sizes(shards.assign(table(spark, d, "documents"), SHARD_BYTES)).select(F.col("key").alias("doc_id"), "n_bytes", "depth", "shard_id", "shard_bytes")
 
 
 def op8_url_filters(spark, d):
@@ -89,7 +91,7 @@ ORACLE = {
         g AS (SELECT x, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY 1)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(x) AS text_sha256 FROM t JOIN g USING (x)""",
     "op6_sharding": f"""WITH t AS (SELECT doc_id, strlen(coalesce(text, '')) AS n_bytes, ('0x' || substr(md5(doc_id::VARCHAR || ':' || coalesce(text, '')), 1, 10))::BIGINT AS h FROM documents),
-        lv AS (SELECT d, h >> (40 - d) AS p, sum(n_bytes) AS b FROM t, range(0, 25) r(d) WHERE n_bytes <= {shards.SHARD_BYTES} GROUP BY 1, 2),
-        lf AS (SELECT a.* FROM lv a LEFT JOIN lv u ON u.d = a.d - 1 AND u.p = a.p >> 1 WHERE a.b <= {shards.SHARD_BYTES} AND (u.b IS NULL OR u.b > {shards.SHARD_BYTES}))
+        lv AS (SELECT d, h >> (40 - d) AS p, sum(n_bytes) AS b FROM t, range(0, 25) r(d) WHERE n_bytes <= {SHARD_BYTES} GROUP BY 1, 2),
+        lf AS (SELECT a.* FROM lv a LEFT JOIN lv u ON u.d = a.d - 1 AND u.p = a.p >> 1 WHERE a.b <= {SHARD_BYTES} AND (u.b IS NULL OR u.b > {SHARD_BYTES}))
         SELECT doc_id, n_bytes, d::INT AS depth, CASE WHEN d = 0 THEN '' ELSE lpad(bin(p), d::INT, '0') END AS shard_id, b::BIGINT AS shard_bytes FROM t JOIN lf ON h >> (40 - d) = p""",
 }

@@ -57,5 +57,9 @@ def test_files(spark, tmp_path):
 
 
 def test_query(spark, sf):
+    """Whole documents in more than one shard, none above the bound limit."""
+    rows = [(r[0], r[1]) for r in given(sf)]
     got = queries.op6_sharding(spark, sf).collect()
-    assert {(r["depth"], r["shard_id"]) for r in got} == {(0, "")} and len(got) == len(given(sf))
+    want = {(k, n, len(p), p, sum(r[1] for r in own)) for p, own in brute(rows, queries.SHARD_BYTES) for _, n, k in own}
+    assert {(r["doc_id"], r["n_bytes"], r["depth"], r["shard_id"], r["shard_bytes"]) for r in got} == want
+    assert len(got) == len(rows) and len({r["shard_id"] for r in got}) > 1
