@@ -2,6 +2,7 @@
 from pyspark.sql import functions as F
 
 from armarium.operators import dedup as dd
+from armarium.operators import match as m
 
 
 def test_keys_of_near_pairs_are_not_broadcast(spark):
@@ -18,3 +19,17 @@ def test_keys_of_near_pairs_are_not_broadcast(spark):
         rows = [tuple(r) for r in pairs.collect()]
         assert len(rows) == len(brute) and set(rows) == brute
         assert "BroadcastExchange" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
+def test_specs_whose_words_are_common_read_no_other_words(spark):
+    """Sixteen sets of words with 60 offers each: where 20 offers in budget have all words, no others are read."""
+    offers = spark.range(960).select(
+        F.col("id").alias("offer_id"), F.lit("s").alias("slot_id"), F.concat(F.lit("colour"), F.chr(97 + F.col("id") % 4), F.lit(" thing"), F.chr(97 + F.floor(F.col("id") / 4) % 4)).alias("title"),
+        (F.col("id") % 7 + 1).cast("double").alias("price"), F.lit("C").alias("country"), F.lit("new").alias("cond"), F.lit("active").alias("status"), F.lit(None).cast("double").alias("length_cm"))
+    wants = spark.createDataFrame([(1, "s", "C", 100.0, None, None, None, "coloura thingb"), (2, "s", "C", None, "new", None, None, "colourd thingd")], "want_id int, slot_id string, country string, budget double, cond string, lo double, hi double, title string")
+    specs, pool = m.specs_from_wants(wants), m.offer_pool(offers, ["length_cm"], open_ended=True)
+    read = m.read_pairs(specs, pool, ["length_cm"], 20).collect()
+    assert {(r["spec_id"], r["n_hits"]) for r in read} == {(1, 2), (2, 2)} and len(read) <= 120
+    full = m.top_k(m.scored_pairs(specs, pool, ["length_cm"]).select("spec_id", "offer_id", "score"), ["spec_id"], [F.col("score").desc(), F.col("offer_id").desc()], 20, rank="rank")
+    best = m.best_matches(specs, pool, ["length_cm"])
+    assert {tuple(r) for r in best.select("spec_id", "offer_id", "rank", "score").collect()} == {tuple(r) for r in full.select("spec_id", "offer_id", "rank", "score").collect()}
