@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from armarium.operators import dedup as dd
 from armarium.operators import match as m
+from armarium.operators import pair_counts
 
 
 def test_keys_of_near_pairs_are_not_broadcast(spark):
@@ -33,3 +34,26 @@ def test_specs_whose_words_are_common_read_no_other_words(spark):
     full = m.top_k(m.scored_pairs(specs, pool, ["length_cm"]).select("spec_id", "offer_id", "score"), ["spec_id"], [F.col("score").desc(), F.col("offer_id").desc()], 20, rank="rank")
     best = m.best_matches(specs, pool, ["length_cm"])
     assert {tuple(r) for r in best.select("spec_id", "offer_id", "rank", "score").collect()} == {tuple(r) for r in full.select("spec_id", "offer_id", "rank", "score").collect()}
+
+
+def test_score_distribution_counts_pairs_without_forming_them(spark, monkeypatch):
+    """Blocks of 8 specs and parts of 64 offers; nulls, negative caps and open countries among them."""
+    monkeypatch.setattr(pair_counts, "SPECS", 8)
+    monkeypatch.setattr(pair_counts, "OFFERS", 64)
+    monkeypatch.setattr(pair_counts, "AT_ONCE", 16)
+    i = F.col("id")
+    offers = spark.range(400).select(
+        i.alias("offer_id"), F.when(i % 5 < 4, "s").otherwise("t").alias("slot_id"), F.concat(F.lit("word"), F.chr(97 + i % 3), F.lit(" thing"), F.chr(97 + i % 2)).alias("title"),
+        F.when(i % 9 > 0, (i % 13 * 10).cast("double")).alias("price"), F.when(i % 4 > 0, "C").otherwise("D").alias("country"),
+        F.element_at(F.array(F.lit("new"), F.lit("used"), F.lit("unknown"), F.lit(None)), (i % 4 + 1).cast("int")).alias("cond"), F.lit("active").alias("status"), F.when(i % 6 > 0, (i % 11).cast("double")).alias("length_cm"))
+    wants = spark.range(60).select(
+        i.alias("want_id"), F.when(i % 7 < 5, "s").otherwise("t").alias("slot_id"), F.when(i % 3 > 0, "C").alias("country"), F.when(i % 5 > 0, i * 3 - 20.0).alias("budget"),
+        F.element_at(F.array(F.lit("new"), F.lit("any"), F.lit(None)), (i % 3 + 1).cast("int")).alias("cond"), F.when(i % 4 > 0, (i % 8).cast("double")).alias("lo"), F.when(i % 4 > 0, i % 8 + 3.0).alias("hi"),
+        F.when(i % 6 > 0, F.concat(F.lit("worda thing"), F.chr(97 + i % 3))).otherwise("").alias("title"))
+    specs, pool = m.specs_from_wants(wants), m.offer_pool(offers, ["length_cm"], open_ended=True)
+    each = m.scored_pairs(specs, pool, ["length_cm"]).select("spec_id", "score", m.reasons_struct(["length_cm"]).alias("r")).select("spec_id", "score", "r.budget", "r.condition", "r.size", "r.words")
+    brute = each.groupBy("score", "budget", "condition", "size", "words").agg(F.count(F.lit(1)).alias("n_pairs"), F.countDistinct("spec_id").alias("n_wants"))
+    got = m.score_distribution(specs, pool, ["length_cm"])
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) > 50 and sorted(map(repr, rows)) == sorted(repr(tuple(r)) for r in brute.select(got.columns).collect())
+    assert "array_intersect" not in got._jdf.queryExecution().optimizedPlan().toString()
