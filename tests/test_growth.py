@@ -57,3 +57,8 @@ def test_score_distribution_counts_pairs_without_forming_them(spark, monkeypatch
     rows = [tuple(r) for r in got.collect()]
     assert len(rows) > 50 and sorted(map(repr, rows)) == sorted(repr(tuple(r)) for r in brute.select(got.columns).collect())
     assert "array_intersect" not in got._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(m, "read_pairs", lambda *a: 1 / 0)  # best matches form no pairs either
+    twice = specs.unionByName(specs.where("spec_id % 10 = 0").withColumn("want_slot", F.when(F.col("want_slot") == "s", "t").otherwise("s")))
+    full = m.top_k(m.scored_pairs(twice, pool, ["length_cm"]).where("score >= 0.5").select("spec_id", "offer_id", "score"), ["spec_id"], [F.col("score").desc(), F.col("offer_id").desc()], 20, rank="rank")
+    best = m.best_matches(twice, pool, ["length_cm"]).select("spec_id", "offer_id", "rank", "score").collect()
+    assert len(best) > 500 and {tuple(r) for r in best} == {tuple(r) for r in full.select("spec_id", "offer_id", "rank", "score").collect()}
