@@ -51,6 +51,7 @@ def stored_dedup(spark, d):
 def exact_copies(spark, d):
     """Texts equal after normalisation point to their first document."""
     s = dd.shingles(docs(spark, d)).where("shingles is not null").select("doc_id", F.md5(F.array_join("shingles", " ")).alias("h"))
+    s = dd.cut_lineage(s)  # read twice below
     firsts = s.groupBy("h").agg(F.min("doc_id").alias("original"), F.count(F.lit(1)).alias("n")).where("n > 1")
     return s.join(firsts, "h").where("doc_id <> original").select("doc_id", "original")
 

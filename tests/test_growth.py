@@ -1,9 +1,13 @@
 """What grows with the tables: joins that must not go through the driver, and exact forms of bounded work."""
 from pyspark.sql import functions as F
 
+from armarium.constants import INCLUDED_ACCESSORY_PATTERN
+from armarium.functions import text as tx
 from armarium.operators import dedup as dd
 from armarium.operators import match as m
 from armarium.operators import pair_counts
+from armarium.operators import vocab as vb
+from armarium.plans import duplicates
 
 
 def test_keys_of_near_pairs_are_not_broadcast(spark):
@@ -62,3 +66,46 @@ def test_score_distribution_counts_pairs_without_forming_them(spark, monkeypatch
     full = m.top_k(m.scored_pairs(twice, pool, ["length_cm"]).where("score >= 0.5").select("spec_id", "offer_id", "score"), ["spec_id"], [F.col("score").desc(), F.col("offer_id").desc()], 20, rank="rank")
     best = m.best_matches(twice, pool, ["length_cm"]).select("spec_id", "offer_id", "rank", "score").collect()
     assert len(best) > 500 and {tuple(r) for r in best} == {tuple(r) for r in full.select("spec_id", "offer_id", "rank", "score").collect()}
+
+
+def test_word_pairs_travel_to_python_one_a_row(spark):
+    """A batch of rows is a batch of word pairs, however long the texts are; lengths from one to beyond 64 bytes."""
+    texts = [(i, " ".join(f"w{(i * j) % 17}{'x' * (j % 70)}" for j in range(5 + 40 * i))) for i in range(6)]
+    docs = spark.createDataFrame(texts, "id int, text string")
+    got = dd.fnv_fingerprints(docs, "id")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode" in plan[plan.index("ArrowEvalPython"):]
+    want = {}
+    for r in dd.shingles(docs).where("shingles is not null").collect():
+        hashes = []
+        for s in r["shingles"]:
+            h = dd.FNV_OFFSET
+            for b in s.encode():
+                h = (h ^ b) * dd.FNV_PRIME % (1 << 64)
+            hashes.append(h)
+        want[r["id"]] = dd._signed(sum(1 << i for i in range(64) if 2 * sum(h >> i & 1 for h in hashes) > len(hashes)))
+    assert len(want) == 5 and {r["id"]: r["fp"] for r in got.collect()} == want
+
+
+def test_exact_copies_make_their_shingles_once(spark, sf):
+    assert "FileScan" not in duplicates.exact_copies(spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cheap_tests_before_patterns_change_nothing(spark):
+    """All characters that a pattern takes for a letter of the word lists without regard to case are known."""
+    letters = sorted(set("".join(vb.HEADS + vb.INCLUDED_ACCESSORIES) + "abcdefghijklmnopqrstuvwxyzäöüßéабвгдеёжзийклмнопрстуфхцчшщъыьэюя"))
+    chars = spark.range(1, 0x10000).where("id < 55296 or id > 57343").select(F.decode(F.unhex(F.lpad(F.hex("id"), 4, "0")), "UTF-16BE").alias("c"))
+    odd = F.lit(False)
+    for x in letters:
+        odd = odd | (F.col("c").rlike(f"(?iuU)^{x}$") & (F.lower("c") != x))
+    assert {r["c"] for r in chars.where(odd).collect()} <= set(tx.ODD_CASES)
+    texts = ["Elfenschwert, Langschwerter und RUNDSCHILDE", "Larpſchild Holzſtab", "LARPSCHİLD", "schild allein", "Meister des Maskenhandschuhs", "Bogen mit Gürtel, Sword WITH  Sheath", "с ножнами", "during the shutting", "", None, "xxringes xxstaben xxhüte"]
+    d = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
+    plain = F.regexp_replace(F.coalesce("t", F.lit("")), tx.rx(INCLUDED_ACCESSORY_PATTERN), " ")
+    slots = F.create_map(*[F.lit(x) for kv in dict(vb.COMPOUND_HEADS).items() for x in kv])
+    heads = F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce("t", F.lit("")), F.lit(tx.rx(vb.COMPOUND_PATTERN)), F.lit(1)), lambda h: F.try_element_at(slots, F.lower(h))))
+    rows = d.select("t", vb.compound_slots(F.col("t")).alias("a"), heads.alias("b"), vb.without_accessories(F.col("t")).alias("c"), plain.alias("d")).collect()
+    assert all(r["a"] == r["b"] and r["c"] == r["d"] for r in rows) and sum(bool(r["a"]) for r in rows) >= 4
+    # a text of one line is its own head and is read once
+    one = vb.best_slot(spark.createDataFrame([("larp thing", "larp thing"), ("thing", "thing\nlangschwert")], "title string, text string"), "title", None, "text")
+    assert [(r["slot_id"], r["slot_confidence"]) for r in one.collect()][1] == ("sword_1h", 0.3)
