@@ -8,7 +8,7 @@ from ..constants import (
     PAY_WINDOW, PAY_WORD_PATTERN, PRICE_CURRENCY_PATTERNS, PRICE_GROSS_PATTERN, PRICE_NET_PATTERN,
     PRICE_PERIOD_PATTERNS,
 )
-from .text import has, rx, settled
+from .text import has, may_hold, rx, settled
 
 # --- fixed values: number forms --------------------------------------------------------------
 NUMBER = r"\d[\d\s.,]*"
@@ -19,6 +19,10 @@ UP_TO = rf"(?:до|up\s*to|under|не\s+более)\s*({NUMBER})\s*({MULTIPLIER}
 FROM = rf"(?:от|from)\s*({NUMBER})\s*({MULTIPLIER})?"
 BARE = rf"({FREE_NUMBER})\s*({MULTIPLIER})?"
 
+#: Every match of the currency patterns, and of the patterns of the basis, has one of these.
+CURRENCY_LETTERS = ["₽", "руб", "rub", "rur", "$", "usd", "доллар", "€", "eur", "евро", "₸", "kzt", "тенге", "£", "gbp", "фунт"]
+BASIS_LETTERS = ["руки", "чист", "net", "налог", "tax", "gross", "вычет", "гросс", "грязными"]
+
 
 def first_of(text: Column, table: list[tuple[str, str]]) -> Column:
     return F.coalesce(*[F.when(has(text, pattern), name) for name, pattern in table])
@@ -46,8 +50,8 @@ def parse_price(df: DataFrame, text: str, free_text: bool = False) -> DataFrame:
 
     found = settled(df, {
         "_range": match(RANGE), "_upto": match(UP_TO), "_from": match(FROM), "_bare": match(BARE),
-        "_currency": first_of(t, PRICE_CURRENCY_PATTERNS), "_period": first_of(t, PRICE_PERIOD_PATTERNS),
-        "_basis": F.when(has(t, PRICE_NET_PATTERN), "net").when(has(t, PRICE_GROSS_PATTERN), "gross"),
+        "_currency": F.when(may_hold(t, CURRENCY_LETTERS), first_of(t, PRICE_CURRENCY_PATTERNS)), "_period": first_of(t, PRICE_PERIOD_PATTERNS),
+        "_basis": F.when(may_hold(t, BASIS_LETTERS), F.when(has(t, PRICE_NET_PATTERN), "net").when(has(t, PRICE_GROSS_PATTERN), "gross")),
         "_at": (F.regexp_instr(t, F.lit(rx(FREE_NUMBER))) - 1) if free_text else F.lit(0)})
 
     def group(form: str, pattern: str, i: int) -> Column:

@@ -1,7 +1,8 @@
 """What grows with the tables: joins that must not go through the driver, and exact forms of bounded work."""
 from pyspark.sql import functions as F
 
-from armarium.constants import INCLUDED_ACCESSORY_PATTERN
+from armarium.constants import INCLUDED_ACCESSORY_PATTERN, PRICE_CURRENCY_PATTERNS, PRICE_GROSS_PATTERN, PRICE_NET_PATTERN
+from armarium.functions import price as pr
 from armarium.functions import text as tx
 from armarium.operators import dedup as dd
 from armarium.operators import match as m
@@ -109,3 +110,10 @@ def test_cheap_tests_before_patterns_change_nothing(spark):
     # a text of one line is its own head and is read once
     one = vb.best_slot(spark.createDataFrame([("larp thing", "larp thing"), ("thing", "thing\nlangschwert")], "title string, text string"), "title", None, "text")
     assert [(r["slot_id"], r["slot_confidence"]) for r in one.collect()][1] == ("sword_1h", 0.3)
+
+
+def test_letters_of_currencies_and_bases_cover_their_patterns(spark):
+    texts = ["10 000 руб", "10 RUB", "5 rur", "$5", "5 UſD", "доллар", "5 EUR", "евро", "₸", "kzt", "тенге", "£", "GBP", "фунт", "на руки", "чистыми", "net", "после налогов", "after TAX", "GROSS", "до вычета", "гросс", "грязными", "before tax", "nothing", ""]
+    d = spark.createDataFrame([(t,) for t in texts], "t string").withColumns({"c": pr.first_of(F.col("t"), PRICE_CURRENCY_PATTERNS), "b": tx.has(F.col("t"), PRICE_NET_PATTERN) | tx.has(F.col("t"), PRICE_GROSS_PATTERN)})
+    rows = d.select("*", tx.may_hold(F.col("t"), pr.CURRENCY_LETTERS).alias("mc"), tx.may_hold(F.col("t"), pr.BASIS_LETTERS).alias("mb")).collect()
+    assert all(r["mc"] or r["c"] is None for r in rows) and all(r["mb"] or not r["b"] for r in rows) and not rows[-2]["mc"] and not rows[-2]["mb"]
