@@ -151,29 +151,34 @@ def subscription_counts(subs: DataFrame, lots: DataFrame, seen: DataFrame) -> Da
 
 #: Parts of a saved filter that a lot must equal, and the lot's columns.
 EQUAL_PARTS = {"slot": "slot_id", "region": "region", "sub_cond": "cond", "country": "country", "source": "source_id", "maker": "maker"}
+KEY_PARTS = {"view": "direction", **{part: f"lot_{column}" for part, column in EQUAL_PARTS.items()}}
 GRAM = 3
-#: Lots of one probe that are compared together; a probe that more lots answer is dealt in parts.
-PROBED = 1 << 16
-
-
-def _probe(kind: str, value: Column) -> Column:
-    return F.struct(F.lit(kind).alias("kind"), value.cast("string").alias("value"))
+#: Filters of one key that are compared with each of its lots; of more, those with words are found through the words.
+CROWD = 1 << 8
+#: Filters that every task may hold; more are joined with the lots by a shuffle.
+HELD = 1 << 17
 
 
 def _grams(text: Column) -> Column:
     return F.when(F.length(text) >= GRAM, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - GRAM + 1), lambda i: F.substr(text, i, F.lit(GRAM)))))
 
 
+def _named(part: str) -> Column:
+    """The value that a lot must equal; null if the filter leaves it open."""
+    value = F.col(part).cast("string")
+    return F.when(~value.isin("", "all") if part == "view" else value != "", value)
+
+
 def filter_passes() -> Column:
     """All parts of a saved filter over a pair of filter and lot (columns ``lot_*`` where the names are equal).
-    A part that is null or empty passes everything."""
+    A part that is null or empty passes everything; words are in lower case."""
     def any_or(part: str, test: Column) -> Column:
         return F.col(part).isNull() | (F.col(part).cast("string") == "") | F.coalesce(test, F.lit(False))
 
     conflict, _ = period_conflict(F.col("year_from"), F.col("year_to"), F.col("arch_from"), F.col("arch_to"), service=F.col("direction") == "service")
     out = any_or("view", (F.col("view") == "all") | (F.col("direction") == F.col("view")))
     out = out & (~F.coalesce("hide_stale", F.lit(False)) | F.coalesce(F.col("status") == "active", F.lit(False)))
-    out = out & any_or("q", F.contains("haystack", F.lower("q")))
+    out = out & any_or("q", F.contains("haystack", "q"))
     for part, column in EQUAL_PARTS.items():
         out = out & any_or(part, F.col(f"lot_{column}") == F.col(part))
     out = out & any_or("century", century_overlaps(F.col("year_from"), F.col("year_to"), F.col("century")))
@@ -182,36 +187,46 @@ def filter_passes() -> Column:
     return out & (~F.coalesce("no_conflict", F.lit(False)) | conflict.isNull())
 
 
-def saved_filter_counts(subs: DataFrame, lots: DataFrame, seen: DataFrame, probed: int = PROBED) -> DataFrame:
+def keyed_filters(subs: DataFrame, crowd: int) -> DataFrame:
+    """Filters with their key ``k``: which parts they name (``mask``) and the values there. Where more than
+    ``crowd`` filters have one key, each of them with words also names those three characters of its words that
+    the fewest of them have (``gram``, else empty)."""
+    mask = sum((F.when(_named(p).isNotNull(), 1 << i).otherwise(0) for i, p in enumerate(KEY_PARTS)), F.lit(0))
+    keyed = cut_lineage(subs.withColumns({"q": F.lower("q"), "mask": mask}).withColumn("k", F.xxhash64("mask", *[_named(p) for p in KEY_PARTS])))
+    crowded = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd)
+    grams = keyed.join(crowded, "k", "left_semi").select("sub_id", "k", F.explode(_grams(F.col("q"))).alias("gram"))
+    rarest = grams.join(grams.groupBy("k", "gram").agg(F.count(F.lit(1)).alias("n")), ["k", "gram"]).groupBy("sub_id").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    return cut_lineage(keyed.join(rarest, "sub_id", "left").fillna("", ["gram"]))
+
+
+def saved_filter_counts(subs: DataFrame, lots: DataFrame, seen: DataFrame, crowd: int = CROWD) -> DataFrame:
     """Lots passing each saved filter of up to thirteen parts, and the fresh unseen ones.
 
-    A filter is found through one probe, something that a lot must have: a value it must equal, a century, or
-    three characters of its words; the one that the fewest lots answer. A filter with none of these must look at
-    all lots. Only probes that filters name are counted; one that many lots answer is dealt in parts, so no key
-    holds more than a bounded number of lots. Each pair is compared once, with all parts.
+    A lot finds the filters that may pass it by all values they name at once: it has one key for each set of
+    parts that some filter names, of 128 at most. Only where many filters share a key is the lot's text cut to
+    find those with words. Each pair that meets is compared with all parts. Lots are read once and stay where
+    they are; what is shuffled is the ids of the pairs that pass, to meet the lots seen.
     """
-    q = F.lower("q")
-    named = [F.when(F.col(p) != "", _probe(p, F.col(p))) for p in EQUAL_PARTS] + [F.when(F.col("century").isNotNull(), _probe("century", F.col("century")))]
-    grams = F.coalesce(F.transform(_grams(q), lambda g: _probe("gram", g)), F.array().cast("array<struct<kind: string, value: string>>"))
-    wanted = F.filter(F.concat(F.array(*named), grams), lambda p: p.isNotNull())
-    asked = cut_lineage(subs.select("sub_id", F.explode(F.when(F.size(wanted) > 0, wanted).otherwise(F.array(_probe("open", F.lit(""))))).alias("p")).select("sub_id", "p.*"))
-
-    centuries = F.when(F.col("year_from") <= F.col("year_to"), F.sequence(F.floor(F.col("year_from") / 100) + 1, F.greatest(F.ceil(F.col("year_to") / 100), F.floor(F.col("year_from") / 100) + 1)))
-    none = F.array().cast("array<struct<kind: string, value: string>>")
-    has = F.concat(F.array(_probe("open", F.lit("")), *[_probe(p, F.col(c)) for p, c in EQUAL_PARTS.items()]),
-                   F.coalesce(F.transform(centuries, lambda c: _probe("century", c)), none), F.coalesce(F.transform(_grams(F.col("haystack")), lambda g: _probe("gram", g)), none))
-    answers = lots.select("lot_id", F.explode(has).alias("p")).select("lot_id", "p.*").where("value is not null")
-    answers = cut_lineage(answers.join(asked.select("kind", "value").distinct(), ["kind", "value"], "left_semi"))
-    counts = cut_lineage(answers.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n")))
-    best = asked.join(counts, ["kind", "value"], "left").groupBy("sub_id").agg(F.min_by(F.struct("kind", "value"), F.struct(F.coalesce("n", F.lit(0)), "kind", "value")).alias("p"))
-    best = cut_lineage(best.select("sub_id", "p.*"))
-
-    parts = F.ceil(F.col("n") / probed)
-    chosen = best.join(counts, ["kind", "value"]).select("sub_id", "kind", "value", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("part"))
-    dealt = answers.join(best.select("kind", "value").distinct(), ["kind", "value"], "left_semi").join(counts, ["kind", "value"]).select("lot_id", "kind", "value", F.pmod(F.xxhash64("lot_id"), parts).alias("part"))
-    marked = lots.select(*[F.col(c).alias(f"lot_{c}" if c in EQUAL_PARTS.values() else c) for c in lots.columns]).join(seen.select("lot_id", F.lit(True).alias("_seen")), "lot_id", "left")
-    pairs = dealt.join(chosen, ["kind", "value", "part"]).join(subs, "sub_id").join(marked, "lot_id").where(filter_passes())
-    found = pairs.groupBy("sub_id").agg(F.count(F.lit(1)).alias("total"), F.count_if((F.col("posted_at") > F.col("created_at")) & F.col("_seen").isNull()).alias("fresh"))
+    asked = keyed_filters(subs, crowd)
+    kinds = asked.groupBy("mask").agg(F.max(F.col("gram") != "").alias("cut")).collect()
+    few = asked.limit(HELD + 1).count() <= HELD
+
+    def side(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if few else df
+
+    wide = lots.select(*[F.col(c).alias(f"lot_{c}" if c in EQUAL_PARTS.values() else c) for c in lots.columns])
+    absent = F.lit(None).cast("string")
+    keys = [F.xxhash64(F.lit(r["mask"]), *[F.col(c).cast("string") if r["mask"] >> i & 1 else absent for i, c in enumerate(KEY_PARTS.values())]) for r in kinds]
+    wide = wide.withColumn("k", F.explode(F.array(*keys).cast("array<bigint>")))
+    on = ["k"]
+    if any(r["cut"] for r in kinds):
+        cut = asked.where("gram <> ''").select("k", F.lit(True).alias("_cut")).distinct()
+        whole = F.array(F.lit(""))
+        pieces = F.when(F.col("_cut"), F.concat(whole, F.coalesce(_grams(F.col("haystack")), F.array().cast("array<string>")))).otherwise(whole)
+        wide, on = wide.join(side(cut), "k", "left").withColumn("gram", F.explode(pieces)), ["k", "gram"]
+    pairs = wide.join(side(asked), on).where(filter_passes()).select("sub_id", "lot_id", (F.col("posted_at") > F.col("created_at")).alias("_new"))
+    found = pairs.join(seen.select("lot_id", F.lit(True).alias("_seen")), "lot_id", "left").groupBy("sub_id").agg(
+        F.count(F.lit(1)).alias("total"), F.count_if(F.col("_new") & F.col("_seen").isNull()).alias("fresh"))
     return subs.select("sub_id").join(found, "sub_id", "left").select("sub_id", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("fresh", F.lit(0)).alias("fresh"))
 
 

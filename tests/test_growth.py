@@ -117,3 +117,38 @@ def test_letters_of_currencies_and_bases_cover_their_patterns(spark):
     d = spark.createDataFrame([(t,) for t in texts], "t string").withColumns({"c": pr.first_of(F.col("t"), PRICE_CURRENCY_PATTERNS), "b": tx.has(F.col("t"), PRICE_NET_PATTERN) | tx.has(F.col("t"), PRICE_GROSS_PATTERN)})
     rows = d.select("*", tx.may_hold(F.col("t"), pr.CURRENCY_LETTERS).alias("mc"), tx.may_hold(F.col("t"), pr.BASIS_LETTERS).alias("mb")).collect()
     assert all(r["mc"] or r["c"] is None for r in rows) and all(r["mb"] or not r["b"] for r in rows) and not rows[-2]["mc"] and not rows[-2]["mb"]
+
+
+def test_saved_filters_read_each_lot_once(spark, monkeypatch):
+    """Few filters, or crowds of one key found by their words; held by every task or joined by a shuffle."""
+    from armarium.operators import registry
+    n, words = 500, ["red sword", "oak shield", "swordfish", "ab", ""]
+    i = F.col("id")
+    lots = spark.range(n).select(
+        i.alias("lot_id"), F.when(i % 7 < 5, "offer").otherwise("want").alias("direction"), F.when(i % 3 > 0, "active").otherwise("stale").alias("status"), F.element_at(F.array(*map(F.lit, words)), (i % 5 + 1).cast("int")).alias("haystack"),
+        F.when(i % 4 > 0, "s1").alias("slot_id"), *[F.lit(None).cast("string").alias(c) for c in ("region", "cond", "country", "source_id", "maker")], *[F.lit(None).cast("int").alias(c) for c in ("year_from", "year_to")],
+        F.lit(1.0).alias("price"), F.lit("fits").alias("fit"), F.timestamp_seconds(i).alias("posted_at"))
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    asked = [(k, "Sword" if k % 4 == 0 else "oak s" if k % 4 == 1 else "b" if k % 4 == 2 else None, "want" if k % 3 == 0 else "all", "s1" if k % 2 else "") for k in range(120)]
+    subs = spark.createDataFrame(asked, "sub_id int, q string, view string, slot string").withColumns({
+        "hide_stale": F.lit(True), "fit_only": F.lit(True), "no_conflict": F.lit(False), "price_max": F.lit(2.0), "created_at": F.timestamp_seconds(F.lit(100)),
+        **{c: F.lit(None).cast("string") for c in ("region", "sub_cond", "country", "source", "maker")}, **{c: F.lit(None).cast("int") for c in ("century", "arch_from", "arch_to")}})
+    seen = spark.range(0, n, 2).select(i.alias("lot_id"))
+    rows = [(r["lot_id"], r["direction"], r["haystack"], r["slot_id"]) for r in lots.where("status = 'active'").collect()]
+    want = {}
+    for k, q, view, slot in asked:
+        hits = [l for l, d, h, s in rows if (q is None or q.lower() in h) and view in ("all", d) and slot in ("", s)]
+        want[k] = (len(hits), sum(l > 100 and l % 2 for l in hits))
+    assert len(set(want.values())) == 8
+    for crowd, held in ((1 << 16, 1 << 17), (3, 1 << 17), (3, 0)):
+        monkeypatch.setattr(registry, "HELD", held, raising=False)
+        before = read.value
+        counts = registry.saved_filter_counts(subs, lots.mapInPandas(counted, lots.schema), seen, crowd)
+        assert {r["sub_id"]: (r["total"], r["fresh"]) for r in counts.collect()} == want
+        assert read.value - before == n
