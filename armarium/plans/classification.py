@@ -113,11 +113,11 @@ def alias_matches(spark, d):
 
 
 def guarded(spark, d):
-    """Guarded matches over documents and trap sentences, one sentence per order."""
-    traps = v.table(spark, d, "orders").select((F.col("o_orderkey") + 1000000000).alias("item_id"), pick(TRAP_TEXTS, F.col("o_orderkey")).alias("text"))
-    docs = v.table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), "text")
+    """Guarded matches over documents and trap sentences, one sentence per order; equal sentences are matched once."""
+    traps = v.table(spark, d, "orders").groupBy(pick(TRAP_TEXTS, F.col("o_orderkey")).alias("text")).agg(F.count(F.lit(1)).alias("n_texts"))
+    docs = v.table(spark, d, "documents").select("text", F.lit(1).cast("bigint").alias("n_texts"))
     m = vb.guarded_matches(docs.unionByName(traps), "text", TRAP_RULES)
-    return m.select("item_id", F.explode("matches").alias("m")).groupBy("m.entity").agg(F.count(F.lit(1)).alias("n"), F.min("m.start").alias("first_start"))
+    return m.select("n_texts", F.explode("matches").alias("m")).groupBy("m.entity").agg(F.sum("n_texts").alias("n"), F.min("m.start").alias("first_start"))
 
 
 def trap_sentences(spark, d):

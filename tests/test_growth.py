@@ -8,7 +8,7 @@ from armarium.operators import dedup as dd
 from armarium.operators import match as m
 from armarium.operators import pair_counts
 from armarium.operators import vocab as vb
-from armarium.plans import duplicates
+from armarium.plans import classification, duplicates
 
 
 def test_keys_of_near_pairs_are_not_broadcast(spark):
@@ -152,3 +152,42 @@ def test_saved_filters_read_each_lot_once(spark, monkeypatch):
         counts = registry.saved_filter_counts(subs, lots.mapInPandas(counted, lots.schema), seen, crowd)
         assert {r["sub_id"]: (r["total"], r["fresh"]) for r in counts.collect()} == want
         assert read.value - before == n
+
+
+def test_guarded_matches_walk_a_text_once(spark):
+    """Random sentences against plain Python; a text of thousands of matches that do not count but the last."""
+    import random
+    import re
+    rnd = random.Random(8)
+    rules = [vb.Rule("mail", "armour", require=r"hauberk|\brings\b", forbid=r"e-?mail|\ba\s+mail\b"), vb.Rule("bow", "weapon", pattern=r"\b(b)(?:o)w(s?)\b", require="arrow|string", forbid=r"bow\s+ties?"),
+             vb.Rule("C-ring", "part", pattern=r"(?-i:\bC-ring\b)"), vb.Rule("Dr.Shield", "maker"), vb.Rule("shield", "shield"), vb.Rule("long bow", "weapon"), vb.Rule("never", "armour", never=True)]
+    words = ["mail", "e-mail", "a mail", "Mail", "hauberk", "rings", "bow", "bows", "bow tie", "Bow ties", "arrow", "string", "C-ring", "c-ring", "DrShield", "dr.shield", "\u017fhield", "MA\u0130L", "shields", "long bow", "\U0001f6e1", "x" * 30, "\n", "never"]
+    texts = [" ".join(rnd.choices(words, k=rnd.randint(0, 60))) for _ in range(400)] + ["mail " * 5000 + "rings", None]
+
+    def brute(text):
+        found = {}
+        for rule in sorted((r for r in rules if not r.never), key=lambda r: -len(r.alias)):
+            raw = rule.pattern or vb.spelled_pattern(rule.alias)
+            pattern = re.compile(raw.replace("(?-i:", "(?:"), 0 if "(?-i:" in raw else re.I)
+            for hit in pattern.finditer(text):
+                begin = max(hit.start() - vb.GUARD_WINDOW, 0)
+                near = text[begin:hit.end() + vb.GUARD_WINDOW]
+                bad = rule.forbid and any(b.start() <= hit.start() - begin < b.end() for b in re.finditer(rule.forbid, near, re.I))
+                if not bad and (not rule.require or re.search(rule.require, near, re.I)):
+                    found.setdefault(rule.entity, (rule.entity, hit.start(), hit[0]))
+                    break
+        return sorted(found.values(), key=lambda m: m[1])
+
+    got = vb.guarded_matches(spark.createDataFrame(list(enumerate(texts)), "id int, t string"), "t", rules)
+    rows = {r["id"]: [(m["entity"], m["start"], m["alias"]) for m in r["matches"]] for r in got.collect()}
+    want = {i: brute(t or "") for i, t in enumerate(texts)}
+    assert {i: sorted(m, key=lambda x: (x[1], x[0])) for i, m in rows.items()} == {i: sorted(m, key=lambda x: (x[1], x[0])) for i, m in want.items()}
+    assert want[400][0][1] > 24000 and sum(map(len, want.values())) > 500
+    plain = [vb.Rule("mail", "armour", require="hauberk"), vb.Rule("tent", "camp")]
+    plan = vb.guarded_matches(spark.createDataFrame([("x",)], "t string"), "t", plain)._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan and "Contains(_low" in plan
+
+
+def test_equal_trap_sentences_are_matched_once(spark, sf):
+    plan = classification.guarded(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan[plan.index("Union"):]
