@@ -14,6 +14,8 @@ from ..session import work_path
 # --- fixed values: the white space that parts words in every operator here ---------------------
 SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of a batch that a Python worker hands on together, so that neither it nor the JVM holds a second large batch.
+HANDED_ON = 1 << 10
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import join_groups, whole_text, written
+from .common import HANDED_ON, join_groups, whole_text, written
 from .exact import SLICE_BITS, possibly_repeated
 from .simhash import contract
 
@@ -67,7 +67,16 @@ def shingle_set(text: str, shingle: int = SHINGLE) -> np.ndarray:
 
 
 def slots(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+    return (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int32)
+
+
+def met_again(met: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The slots that are there twice or more, in order, and how often. Only the second and later ones are
+    counted, so this takes little more than twice the room of the slots."""
+    slot = np.concatenate(met)
+    slot.sort()
+    again, n = np.unique(slot[1:][slot[1:] == slot[:-1]], return_counts=True)
+    return again.astype(np.int64), n.astype(np.int64) + 1
 
 
 def cells(hashes: np.ndarray) -> bytes:
@@ -105,8 +114,7 @@ def frequent_slots(docs: DataFrame, text: str, shingle: int) -> tuple[np.ndarray
     slots it meets twice or more among four million shingles; the result is at most FREQUENT rows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made(met: list[np.ndarray]) -> pa.RecordBatch:
-            slot, n = np.unique(np.concatenate(met), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(slot[n > 1]), pa.array(n[n > 1].astype(np.int64))], names=["slot", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in met_again(met)], names=["slot", "n"])
 
         met, size = [], 0
         for batch in batches:
@@ -121,7 +129,7 @@ def frequent_slots(docs: DataFrame, text: str, shingle: int) -> tuple[np.ndarray
 
     counted = docs.select(whole_text(text).alias("text")).mapInArrow(run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
     top = counted.orderBy(F.col("n").desc(), "slot").limit(FREQUENT).toArrow()
-    slot, n = top.column(0).to_numpy(), top.column(1).to_numpy()
+    slot, n = top.column(0).to_numpy().astype(np.int32), top.column(1).to_numpy()
     order = np.argsort(slot)
     return slot[order], n[order]
 
@@ -162,31 +170,34 @@ def shingled(docs: DataFrame, key: str, text: str, shingle: int, similar: tuple[
     cells of it, its share of shingles outside the frequent ones in thousandths, the shingles of its short lists, rarest first, and their parts. With
     ``with_row`` the whole row is kept as a struct in place of the text."""
     sparse = docs.sparkSession.sparkContext.broadcast(frequent_slots(docs, text, shingle))
-    row = [F.struct("*").alias("row")] if with_row else []
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(key).alias("key"), *row, whole_text(text).alias("text"))
-    kept_columns = rows.columns[:3]  # the text is the last, and is kept where there is no row
+    # A text travels once: that of a row is read where it stands.
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(key).alias("key"), F.struct("*").alias("row") if with_row else whole_text(text).alias("text"))
+    place = docs.columns.index(text) if with_row else None
+    kept_columns = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = sparse.value
-        for batch in batches:
-            n, same, cell, rare, short, parts = [], [], [], [], [], []
-            for t in batch.column(batch.num_columns - 1):
-                s = shingle_set(t.as_py(), shingle)
-                at = np.minimum(np.searchsorted(known, slots(s)), max(len(known) - 1, 0))
-                often = np.where(known[at] == slots(s), counts[at], 0) if len(known) else np.zeros(len(s), np.int64)
-                n.append(len(s))
-                same.append(xxhash.xxh3_128_digest(s.tobytes()))
-                cell.append(cells(s))
-                rare.append(1000 * int((often == 0).sum()) // max(1, len(s)))
-                kept = np.lexsort((s, often))[:short_lists(len(s), similar) if len(s) else 0]
-                short.append(s[kept].view(np.int64))
-                parts.append(often[kept] // PART + 1)
-            lists = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64()), pa.array(same, pa.binary()), pa.array(cell, pa.binary()), pa.array(rare, pa.int64()), pa.array(short, lists), pa.array(parts, lists)],
-                                             names=[*kept_columns, "n", "same", "cells", "rare", "short", "parts"])
+        lists = pa.list_(pa.int64())
+        for whole in batches:
+            for begin in range(0, whole.num_rows, HANDED_ON):
+                batch = whole.slice(begin, HANDED_ON)
+                n, same, cell, rare, short, parts = [], [], [], [], [], []
+                for t in batch.column(2) if place is None else batch.column(2).field(place):
+                    s = shingle_set(t.as_py() or "", shingle)
+                    at = np.minimum(np.searchsorted(known, slots(s)), max(len(known) - 1, 0))
+                    often = np.where(known[at] == slots(s), counts[at], 0) if len(known) else np.zeros(len(s), np.int64)
+                    n.append(len(s))
+                    same.append(xxhash.xxh3_128_digest(s.tobytes()))
+                    cell.append(cells(s))
+                    rare.append(1000 * int((often == 0).sum()) // max(1, len(s)))
+                    kept = np.lexsort((s, often))[:short_lists(len(s), similar) if len(s) else 0]
+                    short.append(s[kept].view(np.int64))
+                    parts.append(often[kept] // PART + 1)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64()), pa.array(same, pa.binary()), pa.array(cell, pa.binary()), pa.array(rare, pa.int64()), pa.array(short, lists), pa.array(parts, lists)],
+                                                 names=[*kept_columns, "n", "same", "cells", "rare", "short", "parts"])
 
     made = StructType.fromDDL("n bigint, same binary, cells binary, rare bigint, short array<bigint>, parts array<bigint>")
-    return rows.mapInArrow(run, StructType([*rows.schema.fields[:3], *made.fields]))
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, *made.fields]))
 
 
 def meet(lists: DataFrame) -> DataFrame:

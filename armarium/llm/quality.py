@@ -7,7 +7,7 @@ of documents, and its nearest labels vote with a weight that grows with similari
 """
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import HANDED_ON, whole_text
 
 TRIGRAMS, SHAPES = 2048, 256
 TERMS = TRIGRAMS + SHAPES
@@ -87,8 +87,9 @@ def parts_of(text: bytes) -> Iterator[bytes]:
     yield text[at:]
 
 
-def blocks(texts: list[str]) -> Iterator[np.ndarray]:
-    """Log-scaled term counts of the texts, a bounded block at a time; whole texts, however long."""
+def blocks(texts: Iterable[str]) -> Iterator[np.ndarray]:
+    """Log-scaled term counts of the texts, a bounded block at a time; whole texts, however long. Texts are
+    taken as their block comes."""
     held: list[bytes] = []
     size = 0
     for t in texts:
@@ -180,7 +181,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for b in batches:
-            found = [m.score(block) for block in blocks([t.as_py() for t in b.column(2)])]
+            found = [m.score(block) for block in blocks(t.as_py() for t in b.column(2))]
             scores = np.concatenate(found) if found else np.zeros(0)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(scores, pa.float64())], names=["key", "held_out", "score"])
 
@@ -197,7 +198,9 @@ def keep_good(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for b in batches:
-            found = [m.score(block) for block in blocks([t.as_py() or "" for t in b.column(at)])]
-            yield b.filter(pa.array(np.concatenate(found) >= THRESHOLD if found else np.zeros(0, bool)))
+            found = [m.score(block) for block in blocks(t.as_py() or "" for t in b.column(at))]
+            good = np.concatenate(found) >= THRESHOLD if found else np.zeros(0, bool)
+            for begin in range(0, len(good), HANDED_ON):  # no second large batch here or in the JVM
+                yield b.slice(begin, HANDED_ON).filter(pa.array(good[begin:begin + HANDED_ON]))
 
     return docs.mapInArrow(run, docs.schema)

@@ -1,10 +1,14 @@
 import random
 import re
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
+import xxhash
 from cases import as_rows, edge_docs, edge_rows, given, no_docs, prose, with_clashes
 
 import corpus_pipeline
-from armarium.llm import near
+from armarium.llm import near, overlap
 
 
 def shingles(text, k=5):
@@ -84,3 +88,34 @@ def test_edges(spark):
     assert kept.columns == docs.columns
     assert sorted((r["doc_id"] for r in kept.collect()), key=repr) == brute_kept([(r[0], r[1]) for r in edge_rows()])
     assert as_rows(near.drop_near_copies(no_docs(spark))) == []
+
+
+def test_a_worker_holds_one_large_batch(spark, monkeypatch):
+    """A text is sent to a worker once, within its row, and what was made of a large batch leaves in small ones."""
+    docs = spark.createDataFrame([(i, f"some words of text {i} ".upper() * (1 + i % 3), "en", "s", 1) for i in range(3000)], edge_docs(spark).schema)
+    seen = []
+    true_map = type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: seen.append((self, run)) or true_map(self, run, schema))
+    overlap.shingled(docs, "doc_id", "text", 5, (4, 5), with_row=True)
+    sent, run = seen[-1]
+    assert sent.columns == ["rid", "key", "row"]
+    whole = pa.Table.from_batches(sent.toArrow().to_batches()).combine_chunks().to_batches()
+    made = list(run(iter(whole)))
+    assert [b.num_rows for b in whole] == [3000] and max(b.num_rows for b in made) <= 1024
+    made = pa.Table.from_batches(made)
+    assert made.column("rid").to_pylist() == whole[0].column(0).to_pylist() and made.column("row").to_pylist() == whole[0].column(2).to_pylist()
+    texts = [r["text"] for r in made.column("row").to_pylist()]
+    assert made.column("same").to_pylist() == [xxhash.xxh3_128_digest(overlap.shingle_set(t, 5).tobytes()) for t in texts]
+
+
+def test_counting_takes_little_more_than_its_slots():
+    rng = np.random.default_rng(3)
+    met = [rng.integers(0, 1 << 24, 4096).astype(overlap.slots(np.zeros(1, np.uint64)).dtype) for _ in range(1024)]
+    tracemalloc.start()
+    slot, n = overlap.met_again(met)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    all_slots, all_n = np.unique(np.concatenate(met), return_counts=True)
+    assert slot.tolist() == all_slots[all_n > 1].tolist() and n.tolist() == all_n[all_n > 1].tolist()
+    assert peak < 40 << 20  # np.unique over all of them as 64 bits: 150 MB
+    assert [len(x) for x in overlap.met_again([np.zeros(0, np.int32)])] == [0, 0]
