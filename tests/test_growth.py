@@ -191,3 +191,53 @@ def test_guarded_matches_walk_a_text_once(spark):
 def test_equal_trap_sentences_are_matched_once(spark, sf):
     plan = classification.guarded(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate" in plan[plan.index("Union"):]
+
+
+def odd_market(spark):
+    """Specs and offers of few keys with nulls, negative caps and ties; a spec id that comes twice."""
+    i = F.col("id")
+    offers = spark.range(3000).select(
+        i.alias("offer_id"), F.when(i % 5 < 4, "s").otherwise("t").alias("slot_id"), F.concat(F.lit("word"), F.chr(97 + i % 3), F.lit(" thing"), F.chr(97 + i % 2)).alias("title"),
+        F.when(i % 9 > 0, (i % 131 * 10).cast("double")).alias("price"), F.when(i % 4 > 0, "C").otherwise("D").alias("country"),
+        F.element_at(F.array(F.lit("new"), F.lit("used"), F.lit("unknown"), F.lit(None)), (i % 4 + 1).cast("int")).alias("cond"), F.lit("active").alias("status"), F.when(i % 6 > 0, (i % 11).cast("double")).alias("length_cm"))
+    wants = spark.range(150).select(
+        (i - F.when(i == 140, 1).otherwise(0)).alias("want_id"), F.when(i % 7 < 5, "s").otherwise("t").alias("slot_id"), F.when(i % 3 > 0, "C").alias("country"), F.when(i % 5 > 0, i * 9 - 20.0).alias("budget"),
+        F.element_at(F.array(F.lit("new"), F.lit("any"), F.lit(None)), (i % 3 + 1).cast("int")).alias("cond"), F.when(i % 4 > 0, (i % 8).cast("double")).alias("lo"), F.when(i % 4 > 0, i % 8 + 3.0).alias("hi"),
+        F.when(i % 6 > 0, F.concat(F.lit("worda thing"), F.chr(97 + i % 3))).otherwise("").alias("title"))
+    return m.specs_from_wants(wants), m.offer_pool(offers, ["length_cm"], open_ended=True)
+
+
+def test_best_matches_leave_the_meeting_as_they_are(spark, monkeypatch):
+    """Where a key has one part and ids are unique, nothing is stored or sorted after the meeting; by reasons, by the
+    offers one by one, and in parts the result is that of full ranking."""
+    specs, pool = odd_market(spark)
+    unique = specs.where("spec_id <> 139")
+    plan = m.best_matches(unique, pool, ["length_cm"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "Window" not in plan
+    full = m.top_k(m.scored_pairs(specs, pool, ["length_cm"]).where("score >= 0.5").select("spec_id", "offer_id", "score"), ["spec_id"], [F.col("score").desc(), F.col("offer_id").desc()], 20, rank="rank")
+    want = sorted(map(tuple, full.select("spec_id", "offer_id", "rank", "score").collect()))
+    for low, cached, parts in ((0, 1 << 23, 1 << 20), (1 << 20, 64, 1 << 20), (100, 1 << 23, 64)):
+        monkeypatch.setattr(pair_counts, "LOW", low, raising=False)
+        monkeypatch.setattr(pair_counts, "CACHED", cached, raising=False)
+        monkeypatch.setattr(pair_counts, "OFFERS", parts)
+        got = m.best_matches(specs, pool, ["length_cm"]).select("spec_id", "offer_id", "rank", "score").collect()
+        assert sorted(map(tuple, got)) == want and len(want) > 2000
+
+
+def test_offers_of_a_key_travel_to_few_blocks(spark):
+    """A block of specs has room for many, and no more of them than the tasks can use."""
+    specs = spark.range(300_000).select(F.lit("s").alias("k_slot"), F.lit("C").alias("k_country"))
+    sizes = pair_counts.grid(specs, specs.limit(10), F.count(F.lit(1))).collect()
+    assert [r["parts"] for r in sizes] == [1] and sizes[0]["blocks"] <= 3 * pair_counts.slots_of(specs)
+
+
+def test_specs_that_meet_all_their_offers_are_counted_there(spark, monkeypatch):
+    specs, pool = odd_market(spark)
+    true_counts, asked = m.pair_counts, []
+    monkeypatch.setattr(m, "pair_counts", lambda *a: asked.append(a[4]) or true_counts(*a))
+    m.score_distribution(specs.where("spec_id <> 139"), pool, ["length_cm"])
+    assert asked == [False]
+    each = m.scored_pairs(specs, pool, ["length_cm"]).select("spec_id", "score", m.reasons_struct(["length_cm"]).alias("r")).select("spec_id", "score", "r.budget", "r.condition", "r.size", "r.words")
+    brute = each.groupBy("score", "budget", "condition", "size", "words").agg(F.count(F.lit(1)).alias("n_pairs"), F.countDistinct("spec_id").alias("n_wants"))
+    got = m.score_distribution(specs, pool, ["length_cm"])
+    assert asked == [False, False, True] and sorted(repr(tuple(r)) for r in got.collect()) == sorted(repr(tuple(r)) for r in brute.select(got.columns).collect())
