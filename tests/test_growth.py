@@ -241,3 +241,15 @@ def test_specs_that_meet_all_their_offers_are_counted_there(spark, monkeypatch):
     brute = each.groupBy("score", "budget", "condition", "size", "words").agg(F.count(F.lit(1)).alias("n_pairs"), F.countDistinct("spec_id").alias("n_wants"))
     got = m.score_distribution(specs, pool, ["length_cm"])
     assert asked == [False, False, True] and sorted(repr(tuple(r)) for r in got.collect()) == sorted(repr(tuple(r)) for r in brute.select(got.columns).collect())
+
+
+def test_upsert_sends_the_reasons_that_are_read(spark):
+    reasons = "reasons struct<slot: string, budget: string, words: string>"
+    known = spark.createDataFrame([(1, 1, 0.5, ("ok", "near", "1/2")), (1, 2, 0.6, ("ok", "ok", "0")), (None, 3, 0.6, ("ok", "ok", None))], f"spec_id int, offer_id int, score double, {reasons}")
+    fresh = spark.createDataFrame([(1, 1, 0.7, ("ok", "ok", None)), (1, 2, 0.8, None), (2, 2, 0.8, ("ok", "unknown", None)), (2, 3, 0.8, None), (None, 3, 0.6, ("ok", "ok", None))], known.schema)
+    out = m.upsert_matches(known, fresh)
+    got = {(r["spec_id"], r["offer_id"], r["score"], r["reasons"] and tuple(r["reasons"]), r["change"]) for r in out.collect()}
+    assert got == {(1, 1, 0.7, ("ok", "ok", None), "refreshed"), (1, 2, 0.8, ("ok", "ok", "0"), "refreshed"), (2, 2, 0.8, ("ok", "unknown", None), "new"), (2, 3, 0.8, None, "new"),
+                   (None, 3, 0.6, ("ok", "ok", None), "kept"), (None, 3, 0.6, ("ok", "ok", None), "new")}
+    plan = out.groupBy("change").agg(F.count_if(F.col("reasons.budget") == "ok"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "new_budget" in plan and "new_words" not in plan
