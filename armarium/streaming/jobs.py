@@ -6,13 +6,14 @@ from collections.abc import Callable
 from datetime import timedelta
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..constants import HAMMING_THRESHOLD, RETENTION_DAYS, TOP_MATCHES
 from ..operators import dedup, match, merge
 from ..operators.topk import top_k
+from ..session import stored
 
 
 def file_stream(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
@@ -130,12 +131,16 @@ def match_alert_stream(offers: DataFrame, wants: DataFrame, alerts: BatchLog, ch
     Whatever is among the best now was an alert when it came, so the best so far are read from the alerts of
     the wants that the batch matches; nothing else is stored and nothing is rewritten."""
     def run(df: DataFrame, i: int) -> None:
-        fresh = dedup.cut_lineage(match.match_wants(wants, df, k).select("spec_id", "offer_id", "score"))
+        fresh = stored(match.match_wants(wants, df, k).select("spec_id", "offer_id", "score"), "fresh")
+        before = alerts.read(before=i)
         order = [F.col("score").desc(), F.col("offer_id").desc()]
-        touched = alerts.read(before=i).join(fresh.select("spec_id").distinct(), "spec_id", "left_semi")
-        known = top_k(touched.select("spec_id", "offer_id", "score"), ["spec_id"], order, k).drop("rn").withColumn("_known", F.lit(True))
-        newer = fresh.join(known.select("spec_id", "offer_id"), ["spec_id", "offer_id"], "left_anti").withColumn("_known", F.lit(False))
-        alerts.put(top_k(known.unionByName(newer), ["spec_id"], order, k).where(~F.col("_known")), i)
+        touched = before.join(fresh.select("spec_id").distinct(), "spec_id", "left_semi")
+        both = top_k(touched.select("spec_id", "offer_id", "score"), ["spec_id"], order, k).drop("rn").withColumn("_known", F.lit(True))
+        both = both.unionByName(fresh.withColumn("_known", F.lit(False)))
+        # rows of a want are in one partition from here on: what is known is told by a window, not by a join on both ids
+        known = F.max("_known").over(Window.partitionBy("spec_id", "offer_id")) & F.col("spec_id").isNotNull() & F.col("offer_id").isNotNull()
+        both = both.repartition("spec_id").withColumn("_seen", known).where(F.col("_known") | ~F.col("_seen")).drop("_seen")
+        alerts.put(top_k(both, ["spec_id"], order, k).where(~F.col("_known")), i)
 
     drain(offers, checkpoint, each=run)
     return alerts.read()
